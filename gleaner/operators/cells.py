@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators.knn import DISTANCE_DECIMALS, top_k
+from gleaner.operators.knn import DISTANCE_DECIMALS, distance_bounds, top_k
 
 # Cells are part of every task's closure: at most 32 MB of centres at 1,024 dimensions.
 MAX_CELLS = 4_096
@@ -140,16 +140,13 @@ def pruned_top_k(
     (none when they hold fewer than k rows); the second visits the cells below that bound.
     """
     probes = _probes(queries, cells, _radii(placed))
-    first = top_k(placed, probes.where(F.col("order") < nprobe), id_col, vec_col, by="cell")
-    found = first.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("found"), F.max("distance").alias("bound")
+    near = probes.where(F.col("order") < nprobe)
+    bounds = distance_bounds(near, placed, id_col=id_col, vec_col=vec_col, by="cell").select(
+        "query_id", "bound"
     )
-    open_cells = (
-        probes.join(found, "query_id", "left")
-        .where(
-            F.coalesce(F.col("found") < F.col("k"), F.lit(True))
-            | (F.col("floor") <= F.col("bound") + _SLACK)
-        )
-        .select(*queries.columns, "cell")
+    open_cells = probes.join(bounds.dropDuplicates(["query_id"]), "query_id", "left").where(
+        F.col("bound").isNull() | (F.col("floor") <= F.col("bound") + _SLACK)
+    )
+    return top_k(
+        placed, open_cells.select(*queries.columns, "cell", "bound"), id_col, vec_col, by="cell"
     )
-    return top_k(placed, open_cells, id_col, vec_col, by="cell")

@@ -15,6 +15,7 @@ from gleaner.functions.text import (
 from gleaner.operators import filters
 from gleaner.operators.filters import long_enough
 from gleaner.schema import DEFAULT_PRIORITY, DOCUMENTS
+from gleaner.session import small_side
 
 
 @dataclass(frozen=True)
@@ -82,11 +83,15 @@ def registry_defaults(registry: DataFrame) -> DataFrame:
 
 
 def with_registry(files: DataFrame, selected: DataFrame) -> DataFrame:
-    """Keep the files of the selected sources and attach their category and priority."""
+    """Keep the files of the selected sources and attach their category and priority.
+
+    ``files`` may be a manifest: joined before its files are read, no content is read for
+    nothing. The registry is broadcast once its size is known; contents are not shuffled.
+    """
     entries = registry_defaults(selected).select(
         F.col("name").alias("source"), "category", "priority"
     )
-    return files.join(entries, "source")
+    return files.join(small_side(entries), "source")
 
 
 def file_outcomes(files: DataFrame, collection: str) -> DataFrame:

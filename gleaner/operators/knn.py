@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gleaner.session import small_side, stored
+
 DISTANCE_DECIMALS = 6
 
 # Query vectors sent to every task: at most 64 MB at 1,024 dimensions.
@@ -91,10 +93,10 @@ def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray
 class _Best:
     """The k best (rounded distance, id, distance) seen so far for each query row."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.hits: list[list[tuple]] = [[] for _ in counts]
-        self.bounds = np.where(counts > 0, np.inf, -np.inf)
+    def __init__(self, queries: pa.Table):
+        self.counts = queries.column("k").to_numpy()
+        self.bounds = queries.column("bound").to_numpy().copy()
+        self.hits: list[list[tuple]] = [[] for _ in self.counts]
 
     def offer(self, which: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray,
               metric: str) -> None:
@@ -109,8 +111,6 @@ class _Best:
         rounded = np.round(exact, DISTANCE_DECIMALS)
         for at, query in enumerate(which):
             k = int(self.counts[query])
-            if k <= 0:
-                continue
             line = rounded[at]
             bound = self.bounds[query]
             if len(line) > k:
@@ -121,7 +121,7 @@ class _Best:
                 best = heapq.nsmallest(k, self.hits[query] + list(offers))
                 self.hits[query] = best
                 if len(best) == k:
-                    self.bounds[query] = best[-1][0]
+                    self.bounds[query] = min(self.bounds[query], best[-1][0])
 
     def table(self, query_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
         taken = [at for at, best in enumerate(self.hits) for _ in best]
@@ -154,7 +154,7 @@ def _search_rows(index: DataFrame, queries: pa.Table, result: T.StructType, sche
         table = shared.value
         query_ids = table.column("query_id").combine_chunks()
         vectors = _matrix(table.column("query_vector"))
-        best = _Best(table.column("k").to_numpy())
+        best = _Best(table)
         asked = _groups(table.column("query_group").to_pylist())
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -184,8 +184,10 @@ def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, s
             F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(name)
         )
 
-    layout = blocks(index, "index_group", INDEX_BLOCK_ROWS, "index_blocks").join(
-        blocks(queries, "query_group", QUERY_BLOCK_ROWS, "query_blocks"), "block_group"
+    layout = small_side(
+        blocks(index, "index_group", INDEX_BLOCK_ROWS, "index_blocks").join(
+            blocks(queries, "query_group", QUERY_BLOCK_ROWS, "query_blocks"), "block_group"
+        )
     )
 
     def place(df: DataFrame, side: str, other: str) -> DataFrame:
@@ -200,7 +202,7 @@ def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, s
     asked = place(queries, "query", "index")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _Best(right.column("k").to_numpy())
+        best = _Best(right)
         if left.num_rows and right.num_rows:
             ids = np.array(left.column("index_id").to_pylist(), dtype=object)
             best.offer(np.arange(right.num_rows), _matrix(right.column("query_vector")),
@@ -228,15 +230,19 @@ def top_k(
 
     ``queries`` has query_id, embedding, k and, with ``by``, that column: a query then sees
     only the index rows of its own group. A query_id may come in several groups; its hits
-    are ranked together. The group column is compared as text.
+    are ranked together. The group column is compared as text. A column ``bound`` in
+    ``queries`` gives a distance that the k-th hit is known not to exceed (see
+    ``distance_bounds``): tasks then emit only what can still be a hit.
     """
     group = F.lit("") if by is None else F.col(by).cast("string")
     rows = index.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("index_id"), F.col(vec_col).alias("index_vector"), group.alias("index_group")
     )
+    unbounded = F.lit(float("inf"))
+    bound = F.coalesce("bound", unbounded) if "bound" in queries.columns else unbounded
     asked = queries.where(F.col("embedding").isNotNull() & (F.col("k") > 0)).select(
         "query_id", F.col("embedding").alias("query_vector"), F.col("k").cast("int").alias("k"),
-        group.alias("query_group"),
+        group.alias("query_group"), bound.alias("bound"),
     )
     result = T.StructType([
         T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -261,3 +267,19 @@ def top_k(
             .withColumn("rank", rank).where(F.col("rank") <= most)
         )
     return ranked.where("rank <= k").drop("k")
+
+
+def distance_bounds(queries: DataFrame, part: DataFrame, **options) -> DataFrame:
+    """``queries`` with a ``bound``, taken from the hits in ``part`` of the index.
+
+    The k-th best distance within any part of an index is never less than that within the
+    whole. Read first, a sixteenth of an index of many files leaves about sixteen times k
+    candidates of each query to be shuffled, in place of k from every task.
+    """
+    hits = top_k(part, queries, **options)
+    found = hits.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("found"),
+        F.max(F.round("distance", DISTANCE_DECIMALS)).alias("bound"),
+    )
+    joined = queries.drop("bound").join(stored(found, "bounds"), "query_id", "left")
+    return joined.withColumn("bound", F.when(F.col("found") >= F.col("k"), F.col("bound"))).drop("found")

@@ -56,9 +56,15 @@ def build_collection(
     chunking: str = "window",
     with_metadata: bool = False,
 ) -> None:
-    """Chunk, embed and store the documents of one collection."""
-    chunks = chunks_of(documents.where(F.col("collection") == name), chunking)
-    embedded = embed_chunks(chunks, factory, model_name, with_metadata)
+    """Chunk, embed and store the documents of one collection.
+
+    The one shuffle moves documents to their buckets; chunks and vectors stay where they
+    are made.
+    """
+    spark = documents.sparkSession
+    n_buckets = (mode == "append" and index.n_buckets_of(spark, root, name)) or index.DEFAULT_BUCKETS
+    own = index.gather(documents.where(F.col("collection") == name), n_buckets)
+    embedded = embed_chunks(chunks_of(own.drop("bucket"), chunking), factory, model_name, with_metadata)
     index.write_index(embedded, root, name, model_name, mode)
 
 

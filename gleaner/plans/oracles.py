@@ -36,7 +36,7 @@ def _knn(distance: str = _L2SQ, where: str = "true") -> str:
         SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {distance} AS d
         FROM embeddings a, embeddings b WHERE {where}),
     ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id) AS rank
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id)::INTEGER AS rank
         FROM pairs)
     SELECT query_id, vec_id, rank, round(d, 6) + 0.0 AS distance, round(1 - d, 3) + 0.0 AS score
     FROM ranked WHERE rank <= 5"""
@@ -429,7 +429,7 @@ ORACLES: dict[str, str] = {
         WITH {_DOCS}, {_windows('docs', 'collection')}, n AS (SELECT unnest([{_strings(KNOWN)}]) AS collection)
         SELECT collection, CASE WHEN collection <> 'archive' THEN count(c.chunk_no) END AS n_chunks,
                CASE WHEN collection <> 'archive' THEN 'hashed-tfidf-{EMBED_DIM}' END AS embed_model
-        FROM n LEFT JOIN chunks c USING (collection) GROUP BY ALL""",
+        FROM n LEFT JOIN chunks c USING (collection) GROUP BY collection""",
     "refresh_delta": f"""
         WITH {_DOCS}
         SELECT coalesce(d.doc_key, e.doc_key) AS doc_key,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.embed import BatchFunction
 from gleaner.plans.build import chunks_of, embed_chunks
+from gleaner.session import stored
 from gleaner.sources import index
 
 
@@ -46,34 +47,38 @@ def refresh(
     """
     spark = documents.sparkSession
     n_buckets = index.ensure_collection(spark, root, name, model_name)
-    bucket = index.bucket_of(F.col("doc_key"), n_buckets)
-    stored = index.collection(spark, root, name)
-    current = stored.where("chunk_no = 0").select("doc_key", "content_hash", "bucket")
-    incoming = documents.where(F.col("collection") == name).withColumn("bucket", bucket)
+    indexed = index.collection(spark, root, name)
+    current = indexed.where("chunk_no = 0").select("doc_key", "content_hash", "bucket")
+    incoming = documents.where(F.col("collection") == name)
     keys = incoming.select("doc_key", "content_hash")
+    version = ["doc_key", "content_hash"]
 
-    outdated = current.join(keys, ["doc_key", "content_hash"], "left_anti")
+    # Keys first, written out: when few documents changed, Spark broadcasts the keys and
+    # the texts are scanned without a shuffle.
+    outdated = current.join(keys, version, "left_anti")
     if not full_snapshot:
-        outdated = outdated.join(keys, "doc_key", "left_semi")
-    fresh = incoming.join(
-        current.select("doc_key", "content_hash"), ["doc_key", "content_hash"], "left_anti"
+        outdated = outdated.join(keys.select("doc_key"), "doc_key", "left_semi")
+    outdated = stored(outdated, "outdated")
+    bucket = index.bucket_of(F.col("doc_key"), n_buckets)
+    fresh_keys = stored(
+        keys.join(current.select(*version), version, "left_anti").withColumn("bucket", bucket), "fresh"
     )
+    fresh = incoming.join(fresh_keys, version)
     # At most n_buckets rows.
     touched = [row["bucket"] for row in outdated.select("bucket").distinct().collect()]
+    in_touched = F.col("bucket").isin(touched)
 
     def embedded(part: DataFrame) -> DataFrame:
-        return embed_chunks(chunks_of(part.drop("bucket"), chunking), factory, model_name)
+        gathered = index.gather(part, n_buckets).drop("bucket")
+        return embed_chunks(chunks_of(gathered, chunking), factory, model_name)
 
-    elsewhere = fresh.where(~F.col("bucket").isin(touched)) if touched else fresh
-    index.append(embedded(elsewhere), root, name, model_name)
+    index.append(embedded(fresh.where(~in_touched)), root, name, model_name)
     if touched:
-        in_touched = F.col("bucket").isin(touched)
-        kept = stored.where(in_touched).join(
-            outdated.select("doc_key", "content_hash"), ["doc_key", "content_hash"], "left_anti"
-        )
+        gone = outdated.select(*version)
+        kept = indexed.where(in_touched).join(gone, version, "left_anti")
         filled = (
-            kept.where("chunk_no = 0").select("bucket")
-            .unionByName(fresh.where(in_touched).select("bucket"))
+            current.where(in_touched).join(gone, version, "left_anti").select("bucket")
+            .unionByName(fresh_keys.where(in_touched).select("bucket"))
             .distinct().collect()
         )
         index.replace_buckets(kept, embedded(fresh.where(in_touched)), root, name)

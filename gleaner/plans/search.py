@@ -11,11 +11,14 @@ from gleaner.functions.queries import (
     HIT_RULE, format_query, hit_label, render_hit, result_count, score,
 )
 from gleaner.operators.embed import BatchFunction, embed_text
-from gleaner.operators.knn import top_k
+from gleaner.operators.knn import distance_bounds, top_k
 from gleaner.schema import COLLECTIONS, METADATA
-from gleaner.session import scratch_path
+from gleaner.session import small_side, stored
 from gleaner.sources import index
 
+# An index of more scan tasks than this is searched in one bucket first.
+BOUND_PARTITIONS = 256
+
 
 def prepare_queries(
     queries: DataFrame, catalog: DataFrame, factory: Callable[[], BatchFunction]
@@ -24,7 +27,8 @@ def prepare_queries(
 
     The prefix follows the model a collection was built with.
     """
-    asked = queries.join(catalog.select("collection", "embed_model"), "collection").select(
+    models = small_side(catalog.select("collection", "embed_model"))
+    asked = queries.join(models, "collection").select(
         "query_id", "collection",
         result_count(F.col("n_results")).alias("k"),
         format_query(F.col("query"), F.col("embed_model")).alias("text"),
@@ -55,10 +59,10 @@ def search(
     """
     prepared = prepare_queries(queries, index.catalog(spark, root), factory)
     chunks = index.ensure_index(spark, root)
+    if chunks.rdd.getNumPartitions() > BOUND_PARTITIONS:
+        prepared = distance_bounds(prepared, chunks.where("bucket = 0"), by="collection", metric=metric)
     ranked = top_k(chunks, prepared, by="collection", metric=metric)
-    winners_path = scratch_path(spark, "winners")
-    ranked.join(prepared.select("query_id", "collection"), "query_id").write.parquet(winners_path)
-    winners = spark.read.parquet(winners_path)
+    winners = stored(ranked.join(prepared.select("query_id", "collection"), "query_id"), "winners")
     details = chunks.select("collection", "chunk_id", "chunk_no", "text", *METADATA.names)
     return label_hits(winners.join(details, ["collection", "chunk_id"]))
 

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "gleaner") -> SparkSession:
@@ -63,6 +64,25 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast ``df`` if it is seen to have at most ``max_rows`` rows, else leave it as it is."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Later jobs reuse the files after the loss of any executor, and Spark plans their joins
+    with the true size of the table.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of a session that was started elsewhere."""
     if spark.conf.get("gleaner.shipped", None) is None:

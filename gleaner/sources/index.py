@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.schema import CHUNKS
-from gleaner.session import scratch_path
+from gleaner.session import stored
 
 DEFAULT_BUCKETS = 16
 _CATALOG = T.StructType([
@@ -74,13 +74,19 @@ def create_collection(
     row.write.mode("overwrite").parquet(f"{catalog_path(root)}/collection={name}")
 
 
+def n_buckets_of(spark: SparkSession, root: str, name: str) -> int | None:
+    """Number of buckets of a collection, None when it does not exist."""
+    row = catalog(spark, root).where(F.col("collection") == name).first()
+    return None if row is None else row["n_buckets"]
+
+
 def ensure_collection(
     spark: SparkSession, root: str, name: str, embed_model: str, n_buckets: int = DEFAULT_BUCKETS
 ) -> int:
     """Create the collection unless it exists; its number of buckets."""
-    known = catalog(spark, root).where(F.col("collection") == name).first()
+    known = n_buckets_of(spark, root, name)
     if known is not None:
-        return known["n_buckets"]
+        return known
     create_collection(spark, root, name, embed_model, n_buckets)
     return n_buckets
 
@@ -91,21 +97,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def gather(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Bring the rows of a bucket together, AQE splitting the over-full ones.
+
+    Done on documents, before they are chunked and embedded, it moves the least data; and
+    every task then writes few, large files.
+    """
+    bucket = bucket_of(F.col("doc_key"), n_buckets)
+    return rows.withColumn("bucket", bucket).hint("rebalance", "collection", "bucket")
+
+
 def _layout(chunks: DataFrame, n_buckets: int) -> DataFrame:
-    """Columns in index order; rows gathered by bucket, over-full buckets split by AQE."""
+    """Columns in index order."""
     present = set(chunks.columns)
-    columns = [
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in CHUNKS.fields if f.name not in ("collection", "bucket")
-    ]
-    placed = chunks.select(
-        *columns, "collection", bucket_of(F.col("doc_key"), n_buckets).alias("bucket")
-    )
-    return placed.hint("rebalance", "collection", "bucket")
+    return chunks.withColumn("bucket", bucket_of(F.col("doc_key"), n_buckets)).select(*[
+        (F.col(f.name) if f.name in present | {"bucket"} else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in CHUNKS.fields
+    ])
 
 
 def append(chunks: DataFrame, root: str, name: str, embed_model: str) -> None:
-    """Add chunks to a collection, creating it on first use."""
+    """Add chunks to a collection, creating it on first use. See ``gather`` for file sizes."""
     n_buckets = ensure_collection(chunks.sparkSession, root, name, embed_model)
     own = chunks.where(F.col("collection") == name)
     _layout(own, n_buckets).write.partitionBy("collection", "bucket").mode("append").parquet(
@@ -136,13 +148,10 @@ def replace_buckets(kept: DataFrame, fresh: DataFrame, root: str, name: str) ->
     The result is staged in the shared folder first: the job that overwrites the buckets
     must not depend on the files it replaces.
     """
-    spark = kept.sparkSession
-    n_buckets = catalog(spark, root).where(F.col("collection") == name).first()["n_buckets"]
-    staged = scratch_path(spark, "buckets")
-    merged = kept.select(*CHUNKS.names).unionByName(_layout(fresh, n_buckets).select(*CHUNKS.names))
-    merged.hint("rebalance", "collection", "bucket").write.parquet(staged)
+    n_buckets = n_buckets_of(kept.sparkSession, root, name)
+    merged = kept.select(*CHUNKS.names).unionByName(_layout(fresh, n_buckets))
     (
-        spark.read.schema(CHUNKS).parquet(staged).hint("rebalance", "collection", "bucket")
+        stored(merged, "buckets").hint("rebalance", "collection", "bucket")
         .write.partitionBy("collection", "bucket").mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").parquet(chunks_path(root))
     )

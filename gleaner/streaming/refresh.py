@@ -14,13 +14,10 @@ from gleaner.schema import DOCUMENTS
 
 
 def latest_versions(batch: DataFrame) -> DataFrame:
-    """One row per doc_key, the one that arrived last; merged before the shuffle."""
-    order = F.struct("arrived", "content_hash")
-    latest = batch.groupBy("doc_key").agg(F.max(order).alias("latest"))
-    chosen = latest.select("doc_key", "latest.arrived", "latest.content_hash")
-    return batch.join(chosen, ["doc_key", "arrived", "content_hash"], "left_semi").dropDuplicates(
-        ["doc_key"]
-    ).drop("arrived")
+    """One row per doc_key, the one that arrived last; merged before the one shuffle."""
+    row = F.struct(*[c for c in batch.columns if c != "arrived"])
+    latest = F.max_by(row, F.struct("arrived", "content_hash")).alias("latest")
+    return batch.groupBy("doc_key").agg(latest).select("latest.*")
 
 
 def stream_refresh(
