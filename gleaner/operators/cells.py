@@ -80,6 +80,15 @@ def assign_cells(index: DataFrame, cells: Cells, vec_col: str = "embedding") ->
     return placed.select(*index.columns, "_place.cell", "_place.cell_distance")
 
 
+def write_cells(placed: DataFrame, path: str) -> DataFrame:
+    """Store a placed index by cell, an over-full cell as several files; the stored table.
+
+    A search then reads only the folders of the cells it probes.
+    """
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    return placed.sparkSession.read.schema(placed.schema).parquet(path)
+
+
 def cell_radii(placed: DataFrame) -> DataFrame:
     """Rows and radius of each cell; merged before the shuffle, so a full cell is no burden."""
     return placed.groupBy("cell").agg(

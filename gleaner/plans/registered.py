@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gleaner.functions.queries import format_query, hit_label, result_count, score
 from gleaner.functions.text import content_hash, is_blank, language_tag, strip, suffix
 from gleaner.functions.urls import canonical, site_base
-from gleaner.operators.cells import approximate_top_k, assign_cells, fit_cells, pruned_top_k
+from gleaner.operators.cells import (
+    Cells, approximate_top_k, assign_cells, fit_cells, pruned_top_k, write_cells,
+)
 from gleaner.operators.chunk import chunk_documents
 from gleaner.operators.crawl import reachable
 from gleaner.operators.documents import (
@@ -100,18 +102,25 @@ def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(top_k(vectors, asked, "vec_id", by="label", max_broadcast=0))
 
 
-@register
-def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Cells]:
     vectors, asked = _vectors(spark, sf_dir)
     cells = fit_cells(vectors, 32)
-    return _scored(pruned_top_k(assign_cells(vectors, cells), asked, cells, id_col="vec_id"))
+    placed = write_cells(assign_cells(vectors, cells), scratch_path(spark, "cells"))
+    return placed, asked, cells
+
+
+@register
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search that skips the cells out of reach."""
+    placed, asked, cells = _cells(spark, sf_dir)
+    return _scored(pruned_top_k(placed, asked, cells, id_col="vec_id"))
 
 
 @register
 def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, asked = _vectors(spark, sf_dir)
-    cells = fit_cells(vectors, 32)
-    return _scored(approximate_top_k(assign_cells(vectors, cells), asked, cells, id_col="vec_id"))
+    """Search of the nearest cells only."""
+    placed, asked, cells = _cells(spark, sf_dir)
+    return _scored(approximate_top_k(placed, asked, cells, id_col="vec_id"))
 
 
 # Chunks, text statistics and metadata.
