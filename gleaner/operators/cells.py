@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,25 +42,6 @@ class Cells:
         return np.sqrt(np.maximum(squared, 0.0))
 
 
-def fit_cells(
-    index: DataFrame, n_cells: int, vec_col: str = "embedding", train_rows: int = 200_000, seed: int = 7
-) -> Cells:
-    """KMeans centres, trained on about ``train_rows`` rows of the index.
-
-    The sample only places the centres; every row of the index is then assigned to a cell.
-    """
-    if not 1 <= n_cells <= MAX_CELLS:
-        raise ValueError(f"n_cells must be between 1 and {MAX_CELLS}")
-    vectors = index.where(F.col(vec_col).isNotNull()).select(
-        array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")
-    )
-    rows = vectors.count()
-    if rows > train_rows:
-        vectors = vectors.sample(fraction=train_rows / rows, seed=seed)
-    model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(vectors)
-    return Cells(np.array(model.clusterCenters()))
-
-
 def assign_cells(index: DataFrame, cells: Cells, vec_col: str = "embedding") -> DataFrame:
     """Add ``cell`` and ``cell_distance`` (to its centre); no shuffle."""
 

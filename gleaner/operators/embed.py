@@ -15,9 +15,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +24,12 @@ EMBED_DIM = 1024
 _VECTOR = T.ArrayType(T.FloatType())
 
 # Words are runs of letters, digits and underscores.
-_WORD_BREAK = r"[^\p{L}\p{N}_]+"
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 def word_buckets(texts: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, bucket) of every word; each distinct word of a batch is hashed once."""
-    words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), _WORD_BREAK)
+    words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), WORD_BREAK)
     owner = pc.list_parent_indices(words)
     coded = pc.list_flatten(words).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -133,19 +130,3 @@ def embed_text(
     batch_size: int = 256,
 ) -> DataFrame:
     return df.withColumn(out_col, embedding(F.col(text_col), factory, batch_size))
-
-
-def mllib_tfidf(dim: int = EMBED_DIM, text_col: str = "text") -> Pipeline:
-    """The same idea as an MLlib pipeline that stays in the JVM (other hash function)."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=_WORD_BREAK),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_vector"),
-    ])
-
-
-def mllib_embed(model, df: DataFrame, out_col: str = "embedding") -> DataFrame:
-    """Apply a fitted ``mllib_tfidf`` pipeline."""
-    vector = vector_to_array("_vector", "float32")
-    return model.transform(df).withColumn(out_col, vector).drop("_words", "_counts", "_weighted", "_vector")

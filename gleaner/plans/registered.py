@@ -11,7 +11,7 @@ from gleaner.functions.queries import format_query, hit_label, result_count, sco
 from gleaner.functions.text import content_hash, is_blank, language_tag, strip, suffix
 from gleaner.functions.urls import canonical, site_base
 from gleaner.operators.cells import (
-    Cells, approximate_top_k, assign_cells, fit_cells, pruned_top_k, write_cells,
+    Cells, approximate_top_k, assign_cells, pruned_top_k, write_cells,
 )
 from gleaner.operators.chunk import chunk_documents
 from gleaner.operators.crawl import reachable
@@ -19,9 +19,10 @@ from gleaner.operators.documents import (
     PROFILES, documents_from_files, documents_from_pages, file_outcomes, ingest_stats,
     preferred_branch, registry_defaults, union_documents, with_registry,
 )
-from gleaner.operators.embed import embed_text, fit_hashed_tfidf, mllib_embed, mllib_tfidf
+from gleaner.operators.embed import embed_text, fit_hashed_tfidf
 from gleaner.operators.filters import select_sources
 from gleaner.operators.knn import nearest, top_k
+from gleaner.operators.mllib import fit_cells, mllib_embed, mllib_tfidf
 from gleaner.operators.pages import distinct_targets, page_links, parse_pages
 from gleaner.plans import derived
 from gleaner.plans.build import build_collection, chunks_of

@@ -11,9 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.operators.chunk import TOKEN_PATTERN, chunk_documents, pack_sentences
-from gleaner.operators.embed import (
-    embed_text, fit_hashed_tfidf, mllib_embed, mllib_tfidf, word_counts,
-)
+from gleaner.operators.embed import embed_text, fit_hashed_tfidf, word_counts
+from gleaner.operators.mllib import mllib_embed, mllib_tfidf
 from gleaner.plans.build import chunks_of, embed_chunks
 from gleaner.schema import DOCUMENTS
 

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators.cells import (
-    approximate_top_k, assign_cells, cell_radii, fit_cells, pruned_top_k, write_cells,
+    approximate_top_k, assign_cells, cell_radii, pruned_top_k, write_cells,
 )
 from gleaner.operators.knn import distance, distance_bounds, nearest, top_k
+from gleaner.operators.mllib import fit_cells
 
 DIM = 8
 
