@@ -10,7 +10,7 @@ import html
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,11 +123,15 @@ _PAGE_FIELDS = T.StructType([
 ])
 
 
-@F.pandas_udf(_PAGE_FIELDS)
-def page_fields(pages: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_PAGE_FIELDS)
+def page_fields(pages: pa.Array) -> pa.Array:
     """Struct of main text, title and hrefs for each page."""
-    rows = [read_page(page) if page is not None else (None, None, []) for page in pages]
-    return pd.DataFrame(rows, columns=["main_text", "title", "hrefs"])
+    rows = [read_page(page) if page is not None else (None, None, []) for page in pages.to_pylist()]
+    texts, titles, hrefs = zip(*rows) if rows else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(texts, pa.string()), pa.array(titles, pa.string()), pa.array(hrefs, pa.list_(pa.string()))],
+        names=_PAGE_FIELDS.names,
+    )
 
 
 def simple_main_text(page: Column) -> Column:

@@ -7,16 +7,16 @@ triangle inequality cannot rule out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators.knn import DISTANCE_DECIMALS, distance_bounds, top_k
+from gleaner.operators.knn import DISTANCE_DECIMALS, distance_bounds, matrix, top_k
 
 # Cells are part of every task's closure: at most 32 MB of centres at 1,024 dimensions.
 MAX_CELLS = 4_096
@@ -45,15 +45,14 @@ class Cells:
 def assign_cells(index: DataFrame, cells: Cells, vec_col: str = "embedding") -> DataFrame:
     """Add ``cell`` and ``cell_distance`` (to its centre); no shuffle."""
 
-    @F.pandas_udf(_PLACE)
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for vectors in batches:
-            gaps = cells.gaps(np.stack(vectors.to_numpy()).astype(np.float64))
-            nearest = gaps.argmin(axis=1)
-            yield pd.DataFrame({
-                "cell": nearest.astype(np.int32),
-                "cell_distance": gaps[np.arange(len(gaps)), nearest],
-            })
+    @F.arrow_udf(_PLACE)
+    def place(vectors: pa.Array) -> pa.Array:
+        gaps = cells.gaps(matrix(vectors))
+        nearest = gaps.argmin(axis=1)
+        return pa.StructArray.from_arrays(
+            [pa.array(nearest.astype(np.int32)), pa.array(gaps[np.arange(len(gaps)), nearest])],
+            names=_PLACE.names,
+        )
 
     placed = index.where(F.col(vec_col).isNotNull()).withColumn("_place", place(F.col(vec_col)))
     return placed.select(*index.columns, "_place.cell", "_place.cell_distance")
@@ -76,7 +75,7 @@ def cell_radii(placed: DataFrame) -> DataFrame:
 
 
 def _probes(queries: DataFrame, cells: Cells, radii: dict[int, float]) -> DataFrame:
-    """Filled cells of each query, nearest first: array of (cell, order, floor).
+    """Add ``probes``, the filled cells, nearest first: array of (cell, order, floor).
 
     ``floor`` is the least distance any row of the cell can have.
     """
@@ -88,20 +87,27 @@ def _probes(queries: DataFrame, cells: Cells, radii: dict[int, float]) -> DataFr
         T.StructField("floor", T.DoubleType()),
     ]))
 
-    @F.pandas_udf(probe)
-    def rank_cells(vectors: pd.Series) -> pd.Series:
-        gaps = cells.gaps(np.stack(vectors.to_numpy()).astype(np.float64))[:, filled]
+    @F.arrow_udf(probe)
+    def rank_cells(vectors: pa.Array) -> pa.Array:
+        gaps = cells.gaps(matrix(vectors))[:, filled]
         floors = np.maximum(gaps - reach, 0.0) ** 2
         orders = gaps.argsort(axis=1, kind="stable")
-        return pd.Series([
-            [{"cell": int(filled[c]), "order": at, "floor": float(floor[c])} for at, c in enumerate(order)]
-            for order, floor in zip(orders, floors)
-        ])
+        rows = pa.StructArray.from_arrays(
+            [
+                pa.array(filled[orders].ravel().astype(np.int32)),
+                pa.array(np.tile(np.arange(len(filled), dtype=np.int32), len(vectors))),
+                pa.array(np.take_along_axis(floors, orders, axis=1).ravel()),
+            ],
+            names=["cell", "order", "floor"],
+        )
+        ends = np.arange(len(vectors) + 1, dtype=np.int32) * len(filled)
+        return pa.ListArray.from_arrays(pa.array(ends), rows)
 
-    exploded = queries.where(F.col("embedding").isNotNull()).withColumn(
-        "probe", F.explode(rank_cells("embedding"))
-    )
-    return exploded.select(*queries.columns, "probe.cell", "probe.order", "probe.floor")
+    return queries.where(F.col("embedding").isNotNull()).withColumn("probes", rank_cells("embedding"))
+
+
+def _cells_where(keep: Callable[[Column], Column]) -> Column:
+    return F.transform(F.filter("probes", keep), lambda probe: probe["cell"])
 
 
 def _radii(placed: DataFrame) -> dict[int, float]:
@@ -114,8 +120,9 @@ def approximate_top_k(
     vec_col: str = "embedding",
 ) -> DataFrame:
     """Top-k (squared L2) within the ``nprobe`` nearest cells of each query."""
-    probes = _probes(queries, cells, _radii(placed)).where(F.col("order") < nprobe)
-    return top_k(placed, probes, id_col, vec_col, by="cell")
+    probes = _probes(queries, cells, _radii(placed))
+    near = probes.withColumn("cell", _cells_where(lambda probe: probe["order"] < nprobe))
+    return top_k(placed, near, id_col, vec_col, by="cell")
 
 
 def pruned_top_k(
@@ -128,13 +135,8 @@ def pruned_top_k(
     (none when they hold fewer than k rows); the second visits the cells below that bound.
     """
     probes = _probes(queries, cells, _radii(placed))
-    near = probes.where(F.col("order") < nprobe)
-    bounds = distance_bounds(near, placed, id_col=id_col, vec_col=vec_col, by="cell").select(
-        "query_id", "bound"
-    )
-    open_cells = probes.join(bounds.dropDuplicates(["query_id"]), "query_id", "left").where(
-        F.col("bound").isNull() | (F.col("floor") <= F.col("bound") + _SLACK)
-    )
-    return top_k(
-        placed, open_cells.select(*queries.columns, "cell", "bound"), id_col, vec_col, by="cell"
-    )
+    near = probes.withColumn("cell", _cells_where(lambda probe: probe["order"] < nprobe))
+    bounded = distance_bounds(near, placed, id_col=id_col, vec_col=vec_col, by="cell")
+    reach = F.coalesce(F.col("bound") + _SLACK, F.lit(float("inf")))
+    within = bounded.withColumn("cell", _cells_where(lambda probe: probe["floor"] <= reach))
+    return top_k(placed, within, id_col, vec_col, by="cell")

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,13 +90,14 @@ def pack_sentences(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
 def sentence_chunks(text: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of (chunk_no, text) by whole sentences; an Arrow UDF over batches of texts."""
 
-    @F.pandas_udf(_CHUNK_ARRAY)
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda value: [
-                {"chunk_no": no, "text": piece}
-                for no, piece in pack_sentences(value, size, overlap)
-            ])
+    @F.arrow_udf(_CHUNK_ARRAY)
+    def pack(texts: pa.Array) -> pa.Array:
+        packed = [pack_sentences(text, size, overlap) for text in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, packed)], dtype=np.int32)
+        numbers = pa.array([no for chunks in packed for no, _ in chunks], pa.int32())
+        pieces = pa.array([piece for chunks in packed for _, piece in chunks], pa.string())
+        rows = pa.StructArray.from_arrays([numbers, pieces], names=["chunk_no", "text"])
+        return pa.ListArray.from_arrays(pa.array(ends), rows)
 
     return pack(text)
 

@@ -82,35 +82,44 @@ def registry_defaults(registry: DataFrame) -> DataFrame:
     )
 
 
-def with_registry(files: DataFrame, selected: DataFrame) -> DataFrame:
-    """Keep the files of the selected sources and attach their category and priority.
+def with_registry(files: DataFrame, selected: DataFrame, keep_others: bool = False) -> DataFrame:
+    """Attach category and priority to the files of the selected sources.
 
-    ``files`` may be a manifest: joined before its files are read, no content is read for
-    nothing. The registry is broadcast once its size is known; contents are not shuffled.
+    Files of other sources are dropped unless ``keep_others``. ``files`` may be a manifest:
+    joined before its files are read, no content is read for nothing. The registry is
+    broadcast once its size is known; contents are not shuffled.
     """
     entries = registry_defaults(selected).select(
         F.col("name").alias("source"), "category", "priority"
     )
-    return files.join(small_side(entries), "source")
-
-
-def file_outcomes(files: DataFrame, collection: str) -> DataFrame:
-    """Add ``outcome`` (loaded, type, unreadable, blank) and the decoded ``text``."""
-    profile = PROFILES[collection]
-    text = decode_utf8(F.col("content"))
-    if profile.stripped:
-        text = strip(text)
-    accepted = profile.accepts(F.col("file_path"))
-    decoded = files.withColumn("text", F.when(accepted, text))
-    return decoded.withColumn(
-        "outcome",
+    return files.join(small_side(entries), "source", "left" if keep_others else "inner")
+
+
+def _outcome(accepted: Column) -> Column:
+    return (
         F.when(~accepted, "type")
-        .when(F.col("content").isNull(), "unreadable")
-        .when(is_blank(F.col("text")), "blank")
-        .otherwise("loaded"),
+        .when(F.col("text").isNull(), "unreadable")
+        .when(F.col("blank"), "blank")
+        .otherwise("loaded")
     )
 
 
+def _decoded(files: DataFrame, collections: tuple[str, ...]) -> DataFrame:
+    """Decode what at least one collection accepts, once for all of them."""
+    path = F.col("file_path")
+    accepted = reduce(Column.__or__, [PROFILES[name].accepts(path) for name in collections])
+    text = files.withColumn("text", F.when(accepted, decode_utf8(F.col("content")))).drop("content")
+    return text.withColumn("blank", is_blank(F.col("text")))
+
+
+def file_outcomes(files: DataFrame, *collections: str) -> DataFrame:
+    """Add one column per collection: loaded, type, unreadable or blank."""
+    path = F.col("file_path")
+    return _decoded(files, collections).withColumns(
+        {name: _outcome(PROFILES[name].accepts(path)) for name in collections}
+    ).drop("text", "blank")
+
+
 def _conform(df: DataFrame) -> DataFrame:
     """Project to the documents layout, NULL for what a source does not have."""
     present = set(df.columns)
@@ -120,31 +129,56 @@ def _conform(df: DataFrame) -> DataFrame:
     ])
 
 
-def documents_from_files(files: DataFrame, collection: str) -> DataFrame:
-    """The documents one collection takes from a files table."""
-    profile = PROFILES[collection]
+def documents_from_files(files: DataFrame, *collections: str) -> DataFrame:
+    """The documents that the named collections take from a files table, in one scan.
+
+    A file that several collections take becomes one document of each. Tutorials take files
+    of registered sources only (see ``with_registry``).
+    """
     path = F.col("file_path")
-    # The type test stands alone so that it reaches the scan before content is decoded.
-    accepted = files.where(profile.accepts(path))
-    loaded = file_outcomes(accepted, collection).where("outcome = 'loaded'")
-    return _conform(loaded.select(
-        F.lit(collection).alias("collection"),
+
+    def taken(name: str) -> Column:
+        accepted = PROFILES[name].accepts(path)
+        return accepted & F.col("priority").isNotNull() if name == "tutorials" else accepted
+
+    takers = F.array_compact(F.array(*[F.when(taken(name), F.lit(name)) for name in collections]))
+    # The filter on paths stands alone so that it is applied before contents are decoded.
+    wanted = files.where(reduce(Column.__or__, [taken(name) for name in collections]))
+    loaded = _decoded(wanted, collections).where("not blank").withColumn("collection", F.explode(takers))
+    own = {name: F.col("collection") == name for name in collections}
+    stripped = F.col("collection").isin([n for n in collections if PROFILES[n].stripped])
+    metadata: dict[str, list[Column]] = {}
+    for name in collections:
+        for key, value in PROFILES[name].metadata(path).items():
+            metadata.setdefault(key, []).append(F.when(own[name], value))
+    text = F.when(stripped, strip(F.col("text"))).otherwise(F.col("text"))
+    shaped = loaded.select(
+        "collection",
         F.concat_ws("|", "source", "file_path").alias("doc_key"),
-        "text",
-        content_hash(F.col("text")).alias("content_hash"),
+        text.alias("text"),
         "file_path",
-        *[value.alias(name) for name, value in profile.metadata(path).items()],
-    ))
+        *[F.coalesce(*values).alias(key) for key, values in metadata.items()],
+    )
+    return _conform(shaped.withColumn("content_hash", content_hash(F.col("text"))))
 
 
-def ingest_stats(files: DataFrame, collection: str) -> DataFrame:
-    """Loaded and skipped counts per source, skips by reason."""
-    outcome = F.col("outcome")
-    if PROFILES[collection].accepts is filters.is_test_file:
-        files = files.where(filters.under_tests(F.col("file_path")))
+def ingest_stats(files: DataFrame, *collections: str) -> DataFrame:
+    """Loaded and skipped counts per collection and source, skips by reason, in one scan.
+
+    The tests collection walks ``tests/`` only, so other files are no skips of it.
+    """
+    path, outcome = F.col("file_path"), F.col("outcome")
+    outcomes = F.array_compact(F.array(*[
+        F.when(
+            filters.under_tests(path) if name == "tests" else F.lit(True),
+            F.struct(F.lit(name).alias("collection"), F.col(name).alias("outcome")),
+        )
+        for name in collections
+    ]))
     return (
-        file_outcomes(files, collection)
-        .groupBy("source")
+        file_outcomes(files, *collections)
+        .select("source", F.inline(outcomes))
+        .groupBy("collection", "source")
         .agg(
             F.count_if(outcome == "loaded").alias("loaded"),
             F.count_if(outcome != "loaded").alias("skipped"),

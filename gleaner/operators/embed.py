@@ -1,7 +1,7 @@
 """Text to vectors, row by row in Arrow batches.
 
 An embedder is a small picklable factory: called once per task, it returns a function from
-a list of texts to a matrix with one row per text. The default one is a hashed TF-IDF whose
+an Arrow array of texts to a matrix with one row per text. The default one is a hashed TF-IDF whose
 weights are fitted once and stored beside the index; a neural model plugs in the same way.
 """
 
@@ -10,45 +10,43 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BatchFunction = Callable[[list[str]], np.ndarray]
+BatchFunction = Callable[[pa.Array], np.ndarray]
 EMBED_DIM = 1024
+FIT_ROWS = 2048
 _VECTOR = T.ArrayType(T.FloatType())
 
 # Words are runs of letters, digits and underscores.
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
-def word_buckets(texts: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of every word; each distinct word of a batch is hashed once."""
-    words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), WORD_BREAK)
-    owner = pc.list_parent_indices(words)
+@lru_cache(maxsize=1 << 18)
+def _hash(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:7], 16)
+
+
+def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
+    """Matrix of word counts per bucket, one row per text; NULL counts as empty.
+
+    Each distinct word of a batch is looked up once.
+    """
+    words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), WORD_BREAK)
+    owner = pc.list_parent_indices(words).to_numpy()
     coded = pc.list_flatten(words).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
     bucket_of = np.array(
-        [
-            int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dim if word else -1
-            for word in coded.dictionary.to_pylist()
-        ],
-        dtype=np.int64,
+        [_hash(word) % dim if word else -1 for word in coded.dictionary.to_pylist()], dtype=np.int64
     )
-    buckets = bucket_of[codes] if len(codes) else np.zeros(0, np.int64)
+    buckets = bucket_of[coded.indices.to_numpy()] if len(bucket_of) else bucket_of
     kept = buckets >= 0
-    return np.asarray(owner)[kept], buckets[kept]
-
-
-def word_counts(texts: list[str], dim: int) -> np.ndarray:
-    """Matrix of word counts per bucket."""
-    owner, buckets = word_buckets(texts, dim)
-    counts = np.bincount(owner * dim + buckets, minlength=len(texts) * dim)
+    counts = np.bincount(owner[kept] * dim + buckets[kept], minlength=len(texts) * dim)
     return counts.reshape(len(texts), dim)
 
 
@@ -65,7 +63,7 @@ class HashedTfIdf:
     def __call__(self) -> BatchFunction:
         weights = np.array(self.weights)
 
-        def embed(texts: list[str]) -> np.ndarray:
+        def embed(texts: pa.Array) -> np.ndarray:
             weighted = word_counts(texts, len(weights)) * weights
             length = np.sqrt((weighted * weighted).sum(axis=1, keepdims=True))
             return weighted / np.where(length == 0, 1.0, length)
@@ -83,11 +81,10 @@ def fit_hashed_tfidf(texts: DataFrame, text_col: str = "text", dim: int = EMBED_
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(dim, np.int64), 0
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            for at in range(0, len(values), 1024):
-                counts = word_counts(values[at:at + 1024], dim)
+            for at in range(0, batch.num_rows, FIT_ROWS):
+                counts = word_counts(batch.column(0).slice(at, FIT_ROWS), dim)
                 total += (counts > 0).sum(axis=0)
-            seen += len(values)
+            seen += batch.num_rows
         if seen:
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(np.arange(-1, dim, dtype=np.int32)),
@@ -109,15 +106,18 @@ def fit_hashed_tfidf(texts: DataFrame, text_col: str = "text", dim: int = EMBED_
 def embedding(text: Column, factory: Callable[[], BatchFunction], batch_size: int = 256) -> Column:
     """Vector of each text. The model is built once per task and fed ``batch_size`` texts."""
 
-    @F.pandas_udf(_VECTOR)
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_VECTOR)
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            vectors: list[np.ndarray] = []
-            for at in range(0, len(values), batch_size):
-                vectors.extend(model(values[at:at + batch_size]).astype(np.float32))
-            yield pd.Series(vectors, index=texts.index, dtype=object)
+            parts = [
+                np.ascontiguousarray(model(texts.slice(at, batch_size)), dtype=np.float32)
+                for at in range(0, len(texts), batch_size)
+            ]
+            width = parts[0].shape[1] if parts else 0
+            values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * width
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
     return embed(text)
 

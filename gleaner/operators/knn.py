@@ -74,7 +74,8 @@ def nearest(
     )
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Arrow lists of equal length as the rows of a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -137,6 +138,15 @@ class _Best:
         )
 
 
+def _members(group_lists: list[list[str]]) -> dict:
+    """Query rows of each group."""
+    found: dict = {}
+    for at, keys in enumerate(group_lists):
+        for key in keys:
+            found.setdefault(key, []).append(at)
+    return {key: np.array(places) for key, places in found.items()}
+
+
 def _groups(keys: list) -> dict:
     found: dict = {}
     for at, key in enumerate(keys):
@@ -153,16 +163,16 @@ def _search_rows(index: DataFrame, queries: pa.Table, result: T.StructType, sche
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         query_ids = table.column("query_id").combine_chunks()
-        vectors = _matrix(table.column("query_vector"))
+        vectors = matrix(table.column("query_vector"))
         best = _Best(table)
-        asked = _groups(table.column("query_group").to_pylist())
+        asked = _members(table.column("query_groups").to_pylist())
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             for key, places in _groups(batch.column(2).to_pylist()).items():
                 if key in asked:
                     part = batch if len(places) == len(ids) else batch.take(pa.array(places))
                     best.offer(asked[key], vectors[asked[key]], ids[places],
-                               _matrix(part.column(1)), metric)
+                               matrix(part.column(1)), metric)
         out = best.table(query_ids, schema)
         if out.num_rows:
             yield out
@@ -179,6 +189,8 @@ def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, s
     task, which emits at most k rows per query.
     """
 
+    queries = queries.withColumn("query_group", F.explode("query_groups")).drop("query_groups")
+
     def blocks(df: DataFrame, group: str, size: int, name: str) -> DataFrame:
         return df.groupBy(F.col(group).alias("block_group")).agg(
             F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(name)
@@ -205,8 +217,8 @@ def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, s
         best = _Best(right)
         if left.num_rows and right.num_rows:
             ids = np.array(left.column("index_id").to_pylist(), dtype=object)
-            best.offer(np.arange(right.num_rows), _matrix(right.column("query_vector")),
-                       ids, _matrix(left.column("index_vector")), metric)
+            best.offer(np.arange(right.num_rows), matrix(right.column("query_vector")),
+                       ids, matrix(left.column("index_vector")), metric)
         query_ids = right.column("query_id").combine_chunks()
         return pa.Table.from_batches([best.table(query_ids, schema)], schema=schema)
 
@@ -229,12 +241,18 @@ def top_k(
     """The ``k`` nearest index rows of every query: query_id, id, distance, rank.
 
     ``queries`` has query_id, embedding, k and, with ``by``, that column: a query then sees
-    only the index rows of its own group. A query_id may come in several groups; its hits
-    are ranked together. The group column is compared as text. A column ``bound`` in
+    only the index rows of its group, or of its groups if that column is an array. Groups
+    are compared as text. A column ``bound`` in
     ``queries`` gives a distance that the k-th hit is known not to exceed (see
     ``distance_bounds``): tasks then emit only what can still be a hit.
     """
     group = F.lit("") if by is None else F.col(by).cast("string")
+    if by is None:
+        groups = F.array(F.lit(""))
+    elif isinstance(queries.schema[by].dataType, T.ArrayType):
+        groups = F.col(by).cast("array<string>")
+    else:
+        groups = F.array(group)
     rows = index.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("index_id"), F.col(vec_col).alias("index_vector"), group.alias("index_group")
     )
@@ -242,7 +260,7 @@ def top_k(
     bound = F.coalesce("bound", unbounded) if "bound" in queries.columns else unbounded
     asked = queries.where(F.col("embedding").isNotNull() & (F.col("k") > 0)).select(
         "query_id", F.col("embedding").alias("query_vector"), F.col("k").cast("int").alias("k"),
-        group.alias("query_group"), bound.alias("bound"),
+        groups.alias("query_groups"), bound.alias("bound"),
     )
     result = T.StructType([
         T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -258,9 +276,9 @@ def top_k(
     if probe.num_rows > max_broadcast:
         ranked = _search_blocks(rows, asked, result, schema, metric).withColumn("rank", rank)
     else:
-        groups = pc.unique(probe.column("query_group")).to_pylist()
-        if by is not None and len(groups) <= MAX_PRUNED_GROUPS:
-            rows = rows.where(F.col("index_group").isin(groups))
+        wanted = pc.unique(pc.list_flatten(probe.column("query_groups"))).to_pylist()
+        if by is not None and len(wanted) <= MAX_PRUNED_GROUPS:
+            rows = rows.where(F.col("index_group").isin(wanted))
         most = pc.max(probe.column("k")).as_py() or 0
         ranked = (
             _search_rows(rows, probe, result, schema, metric)

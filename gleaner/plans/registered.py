@@ -283,39 +283,23 @@ def branch_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each collection makes of each file."""
-    files = derived.files(spark, sf_dir)
-    outcomes = files.select("*", suffix(F.col("file_path")).alias("suffix"))
-    for name in PROFILES:
-        outcomes = file_outcomes(outcomes, name).withColumnRenamed("outcome", name).drop("text")
-    return outcomes.select("source", "file_path", "suffix", *PROFILES)
-
-
-def _registered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected = select_sources(
-        derived.registry(spark, sf_dir), max_priority=3, include_prerequisites=True
-    ).withColumn("name", F.regexp_replace("name", "^team/", ""))
-    return with_registry(derived.files(spark, sf_dir), selected)
+    outcomes = file_outcomes(derived.files(spark, sf_dir), *PROFILES)
+    return outcomes.select("source", "file_path", suffix(F.col("file_path")).alias("suffix"), *PROFILES)
 
 
 @register
 def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents all four collections take from the file corpus."""
-    files = derived.files(spark, sf_dir)
-    parts = [documents_from_files(files, name) for name in ("code", "docs", "tests")]
-    parts.append(documents_from_files(_registered_files(spark, sf_dir), "tutorials"))
-    return union_documents(*parts).drop("text", "url", "title")
+    selected = select_sources(
+        derived.registry(spark, sf_dir), max_priority=3, include_prerequisites=True
+    ).withColumn("name", F.regexp_replace("name", "^team/", ""))
+    files = with_registry(derived.files(spark, sf_dir), selected, keep_others=True)
+    return documents_from_files(files, *PROFILES).drop("text", "url", "title")
 
 
 @register
 def file_ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = derived.files(spark, sf_dir)
-    parts = [
-        ingest_stats(files, name).withColumn("collection", F.lit(name)) for name in PROFILES
-    ]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return together
+    return ingest_stats(derived.files(spark, sf_dir), *PROFILES)
 
 
 # Embedding, the index and search.

@@ -47,6 +47,17 @@ def test_who_takes_what(files, registered, letter):
     assert taken == {path for path, who in TAKEN.items() if letter in who}
 
 
+def test_one_scan_for_all_collections(files, registered):
+    every = documents_from_files(registered, *NAMES.values())
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2  # the files, and the registry
+    got = {(r.collection, r.file_path) for r in every.collect()}
+    assert got == {(NAMES[letter], path) for path, who in TAKEN.items() for letter in who}
+    others = with_registry(files, registered.limit(0).selectExpr(
+        "source name", "'' url", "branch", "category", "priority"), keep_others=True)
+    assert documents_from_files(others, "tutorials").count() == 0
+
+
 def test_test_metadata(files):
     got = {r.file_path: (r.doc_type, r.language) for r in documents_from_files(files, "tests").collect()}
     assert got["tests/run.py"] == ("python_test", "py")
@@ -67,7 +78,7 @@ def test_text_and_metadata(files, registered):
 
 
 def test_outcomes_and_counts(files):
-    outcomes = {r.file_path: r.outcome for r in file_outcomes(files, "code").collect()}
+    outcomes = {r.file_path: r.code for r in file_outcomes(files, "code").collect()}
     assert outcomes["a.py"] == "blank" and outcomes["lost.py"] == "unreadable" and outcomes["README"] == "type"
     row = ingest_stats(files, "code").first()
     loaded = sum("c" in who for who in TAKEN.values())

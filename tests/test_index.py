@@ -89,7 +89,7 @@ def test_bounded_search_is_the_same(spark, built, monkeypatch):
 
 def test_query_prefix_follows_the_stored_model(spark, tmp_path):
     def lengths():
-        return lambda texts: np.array([[len(t)] for t in texts], dtype=float)
+        return lambda texts: np.array([[len(t.as_py())] for t in texts], dtype=float)
 
     root = str(tmp_path)
     build_collection(documents(spark, TEXTS), root, "code", lengths, "some-e5-model")
