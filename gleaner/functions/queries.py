@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import strip
-from gleaner.schema import DEFAULT_RESULTS, MAX_RESULTS
+from gleaner.schema import DEFAULT_RESULTS, MAX_RESULTS, TOOLS
 
 # The retrieval prefix a model family expects.
 SENTENCE_PREFIX = "Represent this sentence for searching relevant passages: "
@@ -31,6 +33,13 @@ def format_query(query: Column, model: Column) -> Column:
     )
 
 
+def tool_collection(tool: Column) -> Column:
+    """Collection that a search tool reads; NULL for an unknown tool."""
+    return reduce(
+        lambda rest, entry: rest.when(tool == entry[0], F.lit(entry[1])), TOOLS.items(), F
+    )
+
+
 def result_count(n_results: Column) -> Column:
     """Requested hits: five unless given, twenty at most, none below one."""
     wanted = F.least(F.coalesce(n_results, F.lit(DEFAULT_RESULTS)), F.lit(MAX_RESULTS))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import cut_lineage, scratch_path
+from gleaner.session import scratch_path
 
 
 def reachable(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -14,10 +16,21 @@ def reachable(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     Result: url, depth, found (the snapshot has the page), kept. Links are followed from
     kept pages only; each URL is visited once, at its least depth. Every round writes its
     new URLs to the shared folder, so a round reads files and not the plan of all rounds.
-    The anti join shuffles URLs alone; the link table is read once per round.
+
+    The link table is bucketed by URL once. A round then shuffles its frontier only, or
+    nothing when the frontier is small enough to be broadcast; the table stays in place.
     """
     spark = pages.sparkSession
-    nodes = cut_lineage(pages.select("url", "kept", "targets").dropDuplicates(["url"]))
+    table = f"links_{uuid.uuid4().hex}"
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        pages.repartition(n_buckets, "url")
+        .groupBy("url").agg(F.max(F.struct("kept", "targets")).alias("page"))
+        .select("url", "page.kept", "page.targets")
+        .write.bucketBy(n_buckets, "url").sortBy("url")
+        .option("path", scratch_path(spark, "links")).saveAsTable(table)
+    )
+    nodes = spark.table(table)
     visited_path = scratch_path(spark, "visited")
 
     def add(urls: DataFrame, depth: int) -> DataFrame:
@@ -48,4 +61,5 @@ def reachable(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None)
         new = linked.join(visited().select("url"), "url", "left_anti")
         depth += 1
         frontier = add(new, depth)
+    spark.sql(f"DROP TABLE {table}")
     return visited().select("url", F.col("depth").cast("int").alias("depth"), "found", "kept")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,26 +46,28 @@ def embed_chunks(
     )
 
 
-def build_collection(
+def build_index(
     documents: DataFrame,
     root: str,
-    name: str,
+    names: Sequence[str],
     factory: Callable[[], BatchFunction],
     model_name: str,
     mode: str = "rebuild",
     chunking: str = "window",
     with_metadata: bool = False,
+    n_buckets: int = index.DEFAULT_BUCKETS,
 ) -> None:
-    """Chunk, embed and store the documents of one collection.
+    """Chunk, embed and store the documents of the named collections, in one job.
 
     The one shuffle moves documents to their buckets; chunks and vectors stay where they
     are made.
     """
-    spark = documents.sparkSession
-    n_buckets = (mode == "append" and index.n_buckets_of(spark, root, name)) or index.DEFAULT_BUCKETS
-    own = index.gather(documents.where(F.col("collection") == name), n_buckets)
+    if mode == "append":
+        known = [index.n_buckets_of(documents.sparkSession, root, name) for name in names]
+        n_buckets = next((size for size in known if size), n_buckets)
+    own = index.gather(documents.where(F.col("collection").isin(*names)), n_buckets)
     embedded = embed_chunks(chunks_of(own.drop("bucket"), chunking), factory, model_name, with_metadata)
-    index.write_index(embedded, root, name, model_name, mode)
+    index.write_index(embedded, root, names, model_name, mode, n_buckets)
 
 
 def fit_model(documents: DataFrame, root: str) -> HashedTfIdf:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import content_hash
 from gleaner.operators.documents import union_documents
 from gleaner.operators.embed import HashedTfIdf
-from gleaner.plans.build import build_collection, fit_model
+from gleaner.plans.build import build_index, fit_model
 from gleaner.session import scratch_path, ship_package, spread
 
 # One path form per source number; {} is the document id.
@@ -140,8 +140,7 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[str, HashedTfIdf]:
         root = scratch_path(spark, "index")
         all_documents = documents(spark, sf_dir)
         model = fit_model(all_documents, root)
-        for name in ("code", "docs", "tests", "tutorials"):
-            build_collection(all_documents, root, name, model, model.name)
+        build_index(all_documents, root, ("code", "docs", "tests", "tutorials"), model, model.name)
         _BUILT[key] = (root, model)
     return _BUILT[key]
 

@@ -72,7 +72,7 @@ def refresh(
         gathered = index.gather(part, n_buckets).drop("bucket")
         return embed_chunks(chunks_of(gathered, chunking), factory, model_name)
 
-    index.append(embedded(fresh.where(~in_touched)), root, name, model_name)
+    index.append(embedded(fresh.where(~in_touched)), root, [name], model_name)
     if touched:
         gone = outdated.select(*version)
         kept = indexed.where(in_touched).join(gone, version, "left_anti")

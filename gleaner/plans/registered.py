@@ -25,7 +25,7 @@ from gleaner.operators.knn import nearest, top_k
 from gleaner.operators.mllib import fit_cells, mllib_embed, mllib_tfidf
 from gleaner.operators.pages import distinct_targets, page_links, parse_pages
 from gleaner.plans import derived
-from gleaner.plans.build import build_collection, chunks_of
+from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import render, search
 from gleaner.plans.status import collection_counts, coverage, health, query_status
@@ -407,7 +407,7 @@ def refresh_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, model = derived.index(spark, sf_dir)
     root = scratch_path(spark, "refreshed")
     documents = _one_collection(spark, sf_dir)
-    build_collection(documents, root, "docs", model, model.name)
+    build_index(documents, root, ["docs"], model, model.name)
     refresh(_edited(documents), root, "docs", model, model.name)
     return _content(spark, root)
 
@@ -431,8 +431,7 @@ def rebuild_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "rebuilt")
     documents = derived.documents(spark, sf_dir)
     chunks = chunks_of(documents)
-    for name in ("code", "docs", "tests"):
-        store.write_index(chunks, root, name, model.name, "append")
-    store.write_index(chunks_of(_edited(documents)), root, "docs", model.name, "rebuild")
-    store.write_index(chunks.where("false"), root, "tests", model.name, "rebuild")
+    store.write_index(chunks, root, ("code", "docs", "tests"), model.name, "append")
+    store.write_index(chunks_of(_edited(documents)), root, ["docs"], model.name, "rebuild")
+    store.write_index(chunks.where("false"), root, ["tests"], model.name, "rebuild")
     return _content(spark, root).drop("dims")

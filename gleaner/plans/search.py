@@ -57,7 +57,7 @@ def search(
     text and metadata are joined to them afterwards: with the true size of the winners at
     hand Spark broadcasts them, so that neither vectors nor texts of the index are shuffled.
     """
-    prepared = prepare_queries(queries, index.catalog(spark, root), factory)
+    prepared = stored(prepare_queries(queries, index.catalog(spark, root), factory), "queries")
     chunks = index.ensure_index(spark, root)
     if chunks.rdd.getNumPartitions() > BOUND_PARTITIONS:
         prepared = distance_bounds(prepared, chunks.where("bucket = 0"), by="collection", metric=metric)

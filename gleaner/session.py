@@ -53,15 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than cores one partition per core.
+    """Give a table of very few files one partition per core.
 
-    Parquet cannot split a row group, so a small single-group file would feed its
-    costly text work to one core. A large table has more partitions than cores and
-    passes through without a shuffle. Use on scans only: counting partitions plans
-    the frame.
+    Parquet cannot split a row group, so a small table in one file would feed its costly
+    text work to one core. A table of many files or many splits passes through without a
+    shuffle. Use on scans only: counting partitions plans the frame.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    if scan.rdd.getNumPartitions() < 4 * cores and 2 * len(scan.inputFiles()) <= cores:
+        return scan.repartition(cores)
+    return scan
 
 
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

@@ -11,6 +11,7 @@ embedding model its queries must use.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,30 +117,43 @@ def _layout(chunks: DataFrame, n_buckets: int) -> DataFrame:
     ])
 
 
-def append(chunks: DataFrame, root: str, name: str, embed_model: str) -> None:
-    """Add chunks to a collection, creating it on first use. See ``gather`` for file sizes."""
-    n_buckets = ensure_collection(chunks.sparkSession, root, name, embed_model)
-    own = chunks.where(F.col("collection") == name)
-    _layout(own, n_buckets).write.partitionBy("collection", "bucket").mode("append").parquet(
+def append(
+    chunks: DataFrame, root: str, names: Sequence[str], embed_model: str,
+    n_buckets: int = DEFAULT_BUCKETS,
+) -> None:
+    """Add chunks to the named collections, creating them on first use, in one job.
+
+    Chunks of other collections are left out. See ``gather`` for file sizes.
+    """
+    sizes = {ensure_collection(chunks.sparkSession, root, name, embed_model, n_buckets) for name in names}
+    if len(sizes) > 1:
+        raise ValueError(f"collections {names} have different numbers of buckets")
+    own = chunks.where(F.col("collection").isin(*names))
+    _layout(own, sizes.pop()).write.partitionBy("collection", "bucket").mode("append").parquet(
         chunks_path(root)
     )
 
 
 def rebuild(
-    chunks: DataFrame, root: str, name: str, embed_model: str, n_buckets: int = DEFAULT_BUCKETS
+    chunks: DataFrame, root: str, names: Sequence[str], embed_model: str,
+    n_buckets: int = DEFAULT_BUCKETS,
 ) -> None:
-    """Replace one collection; the others stay. Without chunks it ends up empty."""
-    own = chunks.where(F.col("collection") == name)
-    _layout(own, n_buckets).drop("collection").write.partitionBy("bucket").mode("overwrite").parquet(
-        f"{chunks_path(root)}/collection={name}"
-    )
-    create_collection(chunks.sparkSession, root, name, embed_model, n_buckets)
+    """Delete the named collections and fill them again; the others stay.
+
+    A collection that gets no chunks exists and is empty.
+    """
+    spark = chunks.sparkSession
+    for name in names:
+        drop_path(spark, f"{chunks_path(root)}/collection={name}")
+        create_collection(spark, root, name, embed_model, n_buckets)
+    append(chunks, root, names, embed_model, n_buckets)
 
 
 def write_index(
-    chunks: DataFrame, root: str, name: str, embed_model: str, mode: str = "append"
+    chunks: DataFrame, root: str, names: Sequence[str], embed_model: str, mode: str = "append",
+    n_buckets: int = DEFAULT_BUCKETS,
 ) -> None:
-    {"append": append, "rebuild": rebuild}[mode](chunks, root, name, embed_model)
+    {"append": append, "rebuild": rebuild}[mode](chunks, root, names, embed_model, n_buckets)
 
 
 def replace_buckets(kept: DataFrame, fresh: DataFrame, root: str, name: str) -> None:

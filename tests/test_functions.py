@@ -102,3 +102,8 @@ def test_label_and_rendering(spark):
     assert labels == ["f  [python_test]", "u", "s", "?", ""]
     block = spark.range(1).select(q.render_hit(F.lit("f"), F.lit(0.5), F.lit("\n x \n")).alias("b")).first().b
     assert block == "**f** (score: 0.5)\n```\nx\n```"
+
+
+def test_tool_collection(spark):
+    tools = ["search_codebase", "search_docs", "search_tests", "search_tutorials", "search_moon", None]
+    assert column(spark, tools, q.tool_collection) == ["code", "docs", "tests", "tutorials", None, None]

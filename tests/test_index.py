@@ -10,7 +10,7 @@ from gleaner.functions.text import content_hash
 from gleaner.operators.documents import union_documents
 from gleaner.operators.embed import fit_hashed_tfidf
 from gleaner.plans import search as search_plan
-from gleaner.plans.build import build_collection, chunks_of, fit_model, load_model
+from gleaner.plans.build import build_index, chunks_of, fit_model, load_model
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import render, search
 from gleaner.plans.status import collection_counts, coverage, health, query_status
@@ -35,8 +35,7 @@ def built(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("index"))
     everything = documents(spark, TEXTS)
     model = fit_model(everything, root)
-    for name in ("code", "docs", "tests"):
-        build_collection(everything, root, name, model, model.name)
+    build_index(everything, root, ("code", "docs", "tests"), model, model.name)
     return root, model
 
 
@@ -92,7 +91,7 @@ def test_query_prefix_follows_the_stored_model(spark, tmp_path):
         return lambda texts: np.array([[len(t.as_py())] for t in texts], dtype=float)
 
     root = str(tmp_path)
-    build_collection(documents(spark, TEXTS), root, "code", lengths, "some-e5-model")
+    build_index(documents(spark, TEXTS), root, ["code"], lengths, "some-e5-model")
     asked = queries(spark, ("a", "code", "xy", 1))
     prepared = search_plan.prepare_queries(asked, index.catalog(spark, root), lengths)
     assert prepared.first().embedding == [len("query: xy")]
@@ -124,19 +123,18 @@ def test_absent_index_is_empty(spark, tmp_path):
 def test_append_adds_and_rebuild_replaces(spark, tmp_path):
     root = str(tmp_path)
     chunks = chunks_of(documents(spark, TEXTS))
-    for name in TEXTS:
-        index.write_index(chunks, root, name, "m")
-    index.write_index(chunks, root, "code", "m")
+    index.write_index(chunks, root, list(TEXTS), "m")
+    index.write_index(chunks, root, ["code"], "m")
     assert index.collection(spark, root, "code").count() == 6
     for _ in range(2):  # rebuilding twice gives the same
-        index.write_index(chunks, root, "code", "m", "rebuild")
+        index.write_index(chunks, root, ["code"], "m", "rebuild")
         assert keys(spark, root, "code") == sorted(TEXTS["code"])
-    index.write_index(chunks.where("false"), root, "code", "m", "rebuild")
+    index.write_index(chunks.where("false"), root, ["code"], "m", "rebuild")
     assert keys(spark, root, "code") == []
     assert keys(spark, root, "docs") == sorted(TEXTS["docs"])
     assert {r.collection for r in index.catalog(spark, root).collect()} == set(TEXTS)
     with pytest.raises(ValueError):
-        index.write_index(chunks, root, "a/b", "m")
+        index.write_index(chunks, root, ["a/b"], "m")
 
 
 def test_collection_scan_reads_its_own_files(spark, built):
