@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators.knn import DISTANCE_DECIMALS, distance_bounds, matrix, top_k
+from gleaner.operators.knn import SLACK, distance_bounds, matrix, top_k
 
 # Cells are part of every task's closure: at most 32 MB of centres at 1,024 dimensions.
 MAX_CELLS = 4_096
@@ -24,7 +24,6 @@ _PLACE = T.StructType([
     T.StructField("cell", T.IntegerType()),
     T.StructField("cell_distance", T.DoubleType()),
 ])
-_SLACK = 10.0**-DISTANCE_DECIMALS
 
 
 @dataclass(frozen=True)
@@ -137,6 +136,6 @@ def pruned_top_k(
     probes = _probes(queries, cells, _radii(placed))
     near = probes.withColumn("cell", _cells_where(lambda probe: probe["order"] < nprobe))
     bounded = distance_bounds(near, placed, id_col=id_col, vec_col=vec_col, by="cell")
-    reach = F.coalesce(F.col("bound") + _SLACK, F.lit(float("inf")))
+    reach = F.coalesce(F.col("bound") + SLACK, F.lit(float("inf")))
     within = bounded.withColumn("cell", _cells_where(lambda probe: probe["floor"] <= reach))
     return top_k(placed, within, id_col, vec_col, by="cell")

@@ -28,7 +28,7 @@ _VECTOR = T.ArrayType(T.FloatType())
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 19)
 def _hash(word: str) -> int:
     return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:7], 16)
 
@@ -42,7 +42,8 @@ def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
     owner = pc.list_parent_indices(words).to_numpy()
     coded = pc.list_flatten(words).dictionary_encode()
     bucket_of = np.array(
-        [_hash(word) % dim if word else -1 for word in coded.dictionary.to_pylist()], dtype=np.int64
+        [_hash(word) % dim if word else -1 for word in coded.dictionary.to_numpy(zero_copy_only=False)],
+        dtype=np.int64,
     )
     buckets = bucket_of[coded.indices.to_numpy()] if len(bucket_of) else bucket_of
     kept = buckets >= 0
@@ -103,7 +104,7 @@ def fit_hashed_tfidf(texts: DataFrame, text_col: str = "text", dim: int = EMBED_
     ))
 
 
-def embedding(text: Column, factory: Callable[[], BatchFunction], batch_size: int = 256) -> Column:
+def embedding(text: Column, factory: Callable[[], BatchFunction], batch_size: int = 1024) -> Column:
     """Vector of each text. The model is built once per task and fed ``batch_size`` texts."""
 
     @F.arrow_udf(_VECTOR)
@@ -127,6 +128,6 @@ def embed_text(
     factory: Callable[[], BatchFunction],
     text_col: str = "text",
     out_col: str = "embedding",
-    batch_size: int = 256,
+    batch_size: int = 1024,
 ) -> DataFrame:
     return df.withColumn(out_col, embedding(F.col(text_col), factory, batch_size))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gleaner.session import small_side, stored
 
 DISTANCE_DECIMALS = 6
+SLACK = 10.0**-DISTANCE_DECIMALS
 
 # Query vectors sent to every task: at most 64 MB at 1,024 dimensions.
 MAX_BROADCAST_QUERIES = 16_384
@@ -83,12 +85,15 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    products = queries @ rows.T
+    query_norms, row_norms = (queries**2).sum(1), (rows**2).sum(1)
     if metric == "cosine":
-        lengths = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((rows**2).sum(1))[None, :]
-        cosine = queries @ rows.T / np.where(lengths == 0, 1.0, lengths)
-        return 1.0 - cosine
-    squared = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2.0 * (queries @ rows.T)
-    return np.maximum(squared, 0.0)
+        lengths = np.sqrt(query_norms)[:, None] * np.sqrt(row_norms)[None, :]
+        return 1.0 - products / np.where(lengths == 0, 1.0, lengths)
+    products *= -2.0
+    products += query_norms[:, None]
+    products += row_norms[None, :]
+    return np.maximum(products, 0.0, out=products)
 
 
 class _Best:
@@ -109,20 +114,20 @@ class _Best:
     def _offer(self, which: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray,
                metric: str) -> None:
         exact = _distances(queries, rows, metric)
-        rounded = np.round(exact, DISTANCE_DECIMALS)
-        for at, query in enumerate(which):
-            k = int(self.counts[query])
-            line = rounded[at]
-            bound = self.bounds[query]
-            if len(line) > k:
-                bound = min(bound, np.partition(line, k - 1)[k - 1])
-            near = np.flatnonzero(line <= bound)
-            if len(near):
-                offers = zip(line[near].tolist(), ids[near].tolist(), exact[at, near].tolist())
-                best = heapq.nsmallest(k, self.hits[query] + list(offers))
-                self.hits[query] = best
-                if len(best) == k:
-                    self.bounds[query] = min(self.bounds[query], best[-1][0])
+        for at in np.flatnonzero(np.isinf(self.bounds[which])):
+            k = self.counts[which[at]]
+            if len(rows) > k:
+                self.bounds[which[at]] = np.partition(exact[at], k - 1)[k - 1]
+        near = exact <= (self.bounds[which] + SLACK)[:, None]
+        for at in np.flatnonzero(near.any(axis=1)):
+            query, places = which[at], np.flatnonzero(near[at])
+            found = exact[at, places]
+            rounded = np.round(found, DISTANCE_DECIMALS)
+            offers = zip(rounded.tolist(), ids[places].tolist(), found.tolist())
+            best = heapq.nsmallest(int(self.counts[query]), self.hits[query] + list(offers))
+            self.hits[query] = best
+            if len(best) == self.counts[query]:
+                self.bounds[query] = min(self.bounds[query], best[-1][0])
 
     def table(self, query_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
         taken = [at for at, best in enumerate(self.hits) for _ in best]
@@ -147,11 +152,14 @@ def _members(group_lists: list[list[str]]) -> dict:
     return {key: np.array(places) for key, places in found.items()}
 
 
-def _groups(keys: list) -> dict:
-    found: dict = {}
-    for at, key in enumerate(keys):
-        found.setdefault(key, []).append(at)
-    return {key: np.array(places) for key, places in found.items()}
+def _groups(keys: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """The rows of each group of a batch."""
+    coded = keys.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    for key, (start, end) in zip(coded.dictionary.to_pylist(), pairwise(ends)):
+        yield key, order[start:end]
 
 
 def _search_rows(index: DataFrame, queries: pa.Table, result: T.StructType, schema: pa.Schema,
@@ -167,8 +175,8 @@ def _search_rows(index: DataFrame, queries: pa.Table, result: T.StructType, sche
         best = _Best(table)
         asked = _members(table.column("query_groups").to_pylist())
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            for key, places in _groups(batch.column(2).to_pylist()).items():
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for key, places in _groups(batch.column(2)):
                 if key in asked:
                     part = batch if len(places) == len(ids) else batch.take(pa.array(places))
                     best.offer(asked[key], vectors[asked[key]], ids[places],
@@ -216,7 +224,7 @@ def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, s
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         best = _Best(right)
         if left.num_rows and right.num_rows:
-            ids = np.array(left.column("index_id").to_pylist(), dtype=object)
+            ids = left.column("index_id").to_numpy()
             best.offer(np.arange(right.num_rows), matrix(right.column("query_vector")),
                        ids, matrix(left.column("index_vector")), metric)
         query_ids = right.column("query_id").combine_chunks()
