@@ -34,11 +34,11 @@ def _hash(word: str) -> int:
 
 
 def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
-    """Matrix of word counts per bucket, one row per text; NULL counts as empty.
+    """Matrix of word counts per bucket, one row per text.
 
     Each distinct word of a batch is looked up once.
     """
-    words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), WORD_BREAK)
+    words = pc.split_pattern_regex(pc.utf8_lower(texts), WORD_BREAK)
     owner = pc.list_parent_indices(words).to_numpy()
     coded = pc.list_flatten(words).dictionary_encode()
     bucket_of = np.array(
@@ -110,7 +110,8 @@ def embedding(text: Column, factory: Callable[[], BatchFunction], batch_size: in
     @F.arrow_udf(_VECTOR)
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
-        for texts in batches:
+        for batch in batches:
+            texts = pc.fill_null(batch, "")
             parts = [
                 np.ascontiguousarray(model(texts.slice(at, batch_size)), dtype=np.float32)
                 for at in range(0, len(texts), batch_size)

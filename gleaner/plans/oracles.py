@@ -360,6 +360,12 @@ ORACLES: dict[str, str] = {
         SELECT * EXCLUDE (given), 'default' AS selection FROM filled
         WHERE priority <= 2 AND given IS DISTINCT FROM 'prerequisite'
         UNION ALL SELECT * EXCLUDE (given), 'wide' FROM filled WHERE priority <= 3""",
+    "registry_scan": f"""
+        WITH {_REGISTRY} SELECT name, url, branch, category, priority FROM registry""",
+    "tree_scan": """
+        SELECT source, lang, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes,
+               sum(length(text) + 1)::BIGINT AS n_chars
+        FROM documents GROUP BY ALL""",
     "branch_choice": f"""
         WITH b AS (
             SELECT DISTINCT source, CASE lang

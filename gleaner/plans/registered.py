@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.queries import format_query, hit_label, result_count, score
-from gleaner.functions.text import content_hash, is_blank, language_tag, strip, suffix
+from gleaner.functions.text import content_hash, decode_utf8, is_blank, language_tag, strip, suffix
 from gleaner.functions.urls import canonical, site_base
 from gleaner.operators.cells import (
     Cells, approximate_top_k, assign_cells, pruned_top_k, write_cells,
@@ -29,8 +29,11 @@ from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import render, search
 from gleaner.plans.status import collection_counts, coverage, health, query_status
-from gleaner.session import scratch_path
+from gleaner.session import scratch_path, ship_package
 from gleaner.sources import index as store
+from gleaner.sources.files import scan_files
+from gleaner.sources.pages import scan_pages
+from gleaner.sources.registry import scan_registry
 from gleaner.streaming.refresh import stream_refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,7 +193,8 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_pages(derived.text_table(spark, sf_dir, "pages"))
+    ship_package(spark)
+    return parse_pages(scan_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 @register
@@ -275,6 +279,32 @@ def registry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default.unionByName(registry_defaults(wide).withColumn("selection", F.lit("wide")))
 
 
+@register
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry written as JSON documents, an entry each, and scanned."""
+    folder = scratch_path(spark, "registry")
+    entries = derived.registry(spark, sf_dir)
+    document = entries.select(F.array(F.struct(*entries.columns)).alias("sources"))
+    document.write.option("maxRecordsPerFile", 1).json(folder)
+    return scan_registry(spark, folder)
+
+
+@register
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts written as a tree of files per source and language, listed and read."""
+    tree = scratch_path(spark, "tree")
+    texts = derived.text_table(spark, sf_dir, "documents").select("source", "lang", "text")
+    texts.write.partitionBy("source", "lang").text(tree)
+    roots = texts.select("source").distinct().select(
+        "source", F.concat(F.lit(f"{tree}/source="), "source").alias("root")
+    )
+    scanned = scan_files(roots, suffix(F.col("file_path")) == ".txt")
+    text = decode_utf8(F.col("content"))
+    return scanned.groupBy("source", F.regexp_extract("file_path", "^lang=([^/]*)/", 1).alias("lang")).agg(
+        F.sum(F.octet_length("content")).alias("n_bytes"), F.sum(F.length(text)).alias("n_chars")
+    )
+
+
 @register
 def branch_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferred_branch(derived.branches(spark, sf_dir))

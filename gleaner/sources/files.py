@@ -7,6 +7,7 @@ Paths may be local or any URI Arrow knows (s3://, hdfs://, gs://).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,17 +27,19 @@ _ENTRY_SCHEMA = pa.schema([
 ])
 
 
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:")
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    """Filesystem of a path or URI, and the path within it."""
+    return fs.FileSystem.from_uri(path) if _SCHEME.match(path) else (fs.LocalFileSystem(), path)
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for folder in batch.to_pylist():
             filesystem, place = _open(folder["path"])
-            prefix = folder["path"][: len(folder["path"]) - len(place)] if "://" in folder["path"] else ""
+            prefix = folder["path"].removesuffix(place)
             entries = filesystem.get_file_info(fs.FileSelector(place, allow_not_found=True))
             rows = [
                 {
