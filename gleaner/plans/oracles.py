@@ -333,6 +333,15 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT dst_url, 1, false, false FROM kept_links
         WHERE dst_url NOT IN (SELECT url FROM pages)""",
+    "crawl_documents": f"""
+        WITH RECURSIVE {_PAGES},
+        walk AS (
+            SELECT min(url) AS url FROM parsed GROUP BY base
+            UNION
+            SELECT l.dst_url FROM walk w JOIN kept_links l ON l.src_url = w.url)
+        SELECT url AS doc_key, title, regexp_replace(base, '^[a-z]+://', '') AS source,
+               sha256(main_text) AS content_hash
+        FROM parsed WHERE url IN (SELECT url FROM walk) AND length(main_text) >= 100""",
     "reachable_turns": """
         WITH RECURSIVE nodes AS (
             SELECT conv_id || '/' || turn AS url, length(text) >= 100 AS kept,

@@ -26,6 +26,7 @@ from gleaner.operators.mllib import fit_cells, mllib_embed, mllib_tfidf
 from gleaner.operators.pages import distinct_targets, page_links, parse_pages
 from gleaner.plans import derived
 from gleaner.plans.build import build_index, chunks_of
+from gleaner.plans.jobs import crawled_documents
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import render, search
 from gleaner.plans.status import collection_counts, coverage, health, query_status
@@ -240,6 +241,15 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable(parsed, derived.table(spark, sf_dir, "pages").select("url"))
 
 
+@register
+def crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents reached from the first page of every site."""
+    ship_package(spark)
+    pages = scan_pages(spark, f"{sf_dir}/pages.parquet")
+    seeds = pages.groupBy(site_base(F.col("url"))).agg(F.min("url").alias("url")).select("url")
+    return crawled_documents(pages, seeds).select("doc_key", "title", "source", "content_hash")
+
+
 @register
 def reachable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as linked pages: each turn links to the next two and to its opening.

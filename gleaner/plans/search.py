@@ -63,7 +63,9 @@ def search(
         prepared = distance_bounds(prepared, chunks.where("bucket = 0"), by="collection", metric=metric)
     ranked = top_k(chunks, prepared, by="collection", metric=metric)
     winners = stored(ranked.join(prepared.select("query_id", "collection"), "query_id"), "winners")
-    details = chunks.select("collection", "chunk_id", "chunk_no", "text", *METADATA.names)
+    # As many rows as there are collections; names in the filter prune the scan.
+    names = [row["collection"] for row in winners.select("collection").distinct().collect()]
+    details = chunks.where(F.col("collection").isin(names)).select("collection", "chunk_id", "chunk_no", "text", *METADATA.names)
     return label_hits(winners.join(details, ["collection", "chunk_id"]))
 
 
