@@ -1,4 +1,4 @@
-"""Session helpers: a local builder, the shared scratch folder, lineage cuts."""
+"""Session helpers: a local builder, the shared scratch folder, size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -46,12 +46,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Give a table of very few files one partition per core.
 

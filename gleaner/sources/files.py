@@ -7,6 +7,7 @@ Paths may be local or any URI Arrow knows (s3://, hdfs://, gs://).
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -16,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import relative_path
-from gleaner.session import cut_lineage
+from gleaner.session import stored
 
 # A batch of file contents is handed on when it reaches this size.
 BATCH_BYTES = 32 << 20
+BATCH_ENTRIES = 50_000
+# Bytes of file contents one task reads.
+TASK_BYTES = 128 << 20
 _ENTRIES = "source string, root string, path string, is_dir boolean, size long"
 _ENTRY_SCHEMA = pa.schema([
     ("source", pa.string()), ("root", pa.string()), ("path", pa.string()),
@@ -41,14 +45,21 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filesystem, place = _open(folder["path"])
             prefix = folder["path"].removesuffix(place)
             entries = filesystem.get_file_info(fs.FileSelector(place, allow_not_found=True))
-            rows = [
-                {
-                    "source": folder["source"], "root": folder["root"], "path": prefix + entry.path,
-                    "is_dir": entry.type == fs.FileType.Directory, "size": entry.size,
-                }
-                for entry in entries
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY_SCHEMA)
+            if isinstance(filesystem, fs.LocalFileSystem):
+                # A link to a folder is not followed: it may lead back up.
+                entries = [e for e in entries if e.is_file or not os.path.islink(e.path)]
+            for at in range(0, len(entries), BATCH_ENTRIES):
+                part = entries[at:at + BATCH_ENTRIES]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(folder["source"], len(part)),
+                        pa.repeat(folder["root"], len(part)),
+                        pa.array([prefix + entry.path for entry in part]),
+                        pa.array([entry.type == fs.FileType.Directory for entry in part]),
+                        pa.array([entry.size for entry in part], pa.int64()),
+                    ],
+                    schema=_ENTRY_SCHEMA,
+                )
 
 
 def list_files(roots: DataFrame) -> DataFrame:
@@ -58,10 +69,10 @@ def list_files(roots: DataFrame) -> DataFrame:
     the tasks. A missing root has no files.
     """
     tasks = roots.sparkSession.sparkContext.defaultParallelism
-    folders = roots.select("source", "root", F.col("root").alias("path"))
+    folders = roots.select("source", "root", F.rtrim("root", F.lit("/")).alias("path"))
     levels: list[DataFrame] = []
     while True:
-        entries = cut_lineage(folders.repartition(tasks).mapInArrow(_list, _ENTRIES))
+        entries = stored(folders.repartition(tasks).mapInArrow(_list, _ENTRIES), "entries")
         levels.append(entries.where("not is_dir"))
         folders = entries.where("is_dir").select("source", "root", "path")
         if folders.isEmpty():
@@ -99,10 +110,11 @@ def read_files(manifest: DataFrame, accepts: Column | None = None) -> DataFrame:
     """Contents of the manifest's files: source, file_path, content (NULL if unreadable).
 
     ``accepts`` is applied before any byte is read. The manifest is small beside the files,
-    so it is shuffled to spread large folders over all tasks.
+    so it is shuffled to spread large folders over tasks, as many as the bytes ask for.
     """
     wanted = manifest if accepts is None else manifest.where(accepts)
-    tasks = 4 * manifest.sparkSession.sparkContext.defaultParallelism
+    n_bytes = wanted.agg(F.sum("size")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, n_bytes // TASK_BYTES)
     entries = wanted.select("source", "path", "file_path")
     return entries.repartition(tasks).mapInArrow(_read, "source string, file_path string, content binary")
 

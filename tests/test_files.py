@@ -136,13 +136,14 @@ def test_scan_keeps_hidden_names_and_reads_late(spark, tmp_path):
         place = tmp_path / "tree" / path
         place.parent.mkdir(parents=True, exist_ok=True)
         place.write_bytes(content)
+    (tmp_path / "tree" / "loop").symlink_to(tmp_path / "tree")
     roots = spark.createDataFrame(
         [("s", str(tmp_path / "tree")), ("none", str(tmp_path / "absent"))], "source string, root string")
     listed = list_files(roots)
     assert {(r.file_path, r.size) for r in listed.collect()} == {(p, len(c)) for p, c in contents.items()}
     read = scan_files(roots, is_code_file(F.col("file_path"))).collect()
     assert {r.file_path: bytes(r.content) for r in read} == {p: c for p, c in contents.items() if p.endswith(".py")}
-    uri = spark.createDataFrame([("s", f"file://{tmp_path}/tree")], "source string, root string")
+    uri = spark.createDataFrame([("s", f"file://{tmp_path}/tree/")], "source string, root string")
     assert {r.file_path for r in scan_files(uri).collect()} == set(contents)
     os.remove(tmp_path / "tree" / "top.py")
     late = {r.file_path: r.content for r in read_files(listed).collect()}
