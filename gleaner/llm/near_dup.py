@@ -20,7 +20,8 @@ ROWS = 2  # hashes per key: a table key has 4
 HASHES = 2 * COLLECTIONS * ROWS
 LIKELY = 0.5  # share of equal hashes below which a pair is not similar: 4.3 deviations below 0.75
 CHUNK = 400_000  # characters hashed together
-BLOCK = 2048  # rows of a bucket compared in one task
+BLOCK = 2048  # members of a key compared in one task
+LONG = 4096  # sets above this size are compared by sketch, then in full
 SMALL_NODES = 1_000_000  # ids of 8 bytes
 
 _RNG = np.random.default_rng(20)
@@ -169,10 +170,11 @@ def _sets_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(documents, nodes.join(ends, "node", "left_semi"))
+def _verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar; ``sets``, if given, holds all their nodes."""
+    if sets is None:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = _sets_of(documents, nodes.join(ends, "node", "left_semi"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
 
@@ -190,21 +192,23 @@ def _verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataF
     return both.filter(similar("left", "right")).select("a", "b")
 
 
-def _link(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _link(
+    documents: DataFrame, pairs: DataFrame, nodes: DataFrame, links: DataFrame | None, sets: DataFrame | None = None,
+) -> DataFrame:
     """Links known so far and those of ``pairs`` (a, b, alike) that join what is apart.
 
     Each node's most similar pair is checked first. A pair whose ends are connected by then
     needs no check; all others are checked.
     """
     best = stored(pairs.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("top")).select("top.a", "b"), "best")
-    found = _verified(documents, best, nodes)
+    found = _verified(documents, best, nodes, sets)
     links = stored(found if links is None else links.union(found), "verified")
     reach = components(links)
     rest = _apart(pairs, reach).join(best, ["a", "b"], "left_anti")
     rest = stored(rest.select("a", "b"), "rest")
     if rest.isEmpty():
         return links
-    return stored(links.union(_verified(documents, rest, nodes)), "verified")
+    return stored(links.union(_verified(documents, rest, nodes, sets)), "verified")
 
 
 def _apart(pairs: DataFrame, reach: DataFrame) -> DataFrame:
@@ -220,40 +224,70 @@ def _with_sketches(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
         sketch.select(F.col("node").alias("b"), F.col("sketch").alias("right")), "b")
 
 
+def _pairs_across(left_no: int, ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, short: list[np.ndarray]):
+    """Pairs (a, b, alike) of the members of one left key that meet in a table and may be similar.
+
+    A table key is the left key with one of the right keys; a pair is told under its first common left key only. Sketches
+    rule out most; then 16 bits of every shingle, which can only make a pair look more alike.
+    Of the pairs of a node and a component one is enough where it is certain; else all doubtful ones are told.
+    """
+    _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+    weight = size[at].astype(np.int64) * (len(size) + 1) + at  # smaller components first, equal within one
+    seen = np.zeros(1 << 16, bool)
+    for begin in range(0, len(ids), 32):
+        part = slice(begin, begin + 32)
+        likely = weight[part, None] < weight[None, :]
+        if not likely.any():
+            continue
+        same = sketch[part, None, :] == sketch[None, :, :]
+        share = same.mean(axis=2)
+        whole = same.reshape(*same.shape[:2], 2 * COLLECTIONS, ROWS).all(axis=3)
+        likely &= (share >= LIKELY) & (whole[:, :, :COLLECTIONS].argmax(axis=2) == left_no) & whole[:, :, COLLECTIONS:].any(axis=2)
+        for row in np.flatnonzero(likely.any(axis=1)):
+            one, others = row + begin, np.flatnonzero(likely[row])
+            lengths = np.array([len(short[other]) for other in others])
+            seen[short[one]] = True
+            common = np.add.reduceat(seen[np.concatenate([short[other] for other in others])].astype(np.int64),
+                                     np.cumsum(lengths) - lengths)
+            seen[short[one]] = False
+            alike = common / (lengths + len(short[one]) - common)
+            long = np.maximum(lengths, len(short[one])) > LONG
+            alike = np.where(long, share[row, others], alike)
+            sure = ~long & (alike >= SIMILAR / 100 + 0.05)
+            doubtful = (long | (alike >= SIMILAR / 100 - 0.02)) & ~np.isin(at[others], at[others[sure]])
+            first = np.flatnonzero(sure)[np.unique(at[others[sure]], return_index=True)[1]]
+            for place in [*first, *np.flatnonzero(doubtful)]:
+                yield int(min(ids[one], ids[others[place]])), int(max(ids[one], ids[others[place]])), float(alike[place])
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Likely pairs (a, b, alike) of different components in the buckets of ``rows``.
+    """Pairs (a, b, alike) that may link different components of ``rows``: key, members, node, component, sketch, shingles.
 
-    ``rows``: key, members, node, component, sketch. A bucket of more than ``BLOCK`` rows is cut into blocks and
-    each two blocks are compared in a task of their own. Only likely pairs leave a task.
+    A key of more than ``BLOCK`` members is cut into blocks, and each two blocks are compared in a task of their own. Pairs are
+    formed and ruled out within a task; few leave it.
     """
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = rows.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))).select(
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "node", "component", "sketch")
+        "node", "component", "sketch", "short")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
 
         def pairs_of() -> pa.RecordBatch:
-            ids = np.array([row[0] for row in rows])
-            comp = np.array([row[1] for row in rows])
+            ids, comp = (np.array([row[at] for row in rows]) for at in (0, 1))
             sketch = np.frombuffer(b"".join(row[2] for row in rows), "<u2").reshape(-1, HASHES)
-            left, right, alike = [], [], []
-            for begin in range(0, len(ids), 32):
-                part = slice(begin, begin + 32)
-                share = (sketch[part, None, :] == sketch[None, :, :]).mean(axis=2)
-                one, two = np.nonzero((share >= LIKELY) & (comp[part, None] != comp[None, :]) & (ids[part, None] < ids[None, :]))
-                left.append(ids[one + begin])
-                right.append(ids[two])
-                alike.append(share[one, two])
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64()),
-                pa.array(np.concatenate(alike), pa.float64())], names=["a", "b", "alike"])
+            short = [np.frombuffer(row[3], "<u2") for row in rows]
+            found = list(_pairs_across(held[0] >> 58, ids, comp, sketch, short))
+            columns = list(zip(*found)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(columns, kinds)], names=["a", "b", "alike"])
 
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("key", "low", "high", "node", "component", "sketch")]
+            columns = [batch.column(name).to_pylist() for name in (
+                "key", "low", "high", "node", "component", "sketch", "short")]
             for key, low, high, *row in zip(*columns):
                 if held != (key, low, high):
                     if len(rows) > 1:
@@ -268,6 +302,17 @@ def _across(rows: DataFrame) -> DataFrame:
         compare, "a long, b long, alike double").dropDuplicates(["a", "b"])
 
 
+def _shortened(shingles: Column) -> Column:
+    """16 bits of every shingle of a set, distinct."""
+
+    @F.arrow_udf("binary")
+    def shorten(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([np.unique(np.frombuffer(own, "<u8").astype("<u2")).tobytes() for own in batch.to_pylist()], pa.binary())
+
+    return shorten(shingles)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -281,11 +326,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     are formed only where they can still matter:
 
     1. each single key's members are compared with its smallest member (a star, not all pairs);
-    2. keys whose members are connected by then are done; of the others, rows with both a left and a right key
-       form table keys;
-    3. in each table that holds several components, members of different components are compared by sketch.
+    2. keys whose members are connected by then are done; rows that keep both a left and a right key go on;
+    3. the members of each left key form table keys with their right keys; those of different components that
+       meet in a table are compared, by sketch, then by short forms of all shingles.
 
-    Each likely pair of what is not yet connected is checked on full sets.
+    Each pair that may be similar, of what is not yet connected, is checked on full sets.
     """
     ship_package(documents.sparkSession)
     every = stored(sketches(documents), "sketches")
@@ -307,19 +352,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low <> high").select("key")
-    sides = placed.join(open_keys, "key").groupBy("node", "component").agg(
-        F.collect_list(F.when(F.shiftrightunsigned("key", 58) < COLLECTIONS, F.col("key"))).alias("lefts"),
-        F.collect_list(F.when(F.shiftrightunsigned("key", 58) >= COLLECTIONS, F.col("key"))).alias("rights"))
-    tables = sides.withColumn("left", F.explode("lefts")).withColumn("right", F.explode("rights")).select(
-        F.xxhash64("left", "right").alias("key"), "node", "component")
-    tables = stored(tables, "tables")
-    mixed = tables.groupBy("key").agg(
+    is_left = F.shiftrightunsigned("key", 58) < COLLECTIONS
+    inside = stored(placed.join(open_keys, "key"), "open")
+    both_sides = inside.groupBy("node").agg(F.max(is_left).alias("l"), F.max(~is_left).alias("r")).filter("l AND r").select("node")
+    lefts = inside.filter(is_left).join(both_sides, "node", "left_semi")
+    mixed = lefts.groupBy("key").agg(
         F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low <> high").select("key", "members")
-    across = stored(_across(tables.join(mixed, "key").join(sketch, "node")), "across")
-    if not across.isEmpty():
-        links = _link(documents, across, nodes, links)
-        reach = components(links)
+    lefts = stored(lefts.join(mixed, "key"), "lefts")
+    if not lefts.isEmpty():
+        wanted = lefts.select("node").distinct()
+        sets = _sets_of(documents, nodes.join(wanted, "node", "left_semi"))
+        fine = stored(sets.select("node", _shortened(F.col("shingles")).alias("short")).join(sketch, "node"), "fine")
+        across = stored(_across(lefts.join(fine, "node")), "across")
+        if not across.isEmpty():
+            links = _link(documents, across, nodes, links, sets)
+            reach = components(links)
     rooted = every.join(reach, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("root"), "node")
     names = nodes.join(reach, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(
