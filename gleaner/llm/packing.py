@@ -17,9 +17,9 @@ from gleaner.session import ship_package
 TOKENS = 2048
 SEGMENTS = 128
 END = 1  # id behind each document
-POOL = 2048  # open pieces a task chooses from
+POOL = 512  # open pieces a task chooses from
 LEAST_CUT = 16  # room that is worth a cut
-TEXTS = 128  # texts encoded together
+TEXTS = 256  # texts encoded together
 OUT_TOKENS = 1_000_000
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, "
           "sequence_id long, offset long")
