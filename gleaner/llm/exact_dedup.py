@@ -11,8 +11,12 @@ from pyspark.sql.streaming import DataStreamReader
 from gleaner.llm.common import SPACE, text_of
 from gleaner.session import scratch_path, stored
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The state lives in RocksDB; its files are not preallocated (4 MB each), as there may be many small ones.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SMALL_HITS = 1_000_000  # digests of 64 characters: at most about 100 MB
 
 
@@ -48,8 +52,9 @@ def fold_stream(keys: DataFrame, spark: SparkSession) -> DataFrame:
     sent, so that a group of any size sends a row per task. Each batch writes the classes it changed; the last state of each
     digest counts.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     out, log = scratch_path(spark, "classes"), scratch_path(spark, "dedup-log")
     try:
         classes = keys.groupBy("digest").agg(_best(), F.count("*").alias("group_size"))
@@ -60,7 +65,8 @@ def fold_stream(keys: DataFrame, spark: SparkSession) -> DataFrame:
         classes.writeStream.outputMode("update").option("checkpointLocation", log).trigger(
             availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     schema = classes.schema
     try:
         states = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
