@@ -45,10 +45,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    placed = sharding.shard(documents.select("doc_id", "text"), 8)
-    return placed.select(
+    digests = documents.select(
         "doc_id", sharding.size_of(F.col("text")).alias("size"),
-        F.crc32(text_of(F.col("text")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.crc32(text_of(F.col("text")).cast("binary")).alias("text_crc32"), F.md5(text_of(F.col("text"))).alias("tie"))
+    return sharding.shard(digests, 8, tie=F.col("tie")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -41,7 +41,9 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     return np.array(matrix).reshape(len(rows), shards)
 
 
-def shard(documents: DataFrame, shards: int = 8, seed: int = 11, part_rows: int = PART_ROWS) -> DataFrame:
+def shard(
+    documents: DataFrame, shards: int = 8, seed: int = 11, part_rows: int = PART_ROWS, tie: Column | None = None,
+) -> DataFrame:
     """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (its place there, gapless from 0).
 
     Rows are dealt by hash into parts of about ``part_rows`` rows. The driver sees the count of each part only and draws the
@@ -49,10 +51,10 @@ def shard(documents: DataFrame, shards: int = 8, seed: int = 11, part_rows: int
     Places within a shard are prefix counts over bins, so that no task holds a whole shard.
 
     Draws depend on id and text, so reruns agree. Rows equal in both are interchangeable and get
-    places of their own. Missing texts and ids are allowed; an empty table gives no rows. Needs doc_id and text;
-    other columns are kept, except that ``shard`` and ``slot`` are replaced.
+    places of their own. Missing texts and ids are allowed; an empty table gives no rows. Needs doc_id, and text unless ``tie`` is
+    given in its place; other columns are kept and move with the rows, except that ``shard`` and ``slot`` are replaced.
     """
-    digest = F.md5(text_of(F.col("text")))
+    digest = F.md5(text_of(F.col("text"))) if tie is None else tie
     drawn = documents.withColumns({
         "__first": uniform(F.lit(f"{seed}a"), F.col("doc_id"), digest),
         "__second": uniform(F.lit(f"{seed}b"), F.col("doc_id"), digest)})
