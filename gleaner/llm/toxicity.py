@@ -47,9 +47,13 @@ class SeverityModel:
 
 
 def ordinal_fit(
-    rows: list[np.ndarray], grades: np.ndarray, width: int, steps: int = 300, rate: float = 0.1, decay: float = 2e-3,
+    rows: list[np.ndarray], grades: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, prior: float = 0.4,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the mean log-likelihood; ``rows`` holds column numbers."""
+    """Weights and thresholds by Adam on the mean log-likelihood; ``rows`` holds column numbers.
+
+    ``prior`` is the weight of a normal prior, which counts less the more rows there are.
+    """
+    decay = prior / max(1, len(rows)) + 1.5e-4
     lengths = np.array([len(row) for row in rows])
     columns = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -85,7 +89,7 @@ def ordinal_fit(
 
 def fit_severity(
     documents: DataFrame, labels: DataFrame, sample_rows: int = 8_000, max_features: int = 20_000,
-    least_z: float = 2.0, cuts: tuple[int, int] = (2, 5),
+    least_z: float = 2.5, cuts: tuple[int, int] = (2, 5),
 ) -> SeverityModel:
     """Fit on a bounded sample of the labelled rows (``sample_rows`` expected, by hash of doc_id).
 
