@@ -44,7 +44,9 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for folder in batch.to_pylist():
             filesystem, place = _open(folder["path"])
             prefix = folder["path"].removesuffix(place)
-            entries = filesystem.get_file_info(fs.FileSelector(place, allow_not_found=True))
+            # A folder may go while its tree is listed; a root that is missing is an error.
+            below = folder["path"].rstrip("/") != folder["root"].rstrip("/")
+            entries = filesystem.get_file_info(fs.FileSelector(place, allow_not_found=below))
             if isinstance(filesystem, fs.LocalFileSystem):
                 # A link to a folder is not followed: it may lead back up.
                 entries = [e for e in entries if e.is_file or not os.path.islink(e.path)]
@@ -66,7 +68,7 @@ def list_files(roots: DataFrame) -> DataFrame:
     """All files below the ``root`` of each ``source``: source, path, file_path, size.
 
     Works level by level, one row per folder, so a single large tree is shared out among
-    the tasks. A missing root has no files.
+    the tasks. A missing root is an error.
     """
     tasks = roots.sparkSession.sparkContext.defaultParallelism
     folders = roots.select("source", "root", F.rtrim("root", F.lit("/")).alias("path"))

@@ -138,7 +138,7 @@ def test_scan_keeps_hidden_names_and_reads_late(spark, tmp_path):
         place.write_bytes(content)
     (tmp_path / "tree" / "loop").symlink_to(tmp_path / "tree")
     roots = spark.createDataFrame(
-        [("s", str(tmp_path / "tree")), ("none", str(tmp_path / "absent"))], "source string, root string")
+        [("s", str(tmp_path / "tree"))], "source string, root string")
     listed = list_files(roots)
     assert {(r.file_path, r.size) for r in listed.collect()} == {(p, len(c)) for p, c in contents.items()}
     read = scan_files(roots, is_code_file(F.col("file_path"))).collect()
@@ -148,3 +148,9 @@ def test_scan_keeps_hidden_names_and_reads_late(spark, tmp_path):
     os.remove(tmp_path / "tree" / "top.py")
     late = {r.file_path: r.content for r in read_files(listed).collect()}
     assert late["top.py"] is None and late["empty.py"] == b""
+
+
+def test_a_missing_root_is_an_error(spark, tmp_path):
+    roots = spark.createDataFrame([("one", str(tmp_path / "absent"))], "source string, root string")
+    with pytest.raises(Exception, match="absent"):
+        scan_files(roots).collect()
