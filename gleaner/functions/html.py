@@ -26,9 +26,10 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script"
 
 _MARKUP = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)"
-    r"|<[!?](?P<declaration>[^>]*)>"
-    r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
+    r"|<[!?](?P<declaration>[^>]*)(?:>|\Z)"
+    r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
+    # A quote delimits a value only directly behind the equals sign.
+    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -84,6 +85,8 @@ def read_page(source: str) -> tuple[str | None, str | None, list[str]]:
 
     position = 0
     while (tag := _MARKUP.search(source, position)) is not None:
+        if tag["comment"] is None and source[tag.end() - 1] != ">":
+            break  # cut off: no tag ends from here on
         add_text(source[position:tag.start()])
         position = tag.end()
         if name := tag["open"]:

@@ -34,8 +34,6 @@ INDEX_BLOCK_ROWS = 16_384
 QUERY_BLOCK_ROWS = 4_096
 # Distances a task holds at a time (64 MB).
 MAX_DISTANCES = 8_388_608
-# Groups named in the filter that prunes the index scan.
-MAX_PRUNED_GROUPS = 1_000
 
 
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
@@ -285,7 +283,7 @@ def top_k(
         ranked = _search_blocks(rows, asked, result, schema, metric).withColumn("rank", rank)
     else:
         wanted = pc.unique(pc.list_flatten(probe.column("query_groups"))).to_pylist()
-        if by is not None and len(wanted) <= MAX_PRUNED_GROUPS:
+        if by is not None:
             rows = rows.where(F.col("index_group").isin(wanted))
         most = pc.max(probe.column("k")).as_py() or 0
         ranked = (

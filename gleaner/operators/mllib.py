@@ -31,19 +31,19 @@ def mllib_embed(model, df: DataFrame, out_col: str = "embedding") -> DataFrame:
 
 
 def fit_cells(
-    index: DataFrame, n_cells: int, vec_col: str = "embedding", train_rows: int = 200_000, seed: int = 7
+    index: DataFrame, n_cells: int, vec_col: str = "embedding", train_share: float | None = None, seed: int = 7
 ) -> Cells:
-    """KMeans centres, trained on about ``train_rows`` rows of the index.
+    """KMeans centres, trained on all rows of the index.
 
-    The sample only places the centres; every row of the index is then assigned to a cell.
+    A caller may ask for a random ``train_share`` of the rows instead; it only places the
+    centres, and every row is assigned to a cell.
     """
     if not 1 <= n_cells <= MAX_CELLS:
         raise ValueError(f"n_cells must be between 1 and {MAX_CELLS}")
     vectors = index.where(F.col(vec_col).isNotNull()).select(
         array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")
     )
-    rows = vectors.count()
-    if rows > train_rows:
-        vectors = vectors.sample(fraction=train_rows / rows, seed=seed)
+    if train_share is not None:
+        vectors = vectors.sample(fraction=train_share, seed=seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(vectors)
     return Cells(np.array(model.clusterCenters()))

@@ -36,13 +36,18 @@ def stored_model(documents: DataFrame, root: str) -> HashedTfIdf:
         return fit_model(documents, root)
 
 
-def index_documents(documents: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    """Bring documents into one collection of an index."""
+def index_documents(
+    documents: DataFrame, root: str, name: str, mode: str = "append", sources: DataFrame | None = None
+) -> None:
+    """Bring documents into one collection of an index.
+
+    A refresh drops what is no longer there, of ``sources`` (source) only if they are given.
+    """
     if documents.isEmpty():
         raise ValueError(f"no documents for collection {name!r}")
     model = stored_model(documents, root)
     if mode == "refresh":
-        refresh(documents, root, name, model, model.name)
+        refresh(documents, root, name, model, model.name, sources=sources)
     else:
         build_index(documents, root, [name], model, model.name, mode)
 
@@ -60,7 +65,8 @@ def index_files(
     files = _scan(list_files(checkouts), name).join(
         small_side(checkouts.select("source", "branch")), "source"
     )
-    index_documents(stored(documents_from_files(files, name), "documents"), root, name, mode)
+    documents = stored(documents_from_files(files, name), "documents")
+    index_documents(documents, root, name, mode, checkouts.select("source"))
 
 
 def index_tutorials(
@@ -77,19 +83,23 @@ def index_tutorials(
     manifest = with_registry(list_files(checkouts), selected)
     files = with_registry(_scan(manifest, "tutorials"), selected)
     documents = stored(documents_from_files(files, "tutorials"), "documents")
-    index_documents(documents, root, "tutorials", mode)
+    index_documents(documents, root, "tutorials", mode, checkouts.select("source"))
+
+
+def _host() -> Column:
+    return F.regexp_replace(site_base(F.col("url")), r"^[^:]*://|/$", "")
 
 
 def crawled_documents(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Documents of the pages (url, html) that a crawl from ``seeds`` (url) reaches."""
     parsed = stored(parse_pages(pages), "parsed")
     reached = reachable(parsed, seeds, max_depth).where("kept").select("url")
-    source = F.regexp_replace(site_base(F.col("url")), r"^[^:]*://|/$", "")
-    return documents_from_pages(parsed.join(reached, "url", "left_semi"), source)
+    return documents_from_pages(parsed.join(reached, "url", "left_semi"), _host())
 
 
 def index_pages(
     spark: SparkSession, root: str, pages: DataFrame, seeds: DataFrame, mode: str = "append"
 ) -> None:
     """Index the reachable part of a page snapshot as docs."""
-    index_documents(stored(crawled_documents(pages, seeds), "documents"), root, "docs", mode)
+    documents = stored(crawled_documents(pages, seeds), "documents")
+    index_documents(documents, root, "docs", mode, seeds.select(_host().alias("source")))

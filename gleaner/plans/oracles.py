@@ -471,3 +471,6 @@ ORACLES: dict[str, str] = {
         {_windows('latest', 'collection, doc_key')}
         SELECT collection, doc_key, chunk_no, sha256(text) AS text_hash FROM chunks""",
 }
+
+# A repeated append changes nothing.
+ORACLES["search_after_append"] = ORACLES["search_hits"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.embed import BatchFunction
 from gleaner.plans.build import chunks_of, embed_chunks
+from gleaner.schema import METADATA
 from gleaner.session import stored
 from gleaner.sources import index
 
@@ -29,6 +30,14 @@ def changes(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def metadata_hash(rows: DataFrame) -> Column:
+    """One value for all metadata of a row; a column that is absent counts as NULL."""
+    return F.md5(F.to_json(F.struct(*[
+        (F.col(field.name) if field.name in rows.columns else F.lit(None)).cast(field.dataType).alias(field.name)
+        for field in METADATA.fields
+    ])))
+
+
 def refresh(
     documents: DataFrame,
     root: str,
@@ -37,27 +46,37 @@ def refresh(
     model_name: str,
     full_snapshot: bool = True,
     chunking: str = "window",
+    sources: DataFrame | None = None,
 ) -> None:
     """Bring one collection up to date with ``documents`` (one row per doc_key).
 
-    Keys and hashes are compared on the first chunk of each document, so neither texts nor
-    vectors of the index are read for that. Buckets with outdated chunks are rewritten,
+    Keys, text hashes and metadata are compared on the first chunk of each document, so neither
+    texts nor vectors of the index are read for that. Buckets with outdated chunks are rewritten,
     fresh chunks of other buckets appended. Running it again changes nothing. With
-    ``full_snapshot`` the documents that are no longer there are dropped.
+    ``full_snapshot`` the documents that are no longer there are dropped; ``sources`` (source)
+    limits that to the repositories, else sources, that the snapshot is of.
     """
     spark = documents.sparkSession
     n_buckets = index.ensure_collection(spark, root, name, model_name)
     indexed = index.collection(spark, root, name)
-    current = indexed.where("chunk_no = 0").select("doc_key", "content_hash", "bucket")
-    incoming = documents.where(F.col("collection") == name)
-    keys = incoming.select("doc_key", "content_hash")
-    version = ["doc_key", "content_hash"]
+    indexed = indexed.withColumn("metadata_hash", metadata_hash(indexed))
+    current = indexed.where("chunk_no = 0").select(
+        "doc_key", "content_hash", "metadata_hash", "bucket", F.coalesce("repo", "source").alias("source")
+    )
+    incoming = documents.where(F.col("collection") == name).withColumn("metadata_hash", metadata_hash(documents))
+    version = ["doc_key", "content_hash", "metadata_hash"]
+    keys = incoming.select(*version)
 
     # Keys first, written out: when few documents changed, Spark broadcasts the keys and
     # the texts are scanned without a shuffle.
-    outdated = current.join(keys, version, "left_anti")
-    if not full_snapshot:
-        outdated = outdated.join(keys.select("doc_key"), "doc_key", "left_semi")
+    outdated = current.join(keys, version, "left_anti").select(*current.columns)
+    if not full_snapshot or sources is not None:
+        told = keys.select("doc_key")
+        changed = outdated.join(told, "doc_key", "left_semi").select(*current.columns)
+        if full_snapshot:
+            gone = outdated.join(told, "doc_key", "left_anti").join(sources.select("source"), "source", "left_semi")
+            changed = changed.unionByName(gone)
+        outdated = changed
     outdated = stored(outdated, "outdated")
     bucket = index.bucket_of(F.col("doc_key"), n_buckets)
     fresh_keys = stored(
@@ -69,10 +88,10 @@ def refresh(
     in_touched = F.col("bucket").isin(touched)
 
     def embedded(part: DataFrame) -> DataFrame:
-        gathered = index.gather(part, n_buckets).drop("bucket")
+        gathered = index.gather(part.drop("metadata_hash"), n_buckets).drop("bucket")
         return embed_chunks(chunks_of(gathered, chunking), factory, model_name)
 
-    index.append(embedded(fresh.where(~in_touched)), root, [name], model_name)
+    index.add(embedded(fresh.where(~in_touched)), root, [name], model_name)
     if touched:
         gone = outdated.select(*version)
         kept = indexed.where(in_touched).join(gone, version, "left_anti")

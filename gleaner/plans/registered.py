@@ -367,14 +367,29 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark, root, derived.queries(spark, sf_dir), model)
 
 
-@register
-def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir).select(
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select(
         "query_id", "collection", "rank", "chunk_id", "chunk_no", "label", "score",
         _millionths(F.col("distance")).alias("distance"),
     )
 
 
+@register
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(_search(spark, sf_dir))
+
+
+@register
+def search_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits after the same documents were appended twice."""
+    _, model = derived.index(spark, sf_dir)
+    root = scratch_path(spark, "appended")
+    documents = derived.documents(spark, sf_dir)
+    for _ in range(2):
+        build_index(documents, root, ("code", "docs", "tests", "tutorials"), model, model.name, "append")
+    return _hits(search(spark, root, derived.queries(spark, sf_dir), model))
+
+
 @register
 def search_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(_search(spark, sf_dir))

@@ -36,6 +36,16 @@ def prepare_queries(
     return embed_text(asked, factory).drop("text")
 
 
+def check_model(queries: DataFrame, catalog: DataFrame, factory: Callable[[], BatchFunction]) -> None:
+    """Refuse a model whose name is not that of the collections asked for; a factory without a name passes."""
+    name = getattr(factory, "name", None)
+    if name is not None:
+        asked = queries.select("collection").distinct()
+        other = catalog.where(F.col("embed_model") != name).join(asked, "collection", "left_semi").first()
+        if other is not None:
+            raise ValueError(f"collection {other['collection']!r} holds vectors of {other['embed_model']!r}, not of {name!r}")
+
+
 def label_hits(hits: DataFrame) -> DataFrame:
     """Add score and label to hits that carry distance and metadata."""
     return hits.withColumn("score", score(F.col("distance"))).withColumn(
@@ -57,7 +67,9 @@ def search(
     text and metadata are joined to them afterwards: with the true size of the winners at
     hand Spark broadcasts them, so that neither vectors nor texts of the index are shuffled.
     """
-    prepared = stored(prepare_queries(queries, index.catalog(spark, root), factory), "queries")
+    known = index.catalog(spark, root)
+    check_model(queries, known, factory)
+    prepared = stored(prepare_queries(queries, known, factory), "queries")
     chunks = index.ensure_index(spark, root)
     if chunks.rdd.getNumPartitions() > BOUND_PARTITIONS:
         prepared = distance_bounds(prepared, chunks.where("bucket = 0"), by="collection", metric=metric)

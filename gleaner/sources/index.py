@@ -84,12 +84,17 @@ def n_buckets_of(spark: SparkSession, root: str, name: str) -> int | None:
 def ensure_collection(
     spark: SparkSession, root: str, name: str, embed_model: str, n_buckets: int = DEFAULT_BUCKETS
 ) -> int:
-    """Create the collection unless it exists; its number of buckets."""
-    known = n_buckets_of(spark, root, name)
-    if known is not None:
-        return known
-    create_collection(spark, root, name, embed_model, n_buckets)
-    return n_buckets
+    """Create the collection unless it exists; its number of buckets.
+
+    A collection that holds vectors of another model is an error.
+    """
+    row = catalog(spark, root).where(F.col("collection") == name).first()
+    if row is None:
+        create_collection(spark, root, name, embed_model, n_buckets)
+        return n_buckets
+    if row["embed_model"] != embed_model:
+        raise ValueError(f"collection {name!r} holds vectors of {row['embed_model']!r}, not of {embed_model!r}")
+    return row["n_buckets"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -121,7 +126,23 @@ def append(
     chunks: DataFrame, root: str, names: Sequence[str], embed_model: str,
     n_buckets: int = DEFAULT_BUCKETS,
 ) -> None:
-    """Add chunks to the named collections, creating them on first use, in one job.
+    """Add the chunks of documents that the named collections lack, creating these on first use.
+
+    A document that is present stays as it is, so that an append may be repeated; a changed one
+    takes a refresh. Keys are written out first: few of them are broadcast, and Spark drops
+    known documents before it chunks and embeds.
+    """
+    present = ensure_index(chunks.sparkSession, root).where(
+        F.col("collection").isin(*names) & (F.col("chunk_no") == 0)).select("collection", "doc_key")
+    lacking = chunks.join(stored(present, "present"), ["collection", "doc_key"], "left_anti")
+    add(lacking, root, names, embed_model, n_buckets)
+
+
+def add(
+    chunks: DataFrame, root: str, names: Sequence[str], embed_model: str,
+    n_buckets: int = DEFAULT_BUCKETS,
+) -> None:
+    """Write chunks of documents known to be new to the named collections, in one job.
 
     Chunks of other collections are left out. See ``gather`` for file sizes.
     """
@@ -146,7 +167,7 @@ def rebuild(
     for name in names:
         drop_path(spark, f"{chunks_path(root)}/collection={name}")
         create_collection(spark, root, name, embed_model, n_buckets)
-    append(chunks, root, names, embed_model, n_buckets)
+    add(chunks, root, names, embed_model, n_buckets)
 
 
 def write_index(

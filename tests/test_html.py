@@ -31,6 +31,8 @@ LONG = "x" * 100
     ("<body>3 < 4 and x > y</body>", "3 < 4 and x > y"),
     ('<body><a title="a>b" href="/k">l</a></body>', "l"),
     ("<body>never closed <b>bold", "never closed\nbold"),
+    ("<body><a title=it's href=/x>l</a> it's</body>", "l\nit's"),
+    ("<body>" + "<a " * 100_000, ("<a " * 100_000).strip()),
     ("<body/>x", ""),
 ])
 def test_main_text(page, text):

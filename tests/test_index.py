@@ -70,6 +70,8 @@ def test_search(spark, built):
     assert got["b"][0] == "install.md" and len(got["b"]) == 2
     assert got["c"][0] == "solver.py" and len(got["c"]) == 3
     assert set(got) == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="holds vectors of"):
+        search(spark, root, asked, type(model)(model.weights[:8]))
     best = hits.where("query_id = 'a'").first()
     assert best.score == round(1 - best.distance, 3)
     text = render(hits).where("query_id = 'b'").first().rendered
@@ -125,7 +127,9 @@ def test_append_adds_and_rebuild_replaces(spark, tmp_path):
     chunks = chunks_of(documents(spark, TEXTS))
     index.write_index(chunks, root, list(TEXTS), "m")
     index.write_index(chunks, root, ["code"], "m")
-    assert index.collection(spark, root, "code").count() == 6
+    assert index.collection(spark, root, "code").count() == 3
+    with pytest.raises(ValueError, match="holds vectors of"):
+        index.write_index(chunks, root, ["code"], "other")
     for _ in range(2):  # rebuilding twice gives the same
         index.write_index(chunks, root, ["code"], "m", "rebuild")
         assert keys(spark, root, "code") == sorted(TEXTS["code"])
@@ -168,6 +172,9 @@ def test_refresh(spark, tmp_path):
 
     third = {"k6": "edited too", "new2": "more"}
     assert update(third, full_snapshot=False) == second | third
+    renamed = documents(spark, {"code": second | third}).withColumn("branch", F.lit("next"))
+    refresh(renamed, root, "code", model, model.name)  # metadata alone
+    assert {r.branch for r in index.collection(spark, root, "code").collect()} == {"next"}
     assert update({"only": "one"}) == {"only": "one"}
     assert update({}) == {}
 

@@ -51,7 +51,10 @@ def test_jobs(spark, checkouts, tmp_path):
     index_files(spark, root, tool, "code", "refresh")
     assert len(places(spark, root, "code")) == 2
     index_files(spark, root, tool, "code", "append")
-    assert len(places(spark, root, "code")) == 4
+    assert len(places(spark, root, "code")) == 2  # what is present is not added again
+    index_files(spark, root, checkouts.where("source <> 'extra'"), "code", "refresh")
+    index_files(spark, root, tool, "code", "refresh")  # other sources stay
+    assert places(spark, root, "code") == ["mesh.cpp", "src/solver.py", "tests/run.py"]
 
     registry = tmp_path / "sources.json"
     registry.write_text(json.dumps({"sources": [
