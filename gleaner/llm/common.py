@@ -42,6 +42,13 @@ def uniform(*parts: Column) -> Column:
     return (bits + 0.5) / float(2**52)
 
 
+def drawn(key: Column, share: float) -> Column:
+    """True for about ``share`` of all keys, by hash, however small the share; false for a missing key."""
+    bits = F.xxhash64(key)
+    place = F.pmod(bits, F.lit(10**6)) * 10**6 + F.pmod(F.shiftrightunsigned(bits, 32), F.lit(10**6))
+    return key.isNotNull() & (place < int(10**12 * min(1.0, share)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column (case aside)."""
     taken = {column.lower() for column in df.columns}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import drawn, text_of
 
 # Elements that begin a block, elements without an end, elements whose content is no text.
 BLOCKS = set(
@@ -215,9 +215,9 @@ def fit_blocks(pages: DataFrame, sample_rows: int = 400) -> np.ndarray:
 
     Labels are those that the markup itself tells. Every block counts twice, with its signs and without, so that
     the text alone decides where a page has no telling markup. Weights stay near ``PRIOR`` where
-    the sample says nothing.
+    the sample says nothing. Rows without an id are not learned from.
     """
-    share = min(1.0, sample_rows / max(1, pages.count()))
+    share = sample_rows / max(1, pages.count())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +228,7 @@ def fit_blocks(pages: DataFrame, sample_rows: int = 400) -> np.ndarray:
                 labels.append(bytes(weak_label(block[3]) for block in known))
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(labels, pa.binary())], names=["x", "y"])
 
-    chosen = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    chosen = pages.filter(drawn(F.col("page_id"), share))
     rows = sorted(chosen.select(text_of(F.col("html")).alias("html")).mapInArrow(encode, "x binary, y binary").collect())
     x = np.frombuffer(b"".join(row["x"] for row in rows), "<f4").reshape(-1, len(PRIOR)).astype(float)
     y = np.frombuffer(b"".join(row["y"] for row in rows), np.uint8).astype(float)

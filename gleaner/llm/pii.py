@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import drawn, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean,chance:double>>"
@@ -87,6 +88,30 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+class Covered:
+    """Stretches of a text that spans cover, in order and apart: a look-up takes logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.ends[at - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Cover one more stretch, which meets none so far."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def span_features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a candidate."""
     span, before, after = text[start:end], text[max(0, start - 24):start], text[end:end + 12]
@@ -182,21 +207,22 @@ def boosted_fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3,
 def fit_spans(documents: DataFrame, sample_rows: int = 8_000) -> SpanModel:
     """Fit on the candidates of a bounded sample of documents (``sample_rows`` expected, by hash of doc_id).
 
-    A candidate is right if a base span of its kind covers it or lies in it.
+    A candidate is right if it meets a base span of its kind. Rows without an id are not learned from.
     """
-    share = min(1.0, sample_rows / max(1, documents.count()))
+    share = sample_rows / max(1, documents.count())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, right = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
+                covered = {kind: Covered((s, e) for k, s, e in base if k == kind) for kind in KINDS}
                 for kind, start, end in candidates(text):
                     rows.append(span_features(text, kind, start, end))
-                    right.append(any(k == kind and s < end and start < e for k, s, e in base))
+                    right.append(covered[kind].meets(start, end))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(right, pa.bool_())], names=["x", "y"])
 
-    chosen = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    chosen = documents.filter(drawn(F.col("doc_id"), share))
     rows = sorted(tuple(row) for row in chosen.select(text_of(F.col("text")).alias("text")).mapInArrow(
         encode, "x array<double>, y boolean").collect())
     x = np.array([row[0] for row in rows], float)
@@ -211,13 +237,14 @@ def spans_of(text: str, model: SpanModel) -> list[tuple[str, int, int, bool, flo
     """Base spans, and candidates above their kind's threshold that overlap no chosen span; by kind, then start."""
     chosen = [(kind, start, end, True, 1.0) for kind, start, end in base_spans(text)]
     if model.thresholds:
-        proposed = [c for c in candidates(text) if not any(s < c[2] and c[1] < e for _, s, e, _, _ in chosen)]
+        covered = Covered((start, end) for _, start, end, _, _ in chosen)
+        proposed = [c for c in candidates(text) if not covered.meets(c[1], c[2])]
         if proposed:
             chance = model.chances(np.array([span_features(text, *c) for c in proposed]))
             for at in np.argsort(-chance, kind="stable"):
                 kind, start, end = proposed[at]
-                if chance[at] >= model.thresholds.get(kind, 2.0) and not any(
-                        s < end and start < e for _, s, e, _, _ in chosen):
+                if chance[at] >= model.thresholds.get(kind, 2.0) and not covered.meets(start, end):
+                    covered.add(start, end)
                     chosen.append((kind, start, end, False, float(chance[at])))
     return sorted(chosen, key=lambda span: (KINDS.index(span[0]), span[1]))
 

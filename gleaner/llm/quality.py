@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import drawn, text_of
 
 PASSAGE = 96  # words
 CHUNK = 400_000  # characters that are encoded together
@@ -180,8 +180,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample_rows: int = 6_00
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~is_held_out()).groupBy(
         "doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    share = min(1.0, sample_rows / max(1, known.count()))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
+    draw = drawn(F.col("doc_id"), sample_rows / max(1, known.count()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import drawn, text_of
 from gleaner.session import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -101,8 +101,7 @@ def fit_severity(
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = sample_rows / max(1, known.count())
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
+    draw = drawn(F.col("doc_id"), sample_rows / max(1, known.count()))
     chosen = known.filter(draw)  # about sample_rows rows of two numbers
 
     @F.arrow_udf("array<int>")
