@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gleaner.llm import exact_dedup, html_cut, mixing, near_dup, packing, pii, quality, sharding, tokens, topk, toxicity
-from gleaner.llm.common import components
+from gleaner.llm.common import components, drawn
 from gleaner.session import stored
 
 SF = "/root/testdata/sf0.001"
@@ -271,3 +271,23 @@ def test_pipeline_stages_on_odd_tables(spark, request, name):
             assert len(texts) == len(set(texts))
     assert {row.ids is not None for row in docs.collect()} <= {True}
 
+
+def test_covered_stretches_match_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = [(at, at + rng.randint(1, 6)) for at in (rng.randint(0, 40) for _ in range(rng.randint(0, 8)))]
+        covered = pii.Covered(spans)
+        for _ in range(20):
+            start = rng.randint(0, 45)
+            end = start + rng.randint(1, 6)
+            assert covered.meets(start, end) == any(s < end and start < e for s, e in spans)
+            if not covered.meets(start, end):
+                covered.add(start, end)
+                spans.append((start, end))
+
+
+def test_draws_follow_the_share_however_small(spark):
+    keys = spark.range(200_000).withColumn("none", F.lit(None).cast("long"))
+    assert 800 < keys.filter(drawn(F.col("id"), 0.005)).count() < 1200
+    assert keys.filter(drawn(F.col("id"), 2.0)).count() == 200_000
+    assert keys.filter(drawn(F.col("none"), 1.0)).count() == 0
