@@ -17,6 +17,10 @@ QUERY_PREFIX = "query: "
 # The rule between rendered hits.
 HIT_RULE = "\n\n---\n\n"
 
+# The answers to queries without hits.
+EMPTY_INDEX = "Index is available but empty. Run the matching index script first."
+NO_RESULTS = "No results found."
+
 
 def format_query(query: Column, model: Column) -> Column:
     """Prefix ``query`` as the named model expects; families are tested in order."""
@@ -67,3 +71,15 @@ def render_hit(label: Column, hit_score: Column, text: Column) -> Column:
         F.lit("**"), label, F.lit("** (score: "), hit_score.cast("string"), F.lit(")\n```\n"),
         strip(text), F.lit("\n```"),
     )
+
+
+def plain_answer(status: Column, collection: Column, tool: Column) -> Column:
+    """The text for a query without hits, by its status; an unknown name is told as it was given."""
+    asked = F.when(tool.isNotNull(), F.concat(F.lit("tool: "), tool)).otherwise(
+        F.concat(F.lit("collection: "), F.coalesce(collection, F.lit(""))))
+    return (
+        F.when(status == "unknown", F.concat(F.lit("Unknown "), asked))
+        .when(status == "missing", F.concat(F.initcap(collection), F.lit(" index missing.")))
+        .when(status == "empty", F.lit(EMPTY_INDEX))
+        .when(status == "no_results", F.lit(NO_RESULTS))
+    )

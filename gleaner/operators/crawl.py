@@ -34,13 +34,15 @@ def reachable(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     visited_path = scratch_path(spark, "visited")
 
     def add(urls: DataFrame, depth: int) -> DataFrame:
+        """Write a round's URLs with what the link table tells of them: its one scan in the round."""
         (
             urls.select("url").dropDuplicates()
-            .join(nodes.select("url", "kept"), "url", "left")
+            .join(nodes, "url", "left")
             .select(
                 "url",
                 F.col("kept").isNotNull().alias("found"),
                 F.coalesce("kept", F.lit(False)).alias("kept"),
+                F.when(F.col("kept"), F.col("targets")).alias("targets"),
             )
             .write.parquet(f"{visited_path}/depth={depth}")
         )
@@ -49,17 +51,14 @@ def reachable(pages: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     def visited() -> DataFrame:
         return spark.read.parquet(visited_path)
 
-    depth = 0
-    frontier = add(seeds, depth)
-    while (max_depth is None or depth < max_depth) and not frontier.where("kept").isEmpty():
-        linked = (
-            frontier.where("kept").select("url")
-            .join(nodes.select("url", "targets"), "url")
-            .select(F.explode("targets").alias("url"))
-            .dropDuplicates()
-        )
-        new = linked.join(visited().select("url"), "url", "left_anti")
-        depth += 1
-        frontier = add(new, depth)
-    spark.sql(f"DROP TABLE {table}")
+    try:
+        depth = 0
+        frontier = add(seeds, depth)
+        while (max_depth is None or depth < max_depth) and not frontier.where("kept").isEmpty():
+            linked = frontier.select(F.explode("targets").alias("url")).dropDuplicates()
+            new = linked.join(visited().select("url"), "url", "left_anti")
+            depth += 1
+            frontier = add(new, depth)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
     return visited().select("url", F.col("depth").cast("int").alias("depth"), "found", "kept")

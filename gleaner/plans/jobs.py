@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.urls import site_base
 from gleaner.operators.crawl import reachable
 from gleaner.operators.documents import (
-    PROFILES, documents_from_files, documents_from_pages, with_registry,
+    PROFILES, documents_from_files, documents_from_pages, preferred_branch, with_registry,
 )
 from gleaner.operators.embed import HashedTfIdf
 from gleaner.operators.filters import select_sources
@@ -58,12 +58,25 @@ def _scan(manifest: DataFrame, name: str) -> DataFrame:
     return read_files(manifest, accepts)
 
 
+def chosen_checkouts(checkouts: DataFrame) -> DataFrame:
+    """Checkouts (source, root, branch) of one branch per source: main, else master, else an active one.
+
+    Without a column ``active`` any branch counts as active; the first by name is taken then.
+    """
+    active = F.col("active") if "active" in checkouts.columns else F.lit(True)
+    best = preferred_branch(checkouts.select("source", "branch", active.alias("active"))).select(
+        F.col("source").alias("best_source"), F.col("branch").alias("best_branch"))
+    same = F.col("source").eqNullSafe(F.col("best_source")) & F.col("branch").eqNullSafe(F.col("best_branch"))
+    return checkouts.join(best, same, "left_semi")
+
+
 def index_files(
     spark: SparkSession, root: str, checkouts: DataFrame, name: str, mode: str = "append"
 ) -> None:
-    """Index code, docs or tests from checked-out trees (source, root, branch)."""
+    """Index code, docs or tests from checked-out trees (source, root, branch), one branch per source."""
+    checkouts = chosen_checkouts(checkouts)
     files = _scan(list_files(checkouts), name).join(
-        small_side(checkouts.select("source", "branch")), "source"
+        small_side(checkouts.select("source", "branch").distinct()), "source"
     )
     documents = stored(documents_from_files(files, name), "documents")
     index_documents(documents, root, name, mode, checkouts.select("source"))

@@ -428,11 +428,18 @@ ORACLES: dict[str, str] = {
     "search_hits": f"""{_HITS}
         SELECT query_id, collection, rank, chunk_id, chunk_no, label, score, round(d, 6) AS distance
         FROM hits""",
-    "search_rendered": f"""{_HITS}
-        SELECT query_id, string_agg('**' || label || '** (score: ' || score || ')' || chr(10) || '```'
-                   || chr(10) || {_strip('text')} || chr(10) || '```',
-                   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS rendered
-        FROM hits GROUP BY query_id""",
+    "search_rendered": f"""{_STATUS},
+        texts AS (
+            SELECT query_id, string_agg('**' || label || '** (score: ' || score || ')' || chr(10) || '```'
+                       || chr(10) || {_strip('text')} || chr(10) || '```',
+                       chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS rendered
+            FROM hits GROUP BY query_id)
+        SELECT query_id, coalesce(rendered, CASE status
+                   WHEN 'unknown' THEN 'Unknown collection: ' || coalesce(collection, '')
+                   WHEN 'missing' THEN upper(collection[1]) || collection[2:] || ' index missing.'
+                   WHEN 'empty' THEN 'Index is available but empty. Run the matching index script first.'
+                   ELSE 'No results found.' END) AS rendered
+        FROM statuses LEFT JOIN texts USING (query_id)""",
     "search_status": f"{_STATUS} SELECT * FROM statuses",
     "search_coverage": f"""{_STATUS}
         SELECT collection, status, count(*) AS n_queries FROM statuses GROUP BY ALL""",

@@ -28,7 +28,7 @@ from gleaner.plans import derived
 from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.jobs import crawled_documents
 from gleaner.plans.refresh import changes, refresh
-from gleaner.plans.search import render, search
+from gleaner.plans.search import search, search_text
 from gleaner.plans.status import collection_counts, coverage, health, query_status
 from gleaner.session import scratch_path, ship_package
 from gleaner.sources import index as store
@@ -351,8 +351,10 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = derived.text_table(spark, sf_dir, "documents").select("doc_id", "text")
     chunks = chunk_documents(documents)
     vectors = embed_text(chunks, fit_hashed_tfidf(chunks))
-    weights = vectors.select("doc_id", "chunk_no", F.posexplode("embedding").alias("bucket", "weight"))
-    return weights.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 5))
+    numbered = F.transform("embedding", lambda weight, at: F.struct(at.alias("bucket"), weight.alias("weight")))
+    filled = F.filter(numbered, lambda entry: entry["weight"] != 0)
+    return vectors.select("doc_id", "chunk_no", F.inline(filled)).withColumn(
+        "weight", F.round(F.col("weight").cast("double"), 5))
 
 
 @register
@@ -392,7 +394,9 @@ def search_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def search_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(_search(spark, sf_dir))
+    """A text for every query, with or without hits."""
+    root, model = derived.index(spark, sf_dir)
+    return search_text(spark, root, derived.queries(spark, sf_dir), model, derived.KNOWN)
 
 
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.queries import (
-    HIT_RULE, format_query, hit_label, render_hit, result_count, score,
+    HIT_RULE, format_query, hit_label, plain_answer, render_hit, result_count, score, tool_collection,
 )
 from gleaner.operators.embed import BatchFunction, embed_text
 from gleaner.operators.knn import distance_bounds, top_k
+from gleaner.plans.status import health, status_of
 from gleaner.schema import COLLECTIONS, METADATA
 from gleaner.session import small_side, stored
 from gleaner.sources import index
@@ -92,7 +93,32 @@ def render(hits: DataFrame) -> DataFrame:
     )
 
 
+def answers(
+    queries: DataFrame, hits: DataFrame, chunks: DataFrame, catalog: DataFrame, names: DataFrame
+) -> DataFrame:
+    """One text per query (query_id, rendered): its hits, or why there are none.
+
+    ``names`` (collection) are the collections that may be asked for, built or not.
+    """
+    known = health(chunks, catalog, names).select(F.col("collection").alias("known"), "n_chunks")
+    tool = F.col("tool") if "tool" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", "collection", tool.alias("tool"))
+    joined = asked.join(known, F.col("collection") == F.col("known"), "left").join(render(hits), "query_id", "left")
+    status = status_of(F.col("known"), F.col("n_chunks"), F.col("rendered").isNotNull())
+    plain = plain_answer(status, F.col("collection"), F.col("tool"))
+    return joined.select("query_id", F.coalesce("rendered", plain).alias("rendered"))
+
+
 def search_text(
-    spark: SparkSession, root: str, queries: DataFrame, factory: Callable[[], BatchFunction]
+    spark: SparkSession,
+    root: str,
+    queries: DataFrame,
+    factory: Callable[[], BatchFunction],
+    names: Sequence[str] = COLLECTIONS,
 ) -> DataFrame:
-    return render(search(spark, root, queries, factory))
+    """A text for every query; a column ``tool`` names the collection by the tool that reads it."""
+    if "tool" in queries.columns:
+        queries = queries.withColumn("collection", tool_collection(F.col("tool")))
+    hits = search(spark, root, queries, factory)
+    known = spark.createDataFrame([(name,) for name in names], "collection string")
+    return answers(queries, hits, index.ensure_index(spark, root), index.catalog(spark, root), known)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,17 @@ def health(chunks: DataFrame, catalog: DataFrame, names: DataFrame) -> DataFrame
     return names.join(built, "collection", "left").select("collection", "n_chunks", "embed_model")
 
 
+def status_of(known: Column, n_chunks: Column, answered: Column) -> Column:
+    """unknown, missing, empty, no_results or ok."""
+    return (
+        F.when(known.isNull(), "unknown")
+        .when(n_chunks.isNull(), "missing")
+        .when(n_chunks == 0, "empty")
+        .when(~answered, "no_results")
+        .otherwise("ok")
+    )
+
+
 def query_status(
     queries: DataFrame, hits: DataFrame, chunks: DataFrame, catalog: DataFrame, names: DataFrame
 ) -> DataFrame:
@@ -36,11 +47,7 @@ def query_status(
     n_hits = F.coalesce("n_hits", F.lit(0))
     return joined.select(
         "query_id", "collection",
-        F.when(F.col("known").isNull(), "unknown")
-        .when(F.col("n_chunks").isNull(), "missing")
-        .when(F.col("n_chunks") == 0, "empty")
-        .when(n_hits == 0, "no_results")
-        .otherwise("ok").alias("status"),
+        status_of(F.col("known"), F.col("n_chunks"), n_hits > 0).alias("status"),
         n_hits.alias("n_hits"),
     )
 

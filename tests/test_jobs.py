@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.plans.build import chunks_of, embed_chunks, load_model
 from gleaner.plans.derived import documents as derived_documents
-from gleaner.plans.jobs import index_files, index_pages, index_tutorials
+from gleaner.plans.jobs import chosen_checkouts, index_files, index_pages, index_tutorials
 from gleaner.plans.search import search, search_text
 from gleaner.sources import index
 
@@ -72,6 +72,14 @@ def test_jobs(spark, checkouts, tmp_path):
     rendered = {r.query_id: r.rendered for r in search_text(spark, root, asked, first).collect()}
     assert rendered["a"].startswith("**src/solver.py** (score: ")
     assert rendered["b"].count("**") == 4
+    tools = spark.createDataFrame(
+        [("a", "search_codebase", "adjoint solver", 1), ("c", "search_all", "x", 1),
+         ("d", "search_codebase", "adjoint", 0)],
+        "query_id string, tool string, query string, n_results int")
+    told = {r.query_id: r.rendered for r in search_text(spark, root, tools, first).collect()}
+    assert told["a"] == rendered["a"]
+    assert told["c"] == "Unknown tool: search_all"
+    assert told["d"] == "No results found."
     with pytest.raises(ValueError, match="no documents"):
         index_files(spark, root, checkouts.where("source = 'heavy'"), "docs")
 
@@ -117,3 +125,12 @@ def test_winners_are_broadcast_to_the_text_scan(spark, checkouts, tmp_path):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "embedding" not in text
     assert "PartitionFilters: [isnotnull(collection" in text and "IN (code)" in text or "= code)" in text
     assert hits.select(F.col("label")).first().label == "src/solver.py"
+
+
+def test_one_branch_per_source(spark):
+    rows = [("a", "/1", "work", True), ("a", "/2", "master", False), ("b", "/3", "dev", True), ("b", "/4", "old", False),
+            ("c", "/5", "main", False)]
+    checkouts = spark.createDataFrame(rows, "source string, root string, branch string, active boolean")
+    roots = [row.root for row in chosen_checkouts(checkouts).orderBy("root").collect()]
+    assert roots == ["/2", "/3", "/5"]
+    assert chosen_checkouts(checkouts.drop("active")).count() == 3
