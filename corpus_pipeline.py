@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, mixing, near_dup, packing, toxicity
-from gleaner.llm.common import table
+from gleaner.llm.common import table, text_of
 from gleaner.session import ship_package, stored
 
 SMALL_DROPPED = 1_000_000  # rows of an id and a digest: at most about 120 MB
@@ -54,9 +54,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    told = near_dup.near_duplicates(docs)
-    return _without(docs, told.filter(~F.col("kept")).select("doc_id"), ["doc_id"])
+    """One document of each group of near copies: that of the smallest id, a missing id last, then of the smallest digest.
+
+    Documents are told apart by id and digest of the text; of rows that repeat both, one stays. Rows without words all stay.
+    """
+    name = "__digest"
+    digest = exact_dedup.sha256(text_of(F.col("text")))
+    told = stored(near_dup.row_fates(docs, digest), "told")
+    left = _without(docs.withColumn(name, digest), told.filter(~F.col("kept")).select(
+        "doc_id", F.col("mark").alias(name)), ["doc_id", name])
+    again = stored(told.filter("kept").groupBy("doc_id", F.col("mark").alias(name)).count().filter("count > 1"), "again")
+    if not again.isEmpty():
+        single = left.groupBy("doc_id", name).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*", name)
+        left = _without(left, again, ["doc_id", name]).select(*docs.columns, name).unionByName(
+            single.join(again.select(F.col("doc_id").alias("again_id"), F.col(name).alias("again_digest")),
+                        single["doc_id"].eqNullSafe(F.col("again_id")) & (single[name] == F.col("again_digest")), "left_semi"))
+    return left.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,11 +108,11 @@ def _node(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SKETCH = "doc_id long, n_shingles long, node long, bands array<long>, sketch binary"
+_SKETCH = "doc_id long, mark string, n_shingles long, node long, bands array<long>, sketch binary"
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """One row per document: its set's size, name, band keys and 16 bits of each hash; empty sets have none."""
+def sketches(documents: DataFrame, mark: Column | None = None) -> DataFrame:
+    """One row per document: ``mark``, its set's size, name, band keys and 16 bits of each hash; empty sets have none."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,13 +130,14 @@ def sketches(documents: DataFrame) -> DataFrame:
                         bands[at] = keys[place]
                         short[at] = minima[place].astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(own) for own in sets], pa.int64()),
+                    part.column("doc_id"), part.column("mark"), pa.array([len(own) for own in sets], pa.int64()),
                     pa.array([_node(own) if len(own) else None for own in sets], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()),
-                ], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                ], names=["doc_id", "mark", "n_shingles", "node", "bands", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(
-        sketch, _SKETCH)
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None) if mark is None else mark).cast("string").alias("mark"),
+        text_of(F.col("text")).alias("text")).mapInArrow(sketch, _SKETCH)
 
 
 def _alike(left: str, right: str) -> Column:
@@ -313,13 +314,13 @@ def _shortened(shingles: Column) -> Column:
     return shorten(shingles)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def linked_rows(documents: DataFrame, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n_shingles, node, root), one per document, and (node, doc_id, root), one per distinct set.
 
-    Two documents are linked if their sets of distinct word shingles have a Jaccard similarity of 0.75 or more; a component is
-    what links reach, named by its smallest id. A text of fewer words than a shingle is one shingle; one
+    ``root`` names the component of a row, whatever its id; a row without shingles has no node and no root. ``mark`` is
+    carried along. Two documents are linked if their sets of distinct word shingles have a Jaccard similarity of 0.75 or more; a component is
+    what links reach. A text of fewer words than a shingle is one shingle; one
     without words, and a missing text, has none and is linked with nothing. Copies of a set are one node from the start.
-    Rows that repeat an id are rows of their own.
 
     Tensored banding: two sides of COLLECTIONS keys stand for COLLECTIONS**2 tables, whose keys are pairs of a
     left and a right key. A pair of similarity 0.75 meets in none of them once in 50,000 cases. The pairs of keys
@@ -333,7 +334,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Each pair that may be similar, of what is not yet connected, is checked on full sets.
     """
     ship_package(documents.sparkSession)
-    every = stored(sketches(documents), "sketches")
+    every = stored(sketches(documents, mark), "sketches")
     nodes = stored(every.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     first = every.filter("node IS NOT NULL").select("node", "doc_id", "bands", "sketch").join(
         nodes.withColumnRenamed("doc_id", "least"), "node").filter(
@@ -368,11 +369,34 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if not across.isEmpty():
             links = _link(documents, across, nodes, links, sets)
             reach = components(links)
-    rooted = every.join(reach, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("root"), "node")
-    names = nodes.join(reach, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(
-        F.min("doc_id").alias("component_id"))
+    root = F.coalesce("component", "node").alias("root")
+    return (every.join(reach, "node", "left").select("doc_id", "mark", "n_shingles", "node", root),
+            nodes.join(reach, "node", "left").select("node", "doc_id", root))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    A component of :func:`linked_rows` is named by its smallest id. Rows that repeat an id are rows of their own; a row is kept
+    if its id is its component's, so that all rows of that id are.
+    """
+    rooted, nodes = linked_rows(documents)
+    names = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     told = rooted.join(names, "root", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return told.select("doc_id", "n_shingles", component.alias("component_id"),
                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def row_fates(documents: DataFrame, mark: Column) -> DataFrame:
+    """One row per document with shingles: doc_id, mark, kept.
+
+    One row of each component stays: that of the smallest id, a missing one last, then of the smallest ``mark``. Rows that
+    repeat both are all marked as kept.
+    """
+    rooted, _ = linked_rows(documents, mark)
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("mark"))
+    rooted = rooted.filter("node IS NOT NULL").select("doc_id", "mark", "root", place.alias("place"))
+    first = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("place").alias("first"))
+    return rooted.join(first, F.col("root") == F.col("of_root")).select(
+        "doc_id", "mark", F.col("place").eqNullSafe(F.col("first")).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -291,3 +292,60 @@ def test_draws_follow_the_share_however_small(spark):
     assert 800 < keys.filter(drawn(F.col("id"), 0.005)).count() < 1200
     assert keys.filter(drawn(F.col("id"), 2.0)).count() == 200_000
     assert keys.filter(drawn(F.col("none"), 1.0)).count() == 0
+
+
+def near_survivors(rows):
+    """One (id, text) of each component of rows: the smallest id, a missing one last, then the smallest digest; wordless rows stay."""
+    sets = []
+    for _, text in rows:
+        own = words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets.append({tuple(own[at:at + 5]) for at in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)} if own else set())
+    of = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                of = [of[b] if at == of[a] else at for at in of]
+    by_component = defaultdict(list)
+    for at, (doc_id, text) in enumerate(rows):
+        by_component[of[at]].append((doc_id is None, doc_id or 0, hashlib.sha256((text or "").encode()).hexdigest(), doc_id, text))
+    return sorted((min(own)[3:] for own in by_component.values()), key=repr)
+
+
+def near_copy_rows():
+    """Near copies among missing and repeated ids, each beside a clean row of the same id."""
+    text = lambda name: [f"{name}{at}" for at in range(40)]
+    near = lambda name, end: " ".join([*text(name)[:-1], end])
+    return [(1, near("a", "x")), (None, near("a", "y")), (None, near("b", "x")),  # a missing id of a near copy and of a clean row
+            (3, near("c", "x")), (5, near("c", "y")), (5, near("d", "x")),  # an id of a near copy and of a clean row
+            (7, near("e", "x")), (7, near("e", "y")), (None, near("f", "x")), (None, near("f", "y")),  # near copies of one id
+            (9, near("g", "x")), (9, near("g", "y")), (8, near("g", "z")), (10, "h i j"), (None, ""), (11, None)]
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    plain = near_copy_rows()
+    again = [*plain, plain[6], plain[7], plain[8], plain[9], plain[2]]  # rows told twice, of which one stays
+    for rows in (plain, again):
+        docs = stored(spark.createDataFrame(
+            [(at % 3, doc_id, text) for at, (doc_id, text) in enumerate(rows)], "source int, doc_id long, text string"), "docs")
+        left = corpus_pipeline.drop_near_copies(spark, docs, SF)
+        assert left.columns == docs.columns
+        assert sorted(((row.doc_id, row.text) for row in left.collect()), key=repr) == near_survivors(rows)
+
+
+def test_pipeline_run_keeps_one_document_of_each_near_copy_group(spark, tmp_path, monkeypatch):
+    rows = near_copy_rows()
+    rows += [rows[0], rows[4]]
+    spark.createDataFrame([(doc_id, text, "en", "s", 0) for doc_id, text in rows],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    reached = {}
+
+    def seen(frame, name):
+        reached[name] = stored(frame, name)
+        return reached[name]
+
+    monkeypatch.setattr(corpus_pipeline, "stored", seen)
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    distinct = [row for row in dict.fromkeys(rows) if row != (None, "")]  # exact dedup leaves the empty text with the id
+    got = [(row.doc_id, row.text) for row in reached["near_dedup"].collect()]
+    assert sorted(got, key=repr) == near_survivors(distinct)
