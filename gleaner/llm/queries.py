@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup, html_cut, mixing, near_dup, packing, pii, quality, sharding, topk, toxicity
+from gleaner.llm import (
+    align, exact_dedup, html_cut, mixing, near_dup, packing, pii, quality, sharding, token_counts, topk, toxicity, whitening,
+)
 from gleaner.llm.common import table, text_of
 
 
@@ -82,9 +84,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset", "loss_tokens")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_of(F.col("text"))
+    count = token_counts.token_count(spark, F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), count.alias("n_tokens")).withColumn(
+        "over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES = {query.__name__: query for query in (
     op1_toxicity, op2_mixing, op3_quality, op4_exact_dedup, op5_topk, op6_sharding, op7_near_dedup, op8_html, op9_pii,
-    op10_packing)}
+    op10_packing, op11_whitening, op12_alignment, op13_token_counts)}
 
 _OP2 = r"""
 WITH docs AS (
