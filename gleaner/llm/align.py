@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -27,7 +27,8 @@ BATCH_CHARS = 1 << 20  # texts aligned together
 FIRST_WINDOW = 16  # ends compared at first where one-to-one tokens may follow
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_stops array<int>, b_stops array<int>"
 
-_PAIRS: dict[int, TokenPairs] = {}
+_SIDES: dict[int, Sides] = {}
+_NAMES: list[str] = []
 
 
 class ByteLevel:
@@ -39,8 +40,7 @@ class ByteLevel:
 
     def __init__(self, content: str) -> None:
         told = json.loads(content)
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        self.content, self.tokenizer = content, None
         alphabet = byte_alphabet()
         special = {token["id"] for token in told["added_tokens"]}
         self.bytes = {number: bytes(alphabet[sign] for sign in entry)
@@ -56,6 +56,9 @@ class ByteLevel:
 
     def encode(self, text: str) -> list[int]:
         if self.fast is None or len(text) > PLAIN_CHARS:
+            if self.tokenizer is None:
+                self.tokenizer = Tokenizer.from_str(self.content)
+                self.tokenizer.encode_special_tokens = True
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -122,42 +125,31 @@ def common_stops(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np
     return at_a, at_a + np.repeat(np.array(shifts, np.int64), spans)
 
 
-class TokenPairs:
-    """Two tokenizers, and all pairs of their ids that can ever end together.
+def possible_pairs(a: dict[int, bytes], b: dict[int, bytes]) -> np.ndarray:
+    """All pairs of ids that can ever end together, as ascending numbers ``a * width + b`` with the second side's width.
 
     Of two tokens that end at the same byte the shorter one's bytes end the longer one's, so the vocabularies alone tell
     the pairs: as many as tokens have suffixes, some 324,000 for vocabularies of 50,000 and 32,000. Tables by pair are bounded by
     that number, whatever the corpus.
     """
+    one, two, width = defaultdict(list), defaultdict(list), max(b) + 1
+    for side, vocabulary in ((one, a), (two, b)):
+        for number, own in vocabulary.items():
+            side[own].append(number)
+    found = {left * width + right for own, lefts in one.items() for at in range(len(own))
+             for right in two.get(own[at:], ()) for left in lefts}
+    found |= {left * width + right for own, rights in two.items() for at in range(len(own))
+              for left in one.get(own[at:], ()) for right in rights}
+    return np.array(sorted(found), np.int64)
+
+
+class Sides:
+    """Two tokenizers whose tokens are aligned."""
 
     def __init__(self, a: str, b: bytes) -> None:
         self.a, self.b = ByteLevel(a), Pieces(b)
-        self.a_size, self.b_size = self._sizes(self.a.bytes), self._sizes(self.b.bytes)
         self.a_bytes, self.b_bytes = ([side.bytes.get(number, b"") for number in range(max(side.bytes) + 1)] for side in (self.a, self.b))
-        one, two = defaultdict(list), defaultdict(list)
-        for side, vocabulary in ((one, self.a.bytes), (two, self.b.bytes)):
-            for number, own in vocabulary.items():
-                side[own].append(number)
-        width = len(self.b_size)
-        found = {left * width + right for own, lefts in one.items() for at in range(len(own))
-                 for right in two.get(own[at:], ()) for left in lefts}
-        found |= {left * width + right for own, rights in two.items() for at in range(len(own))
-                  for left in one.get(own[at:], ()) for right in rights}
-        self.keys = np.array(sorted(found), np.int64)
-
-    @staticmethod
-    def _sizes(vocabulary: dict[int, bytes]) -> np.ndarray:
-        sizes = np.zeros(max(vocabulary) + 1, np.int64)
-        sizes[list(vocabulary)] = [len(own) for own in vocabulary.values()]
-        return sizes
-
-    def b_of(self) -> np.ndarray:
-        """The second id of each pair."""
-        return self.keys % len(self.b_size)
-
-    def pair_of(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
-        """Places of linked ids among all pairs."""
-        return np.searchsorted(self.keys, a_ids.astype(np.int64) * len(self.b_size) + b_ids)
+        self.a_size, self.b_size = (np.array(list(map(len, side)), np.int64) for side in (self.a_bytes, self.b_bytes))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides; None if the text is empty or either side's bytes are not those of the text behind a space."""
@@ -184,13 +176,13 @@ class TokenPairs:
                 for k, (a, b) in enumerate(coded)]
 
 
-def _pairs(a: str, b: bytes) -> TokenPairs:
+def _sides(a: str, b: bytes) -> Sides:
     """The worker's two tokenizers; one pair of files is kept."""
     key = hash((a, b))
-    if key not in _PAIRS:
-        _PAIRS.clear()
-        _PAIRS[key] = TokenPairs(a, b)
-    return _PAIRS[key]
+    if key not in _SIDES:
+        _SIDES.clear()
+        _SIDES[key] = Sides(a, b)
+    return _SIDES[key]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -206,30 +198,35 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 
 class Aligner:
-    """The files of two tokenizers on the driver, sent to the tasks (a few MB)."""
+    """The files of two tokenizers and their possible pairs on the driver, sent to the tasks (a few MB)."""
 
     def __init__(self, spark: SparkSession, a: str, b: str) -> None:
         ship_package(spark)
-        self.files = spark.sparkContext.broadcast((Path(a).read_text(encoding="utf-8"), Path(b).read_bytes()))
-
-    def aligned(self, documents: DataFrame) -> DataFrame:
+        files = Path(a).read_text(encoding="utf-8"), Path(b).read_bytes()
+        vocabularies = ByteLevel(files[0]).bytes, Pieces(files[1]).bytes
+        self.keys, self.width = possible_pairs(*vocabularies), max(vocabularies[1]) + 1
+        self.files, self.shared_keys = spark.sparkContext.broadcast(files), spark.sparkContext.broadcast(self.keys)
+
+    def aligned(
+        self, documents: DataFrame, then: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch, schema: str = ALIGNED,
+    ) -> DataFrame:
         """One row per document: doc_id, the ids of both sides, and how many ids each group's end has before it.
 
         Group g holds the ids from ``a_stops[g - 1]`` to ``a_stops[g]`` and from ``b_stops[g - 1]`` to ``b_stops[g]``. A text that is
         missing, empty, or that either tokenizer changes has empty lists. Rows are aligned where they lie, without a shuffle; repeated
         rows and missing ids are kept, other columns are left out. No token is without bytes, so the two last ids of a group
-        are its one link.
+        are its one link. ``then`` may turn batches of these rows into others, of ``schema``, before they leave the task.
         """
         files = self.files
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pairs = _pairs(*files.value)
+            sides = _sides(*files.value)
 
             def told(ids: list, texts: list) -> pa.RecordBatch:
-                found = pairs.align(texts)
+                found = sides.align(texts)
                 columns = [_lists([row[at] for row in found]) for at in range(4)]
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns],
-                                                  names=["doc_id", "a_ids", "b_ids", "a_stops", "b_stops"])
+                return then(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns],
+                                                       names=["doc_id", "a_ids", "b_ids", "a_stops", "b_stops"]))
 
             for batch in batches:
                 ids, texts, held = [], [], 0
@@ -243,46 +240,65 @@ class Aligner:
                 if ids:
                     yield told(ids, texts)
 
-        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(
-            run, ALIGNED)
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).mapInArrow(run, schema)
 
-    def links(self, a_ids: Column, b_ids: Column, a_stops: Column, b_stops: Column) -> Column:
-        """The linked id pairs of an aligned text: distinct pairs (places among all that can end together), and their numbers."""
-        files = self.files
+    def linked(self, documents: DataFrame) -> DataFrame:
+        """Per document the numbers of its tokens and groups, the digest of its groups, and its links: the distinct id pairs
+        (places among all that can end together) with their numbers."""
+        keys, width = self.shared_keys, self.width
 
-        @F.arrow_udf("struct<pairs array<int>, times array<int>>")
-        def linked(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-            pairs = _pairs(*files.value)
-            for batch in batches:
-                found = [np.unique(pairs.pair_of(a[a_at - 1], b[b_at - 1]), return_counts=True)
-                         for a, b, a_at, b_at in zip(*map(_rows, batch))]
-                yield pa.StructArray.from_arrays([_lists([row[at] for row in found]) for at in range(2)], names=["pairs", "times"])
+        def report(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = list(zip(*[_rows(batch.column(at)) for at in range(1, 5)]))
+            pairs = [np.unique(np.searchsorted(keys.value, a[a_at - 1].astype(np.int64) * width + b[b_at - 1]), return_counts=True)
+                     for a, b, a_at, b_at in rows]
+            sizes = [pa.array([len(row[at]) for row in rows], pa.int64()) for at in range(4)]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), *sizes, pa.array([groups_digest(*row) for row in rows], pa.string()), *[_lists([row[at] for row in pairs]) for at in range(2)]],
+                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
-        return linked(a_ids, b_ids, a_stops, b_stops)
+        return self.aligned(documents, report, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+                                               "pairs array<int>, times array<int>")
 
     def pair_counts(self, linked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Links of the whole corpus per id pair, and whether that is the most of its second id (ties included).
 
         Tasks add up in place and emit each pair once; as many numbers as there are possible pairs reach the driver at most.
         """
-        files = self.files
+        size = len(self.keys)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(_pairs(*files.value).keys), np.int64)
+            total = np.zeros(size, np.int64)
             for batch in batches:
                 places = batch.column(0).flatten().to_numpy(zero_copy_only=False)
                 times = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                total += np.bincount(places, weights=times, minlength=len(total)).astype(np.int64)
+                total += np.bincount(places, weights=times, minlength=size).astype(np.int64)
             filled = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(total[filled])], names=["pair", "n"])
 
         sums = linked.select("pairs", "times").mapInArrow(add, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        pairs = TokenPairs(*self.files.value)
-        counts = np.zeros(len(pairs.keys), np.int64)
+        counts, most, b_of = np.zeros(size, np.int64), np.zeros(self.width, np.int64), self.keys % self.width
         counts[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
-        most = np.zeros(len(pairs.b_size), np.int64)
-        np.maximum.at(most, pairs.b_of(), counts)
-        return counts, (counts > 0) & (counts == most[pairs.b_of()])
+        np.maximum.at(most, b_of, counts)
+        return counts, (counts > 0) & (counts == most[b_of])
+
+
+def groups_digest(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray) -> str:
+    """SHA-256 of the groups of an aligned text as ``a1,a2|b1;a3|b2,b3``: decimal ids in order; empty for a text without tokens."""
+    if not len(a):
+        return ""
+    # Each id is followed by a comma, the last of a group's side by the mark behind that side.
+    a_size, b_size = np.diff(a_stops, prepend=0), np.diff(b_stops, prepend=0)
+    a_place = np.arange(len(a)) + np.repeat(b_stops - b_size, a_size)
+    b_place = np.arange(len(b)) + np.repeat(a_stops, b_size)
+    width = len(_NAMES) // 3
+    if (most := max(int(a.max()), int(b.max()))) >= width:
+        width = max(most + 1, 1 << 16)
+        _NAMES[:] = [f"{number}{mark}" for mark in ",|;" for number in range(width)]
+    ids = np.empty(len(a) + len(b), np.int64)
+    ids[a_place], ids[b_place] = a, b
+    ids[a_place[a_stops - 1]] += width
+    ids[b_place[b_stops - 1]] += 2 * width
+    return hashlib.sha256("".join([_NAMES[number] for number in ids.tolist()])[:-1].encode()).hexdigest()
 
 
 def _link_sums(spark: SparkSession, counts: np.ndarray, best: np.ndarray) -> Column:
@@ -304,36 +320,6 @@ def _link_sums(spark: SparkSession, counts: np.ndarray, best: np.ndarray) -> Col
     return sums(F.col("pairs"), F.col("times"))
 
 
-def groups_digest(a_ids: Column, b_ids: Column, a_stops: Column, b_stops: Column) -> Column:
-    """SHA-256 of the groups as ``a1,a2|b1;a3|b2,b3``: decimal ids in order; empty for a text without tokens."""
-
-    def digest(names: list[str], width: int, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> str:
-        if not len(a):
-            return ""
-        # Each id is followed by a comma, the last of a group's side by the mark behind that side.
-        a_size, b_size = np.diff(a_at, prepend=0), np.diff(b_at, prepend=0)
-        a_place = np.arange(len(a)) + np.repeat(b_at - b_size, a_size)
-        b_place = np.arange(len(b)) + np.repeat(a_at, b_size)
-        ids = np.empty(len(a) + len(b), np.int64)
-        ids[a_place], ids[b_place] = a, b
-        ids[a_place[a_at - 1]] += width
-        ids[b_place[b_at - 1]] += 2 * width
-        return hashlib.sha256("".join([names[number] for number in ids.tolist()])[:-1].encode()).hexdigest()
-
-    @F.arrow_udf("string")
-    def told(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        width, names = 0, []
-        for batch in batches:
-            a, b, a_at, b_at = map(_rows, batch)
-            most = max((int(ids.max()) for ids in (*a, *b) if len(ids)), default=0)
-            if most >= width:
-                width = max(most + 1, 1 << 16)
-                names = [f"{number}{mark}" for mark in ",|;" for number in range(width)]
-            yield pa.array([digest(names, width, *row) for row in zip(a, b, a_at, b_at)], pa.string())
-
-    return told(a_ids, b_ids, a_stops, b_stops)
-
-
 def alignment_report(documents: DataFrame, a: str, b: str) -> DataFrame:
     """Per document its tokens, groups and links, and what the links weigh in the whole corpus.
 
@@ -343,10 +329,6 @@ def alignment_report(documents: DataFrame, a: str, b: str) -> DataFrame:
     tokenizer changes, have zeros and an empty digest.
     """
     aligner = Aligner(documents.sparkSession, a, b)
-    sides = [F.col(name) for name in ("a_ids", "b_ids", "a_stops", "b_stops")]
-    linked = stored(aligner.aligned(documents).select(
-        "doc_id", *[F.size(side).cast("long").alias(name) for side, name in zip(sides, ("n_a", "n_b", "n_groups"))],
-        F.size("b_stops").cast("long").alias("n_links"), groups_digest(*sides).alias("groups_sha256"),
-        aligner.links(*sides).alias("linked")).select("*", "linked.*").drop("linked"), "links")
+    linked = stored(aligner.linked(documents), "links")
     weighed = linked.withColumn("sums", _link_sums(documents.sparkSession, *aligner.pair_counts(linked)))
     return weighed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "sums.n_best", "sums.count_sum", "groups_sha256")

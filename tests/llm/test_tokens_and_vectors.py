@@ -161,9 +161,9 @@ def test_alignment_query(spark, given):
 def test_alignment_gives_groups_and_takes_empty_tables(spark, odd):
     aligner = align.Aligner(spark, BYTES, PIECES)
     row = aligner.aligned(spark.createDataFrame([(1, "don't stop")], "doc_id long, text string")).first()
-    pairs = align.TokenPairs(open(BYTES).read(), open(PIECES, "rb").read())
-    a = [pairs.a.bytes[number] for number in row.a_ids]
-    b = [pairs.b.bytes[number] for number in row.b_ids]
+    sides = align.Sides(open(BYTES).read(), open(PIECES, "rb").read())
+    a = [sides.a.bytes[number] for number in row.a_ids]
+    b = [sides.b.bytes[number] for number in row.b_ids]
     assert b"".join(a) == b"".join(b) == b" don't stop"
     for a_stop, b_stop in zip(row.a_stops, row.b_stops):
         assert b"".join(a[:a_stop]) == b"".join(b[:b_stop])
@@ -172,11 +172,11 @@ def test_alignment_gives_groups_and_takes_empty_tables(spark, odd):
 
 
 def test_long_texts_take_the_other_library(monkeypatch, given):
-    pairs = align.TokenPairs(open(BYTES).read(), open(PIECES, "rb").read())
-    fast = [pairs.a.encode(" " + (text or "")) for text in odd_texts() + given]
+    sides = align.Sides(open(BYTES).read(), open(PIECES, "rb").read())
+    fast = [sides.a.encode(" " + (text or "")) for text in odd_texts() + given]
     monkeypatch.setattr(align, "PLAIN_CHARS", 0)
-    assert pairs.a.fast is not None
-    assert fast == [pairs.a.encode(" " + (text or "")) for text in odd_texts() + given]
+    assert sides.a.fast is not None
+    assert fast == [sides.a.encode(" " + (text or "")) for text in odd_texts() + given]
 
 
 # Whitening.
