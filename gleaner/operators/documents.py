@@ -120,20 +120,21 @@ def file_outcomes(files: DataFrame, *collections: str) -> DataFrame:
     ).drop("text", "blank")
 
 
-def _conform(df: DataFrame) -> DataFrame:
-    """Project to the documents layout, NULL for what a source does not have."""
+def _conform(df: DataFrame, *more: str) -> DataFrame:
+    """Project to the documents layout and ``more`` columns, NULL for what a source does not have."""
     present = set(df.columns)
     return df.select(*[
         (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in DOCUMENTS.fields
-    ])
+    ], *more)
 
 
-def documents_from_files(files: DataFrame, *collections: str) -> DataFrame:
+def documents_from_files(files: DataFrame, *collections: str, with_skipped: bool = False) -> DataFrame:
     """The documents that the named collections take from a files table, in one scan.
 
     A file that several collections take becomes one document of each. Tutorials take files
-    of registered sources only (see ``with_registry``).
+    of registered sources only (see ``with_registry``). ``with_skipped`` adds a column ``outcome``, and the files
+    that are taken but blank or unreadable, which have no text.
     """
     path = F.col("file_path")
 
@@ -144,7 +145,10 @@ def documents_from_files(files: DataFrame, *collections: str) -> DataFrame:
     takers = F.array_compact(F.array(*[F.when(taken(name), F.lit(name)) for name in collections]))
     # The filter on paths stands alone so that it is applied before contents are decoded.
     wanted = files.where(reduce(Column.__or__, [taken(name) for name in collections]))
-    loaded = _decoded(wanted, collections).where("not blank").withColumn("collection", F.explode(takers))
+    decoded = _decoded(wanted, collections)
+    outcome = F.when(F.col("text").isNull(), "unreadable").when(F.col("blank"), "blank").otherwise("loaded")
+    decoded = decoded.withColumn("outcome", outcome) if with_skipped else decoded.where("not blank")
+    loaded = decoded.withColumn("collection", F.explode(takers))
     own = {name: F.col("collection") == name for name in collections}
     stripped = F.col("collection").isin([n for n in collections if PROFILES[n].stripped])
     metadata: dict[str, list[Column]] = {}
@@ -155,11 +159,12 @@ def documents_from_files(files: DataFrame, *collections: str) -> DataFrame:
     shaped = loaded.select(
         "collection",
         F.concat_ws("|", "source", "file_path").alias("doc_key"),
-        text.alias("text"),
+        (F.when(F.col("outcome") == "loaded", text) if with_skipped else text).alias("text"),
         "file_path",
+        *(["outcome"] if with_skipped else []),
         *[F.coalesce(*values).alias(key) for key, values in metadata.items()],
     )
-    return _conform(shaped.withColumn("content_hash", content_hash(F.col("text"))))
+    return _conform(shaped.withColumn("content_hash", content_hash(F.col("text"))), *(["outcome"] if with_skipped else []))
 
 
 def ingest_stats(files: DataFrame, *collections: str) -> DataFrame:

@@ -61,6 +61,11 @@ class HashedTfIdf:
     def name(self) -> str:
         return f"hashed-tfidf-{len(self.weights)}"
 
+    @property
+    def fingerprint(self) -> str:
+        """Tells fits of one width from one another."""
+        return hashlib.sha256(np.array(self.weights, "<f8").tobytes()).hexdigest()
+
     def __call__(self) -> BatchFunction:
         weights = np.array(self.weights)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.operators.chunk import chunk_documents, chunk_id
 from gleaner.operators.embed import BatchFunction, HashedTfIdf, embed_text, fit_hashed_tfidf
 from gleaner.schema import CHUNK_OVERLAP, CHUNK_TOKENS, METADATA
+from gleaner.session import stored
 from gleaner.sources import index
 
 _EMBED_TEXT = "_embed_text"
@@ -46,6 +47,25 @@ def embed_chunks(
     )
 
 
+def single_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row per collection and key: of rows that repeat a key, the one of the smallest content hash.
+
+    Keys alone are counted; texts meet only where a key does repeat.
+    """
+    key = ["collection", "doc_key"]
+    repeated = stored(documents.groupBy(*key).count().where("count > 1").select(*key), "repeated")
+    if repeated.isEmpty():
+        return documents
+    row = F.struct(*documents.columns)
+    single = documents.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by(row, F.struct("content_hash", F.md5(F.to_json(row)))).alias("row"))
+    return documents.join(repeated, key, "left_anti").select(*documents.columns).unionByName(single.select("row.*"))
+
+
+def model_fingerprint(factory: Callable[[], BatchFunction]) -> str | None:
+    """What tells a model from another of the same name, if the factory can tell."""
+    return getattr(factory, "fingerprint", None)
+
+
 def build_index(
     documents: DataFrame,
     root: str,
@@ -56,23 +76,37 @@ def build_index(
     chunking: str = "window",
     with_metadata: bool = False,
     n_buckets: int = index.DEFAULT_BUCKETS,
-) -> None:
-    """Chunk, embed and store the documents of the named collections, in one job.
-
-    The one shuffle moves documents to their buckets; chunks and vectors stay where they
-    are made.
+    size: int = CHUNK_TOKENS,
+    overlap: int = CHUNK_OVERLAP,
+) -> dict[str, tuple[int, int]]:
+    """Chunk, embed and store the documents of the named collections, in one job; chunks and documents written to each.
+
+    The one shuffle moves documents to their buckets; chunks and vectors stay where they are made. Of rows
+    that repeat a key within ``documents`` one is taken. The chunk options stay with the collection: an append to one that
+    exists uses its own, as every refresh does.
     """
+    options = index.Options(chunking, size, overlap, with_metadata)
     if mode == "append":
-        known = [index.n_buckets_of(documents.sparkSession, root, name) for name in names]
-        n_buckets = next((size for size in known if size), n_buckets)
-    own = index.gather(documents.where(F.col("collection").isin(*names)), n_buckets)
-    embedded = embed_chunks(chunks_of(own.drop("bucket"), chunking), factory, model_name, with_metadata)
-    index.write_index(embedded, root, names, model_name, mode, n_buckets)
+        current = index.versions(documents.sparkSession, root)
+        known = next((current[name] for name in names if name in current), None)
+        if known is not None:
+            n_buckets, options = known.n_buckets, known.options
+    own = index.gather(single_documents(documents.where(F.col("collection").isin(*names))), n_buckets)
+    embedded = embedded_chunks(own.drop("bucket"), factory, model_name, options)
+    return index.write_index(embedded, root, names, model_name, mode, n_buckets, model_fingerprint(factory), options)
+
+
+def embedded_chunks(
+    documents: DataFrame, factory: Callable[[], BatchFunction], model_name: str, options: index.Options
+) -> DataFrame:
+    """Chunks of documents with their vectors, by the options of a collection; no shuffle."""
+    chunks = chunks_of(documents, options.chunking, options.size, options.overlap)
+    return embed_chunks(chunks, factory, model_name, options.with_metadata)
 
 
-def fit_model(documents: DataFrame, root: str) -> HashedTfIdf:
+def fit_model(documents: DataFrame, root: str, options: index.Options = index.Options()) -> HashedTfIdf:
     """Fit the default embedder on the chunks of ``documents`` and store it beside the index."""
-    model = fit_hashed_tfidf(chunks_of(documents))
+    model = fit_hashed_tfidf(chunks_of(documents, options.chunking, options.size, options.overlap))
     save_model(documents.sparkSession, root, model)
     return model
 

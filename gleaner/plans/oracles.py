@@ -480,4 +480,4 @@ ORACLES: dict[str, str] = {
 }
 
 # A repeated append changes nothing.
-ORACLES["search_after_append"] = ORACLES["search_hits"]
+ORACLES["search_after_append"] = ORACLES["search_cells"] = ORACLES["search_compacted"] = ORACLES["search_hits"]

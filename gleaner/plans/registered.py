@@ -27,6 +27,7 @@ from gleaner.operators.pages import distinct_targets, page_links, parse_pages
 from gleaner.plans import derived
 from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.jobs import crawled_documents
+from gleaner.plans.layout import lay_out
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import search, search_text
 from gleaner.plans.status import collection_counts, coverage, health, query_status
@@ -392,6 +393,39 @@ def search_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search(spark, root, derived.queries(spark, sf_dir), model))
 
 
+@register
+def search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits over collections that were laid out by cells, then changed: part appended later, part removed and brought back."""
+    _, model = derived.index(spark, sf_dir)
+    root = scratch_path(spark, "laid_out")
+    documents = derived.documents(spark, sf_dir)
+    late = F.pmod(F.xxhash64("doc_key"), F.lit(5)) == 0
+    names = ("code", "docs", "tests", "tutorials")
+    build_index(documents.where(~late), root, names, model, model.name)
+    for name in names:
+        lay_out(spark, root, name, rows_per_cell=32)
+    build_index(documents, root, names, model, model.name, "append")
+    refresh(_edited(documents), root, "docs", model, model.name)
+    refresh(documents, root, "docs", model, model.name)
+    return _hits(search(spark, root, derived.queries(spark, sf_dir), model))
+
+
+@register
+def search_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits after a refresh to an edited snapshot and back, compacted and laid out anew."""
+    _, model = derived.index(spark, sf_dir)
+    root = scratch_path(spark, "compacted")
+    documents = derived.documents(spark, sf_dir)
+    names = ("code", "docs", "tests", "tutorials")
+    build_index(_edited(documents), root, names, model, model.name)
+    for name in names:
+        refresh(documents, root, name, model, model.name)
+        store.compact(spark, root, name)
+        lay_out(spark, root, name, rows_per_cell=64)
+    store.vacuum(spark, root)
+    return _hits(search(spark, root, derived.queries(spark, sf_dir), model))
+
+
 @register
 def search_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text for every query, with or without hits."""
@@ -402,9 +436,7 @@ def search_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _ = derived.index(spark, sf_dir)
     return query_status(
-        derived.queries(spark, sf_dir), _search(spark, sf_dir), store.ensure_index(spark, root),
-        store.catalog(spark, root), derived.known_names(spark),
-    )
+        derived.queries(spark, sf_dir), _search(spark, sf_dir), store.catalog(spark, root), derived.known_names(spark))
 
 
 @register
@@ -420,15 +452,13 @@ def search_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _ = derived.index(spark, sf_dir)
-    return collection_counts(store.ensure_index(spark, root), derived.known_names(spark))
+    return collection_counts(store.catalog(spark, root), derived.known_names(spark))
 
 
 @register
 def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _ = derived.index(spark, sf_dir)
-    return health(
-        store.ensure_index(spark, root), store.catalog(spark, root), derived.known_names(spark)
-    )
+    return health(store.catalog(spark, root), derived.known_names(spark))
 
 
 def _edited(documents: DataFrame) -> DataFrame:

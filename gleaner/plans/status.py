@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def collection_counts(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Chunks per collection of ``names`` (collection); 0 for one that does not exist."""
-    counted = chunks.groupBy("collection").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return names.join(counted, "collection", "left").select(
+def collection_counts(catalog: DataFrame, names: DataFrame) -> DataFrame:
+    """Chunks per collection of ``names`` (collection); 0 for one that does not exist.
+
+    The counts are those the catalog keeps, taken while the chunks were written: no chunk is read.
+    """
+    return names.join(catalog.select("collection", "n_chunks"), "collection", "left").select(
         "collection", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks")
     )
 
 
-def health(chunks: DataFrame, catalog: DataFrame, names: DataFrame) -> DataFrame:
+def health(catalog: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks and model per collection; both NULL for a collection never built."""
-    built = collection_counts(chunks, catalog.select("collection")).join(
-        catalog.select("collection", "embed_model"), "collection"
-    )
-    return names.join(built, "collection", "left").select("collection", "n_chunks", "embed_model")
+    return names.join(catalog.select("collection", "n_chunks", "embed_model"), "collection", "left").select(
+        "collection", "n_chunks", "embed_model")
 
 
 def status_of(known: Column, n_chunks: Column, answered: Column) -> Column:
@@ -33,11 +33,9 @@ def status_of(known: Column, n_chunks: Column, answered: Column) -> Column:
     )
 
 
-def query_status(
-    queries: DataFrame, hits: DataFrame, chunks: DataFrame, catalog: DataFrame, names: DataFrame
-) -> DataFrame:
+def query_status(queries: DataFrame, hits: DataFrame, catalog: DataFrame, names: DataFrame) -> DataFrame:
     """Why each query has the hits it has: unknown, missing, empty, no_results or ok."""
-    known = health(chunks, catalog, names).select(
+    known = health(catalog, names).select(
         F.col("collection").alias("known"), F.col("n_chunks")
     )
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))

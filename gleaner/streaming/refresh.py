@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.operators.embed import BatchFunction
 from gleaner.plans.refresh import refresh
 from gleaner.schema import DOCUMENTS
+from gleaner.sources import index
 
 
 def latest_versions(batch: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def stream_refresh(
     factory: Callable[[], BatchFunction],
     model_name: str,
     checkpoint: str,
-    chunking: str = "window",
+    options: index.Options = index.Options(),
 ) -> StreamingQuery:
     """Take in every Parquet file of documents that appeared in ``folder`` since last time.
 
@@ -40,7 +41,7 @@ def stream_refresh(
 
     def take_in(batch: DataFrame, _: int) -> None:
         refresh(latest_versions(batch), root, name, factory, model_name,
-                full_snapshot=False, chunking=chunking)
+                full_snapshot=False, options=options)
 
     return (
         documents.writeStream.foreachBatch(take_in)

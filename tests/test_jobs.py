@@ -96,6 +96,56 @@ def test_page_job(spark, tmp_path):
     assert got == {"https://s.org/": ("Home", "s.org"), "https://s.org/a": ("https://s.org/a", "s.org")}
 
 
+def test_job_reports_and_unreadable_files(spark, tmp_path, monkeypatch):
+    root, tree = str(tmp_path / "index"), tmp_path / "tree"
+    (tree / "src").mkdir(parents=True)
+    for name, text in {"a.py": "first file", "b.py": "second file", "c.py": "third file", "blank.py": " \n", "notes.md": "x"}.items():
+        (tree / "src" / name).write_text(text)
+    checkouts = spark.createDataFrame([("tool", str(tree), "main")], "source string, root string, branch string")
+    first = index_files(spark, root, checkouts, "code")
+    assert (first.loaded, first.skipped_type, first.skipped_blank, first.skipped_unreadable, first.n_skipped) == (3, 1, 1, 0, 2)
+    assert (first.added, first.changed, first.removed, first.chunks) == (3, 0, 0, 3)
+    assert [tuple(row) for row in first.skipped.collect()] == [("tool", "src/blank.py", "blank")]
+
+    (tree / "src" / "a.py").write_text("first file, edited")
+    (tree / "src" / "c.py").unlink()
+    (tree / "src" / "b.py").unlink()
+    (tree / "src" / "b.py").symlink_to("/proc/self/mem")  # listed, but not to be read
+    second = index_files(spark, root, checkouts, "code", "refresh")
+    assert (second.loaded, second.skipped_unreadable) == (1, 1)
+    assert (second.added, second.changed, second.removed, second.chunks) == (0, 1, 1, -1)
+    assert ("tool", "src/b.py", "unreadable") in [tuple(row) for row in second.skipped.collect()]
+    held = {row.file_path: row.text for row in index.collection(spark, root, "code").collect()}
+    assert held == {"src/a.py": "first file, edited", "src/b.py": "second file"}
+    third = index_files(spark, root, checkouts, "code", "refresh")
+    assert (third.added, third.changed, third.removed, third.chunks) == (0, 0, 0, 0)
+    assert index.catalog(spark, root).first().n_chunks == 2
+
+
+def test_chunk_options_reach_the_jobs(spark, tmp_path):
+    root, tree = str(tmp_path / "index"), tmp_path / "tree"
+    tree.mkdir()
+    (tree / "a.py").write_text(" ".join(f"w{at}" for at in range(30)))
+    checkouts = spark.createDataFrame([("tool", str(tree), "main")], "source string, root string, branch string")
+    assert index_files(spark, root, checkouts, "code", options=index.Options("window", 12, 4)).chunks == 4
+    (tree / "b.py").write_text(" ".join(f"v{at}" for at in range(30)))
+    assert index_files(spark, root, checkouts, "code", "refresh").chunks == 4
+    assert index.versions(spark, root)["code"].options == index.Options("window", 12, 4)
+
+
+def test_base_of_a_crawl(spark, tmp_path):
+    body = "welcome to the guide " * 20
+    pages = spark.createDataFrame([
+        ("https://s.org/guide/", f"<body>{body}<a href='https://s.org/guide/a'>a</a><a href='https://s.org/blog'>b</a></body>"),
+        ("https://s.org/guide/a", f"<body>{body}</body>"), ("https://s.org/blog", f"<body>{body}</body>"),
+    ], "url string, html string")
+    seeds = spark.createDataFrame([("https://s.org/guide/",)], "url string")
+    report = index_pages(spark, str(tmp_path / "one"), pages, seeds, base=F.lit("https://s.org/guide"))
+    assert (report.loaded, report.added) == (2, 2)
+    assert index_pages(spark, str(tmp_path / "two"), pages, seeds).loaded == 3
+    assert index_pages(spark, str(tmp_path / "three"), pages, seeds, max_depth=0).loaded == 1
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
