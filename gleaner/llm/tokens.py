@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -13,7 +14,7 @@ _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _BLANKS = "\x09-\x0d\x20\x85\xa0"
 _ENDINGS = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
-TABLE_PIECES = 1_200_000
+TABLE_PIECES = 400_000
 
 
 def _classes() -> np.ndarray:
@@ -43,7 +44,7 @@ class CachedTokenizer:
     This kind of tokenizer (lower case, white space dropped, word ends marked) cuts a text into pieces and encodes each piece by
     itself. Texts of characters up to U+00FF are cut here, many at a time; pieces are told apart by 64-bit hashes and looked up in
     a sorted table. New pieces are encoded by the tokenizer in long lines, where each ends with one end-of-word id.
-    Other texts, and tokenizers of another kind, are encoded whole.
+    Other texts, texts that hold the string of an added token, and tokenizers of another kind are encoded whole.
     """
 
     def __init__(self, content: str) -> None:
@@ -52,6 +53,7 @@ class CachedTokenizer:
         vocabulary = self.tokenizer.get_vocab() if self.by_piece else {}
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[number for piece, number in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.added = [token["content"].lower() for token in json.loads(content)["added_tokens"]]
         self._clear()
 
     def _clear(self) -> None:
@@ -135,7 +137,7 @@ class CachedTokenizer:
         latin, rest = [], []
         for at, text in enumerate(texts):
             low = text.lower()
-            plain = _is_latin(low)
+            plain = _is_latin(low) and not any(content in low for content in self.added)
             (latin if plain and not ("'" in low and _ENDINGS.search(low)) else rest).append((at, low if plain else text))
         for at, ids in zip([at for at, _ in rest], self._plain([texts[at] for at, _ in rest]) if rest else []):
             out[at] = ids

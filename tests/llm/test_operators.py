@@ -177,9 +177,20 @@ def test_packing_keeps_every_id_once_within_all_limits(spark, odd, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_packed_ids_are_the_tokenizers(spark):
+    texts = ["end <|endoftext|> of", "<|startoftext|>", "<|ENDOFTEXT|> is text", "plain words", "<|endoftext|><|endoftext|>", "", None]
+    encoder = Tokenizer.from_file(TOKENIZER)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for row in packing.pack(frame, TOKENIZER).orderBy("doc_id", "start").collect():
+        got[row.doc_id] += np.frombuffer(row.ids, "<u4").tolist()
+    assert dict(got) == {at: [*encoder.encode(text or "", add_special_tokens=False).ids, 1] for at, text in enumerate(texts)}
+    assert 49407 in got[0] and 49406 in got[1]
+
+
 def test_cached_tokens_equal_the_tokenizer():
     rng = random.Random(2)
-    texts = ["", " ", "don't I'LL ''s", "日本 text", "a\x1cb", "½ ² 12a3"] + [
+    texts = ["", " ", "don't I'LL ''s", "日本 text", "a\x1cb", "½ ² 12a3", "a <|endoftext|> b", "<|STARTOFTEXT|>", "<|endoftext|"] + [
         "".join(rng.choice(" \n\x85\xa0abAB'stdm01²é,.|\x1cßÀ×") for _ in range(rng.randint(1, 50))) for _ in range(800)]
     encoder = tokens.CachedTokenizer(open(TOKENIZER).read())
     assert [ids.tolist() for ids in encoder.encode(texts)] == [
