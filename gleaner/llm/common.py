@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +53,21 @@ def drawn(key: Column, share: float) -> Column:
     return key.isNotNull() & (place < int(10**12 * min(1.0, share)))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until ``df`` has no such column (case aside)."""
-    taken = {column.lower() for column in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def slices(batch: pa.RecordBatch, rows: int, n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``n_bytes`` bytes, one row at least."""
+    step = max(1, min(rows, int(n_bytes * batch.num_rows / max(1, batch.nbytes))))
+    for begin in range(0, batch.num_rows, step):
+        yield batch.slice(begin, step)
+
+
+def give_back() -> None:
+    """Return memory that a task has done with to the system: Python workers stay for the stages to come."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a system without it
+        pass
 
 
 def prefix_sums(

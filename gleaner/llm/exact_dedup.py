@@ -11,11 +11,14 @@ from pyspark.sql.streaming import DataStreamReader
 from gleaner.llm.common import SPACE, text_of
 from gleaner.session import scratch_path, stored
 
-# The state lives in RocksDB; its files are not preallocated (4 MB each), as there may be many small ones.
+# The state lives in RocksDB; its files are not preallocated (4 MB each), as there may be many small ones. The stores of an
+# executor share one bounded amount of memory outside the heap, whatever their number.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 SMALL_HITS = 1_000_000  # digests of 64 characters: at most about 100 MB
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, text_of
+from gleaner.llm.common import components, give_back, slices, text_of
 from gleaner.session import ship_package, stored
 
 SHINGLE = 5  # words
@@ -21,6 +21,7 @@ HASHES = 2 * COLLECTIONS * ROWS
 LIKELY = 0.5  # share of equal hashes below which a pair is not similar: 4.3 deviations below 0.75
 CHUNK = 400_000  # characters hashed together
 BLOCK = 2048  # members of a key compared in one task
+TASK_TEXT = 2 << 20  # bytes of rows that a task turns into Python objects at a time
 LONG = 4096  # sets above this size are compared by sketch, then in full
 SMALL_NODES = 1_000_000  # ids of 8 bytes
 
@@ -116,8 +117,7 @@ def sketches(documents: DataFrame, mark: Column | None = None) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for part in slices(batch, 1000, TASK_TEXT):
                 sets = shingle_sets(part.column("text").to_pylist())
                 full = [at for at, own in enumerate(sets) if len(own)]
                 bands: list = [None] * len(sets)
@@ -134,6 +134,7 @@ def sketches(documents: DataFrame, mark: Column | None = None) -> DataFrame:
                     pa.array([_node(own) if len(own) else None for own in sets], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()),
                 ], names=["doc_id", "mark", "n_shingles", "node", "bands", "sketch"])
+        give_back()
 
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None) if mark is None else mark).cast("string").alias("mark"),
@@ -287,16 +288,19 @@ def _across(rows: DataFrame) -> DataFrame:
                 [pa.array(column, kind) for column, kind in zip(columns, kinds)], names=["a", "b", "alike"])
 
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in (
-                "key", "low", "high", "node", "component", "sketch", "short")]
-            for key, low, high, *row in zip(*columns):
-                if held != (key, low, high):
-                    if len(rows) > 1:
-                        yield pairs_of()
-                    held, rows = (key, low, high), []
-                rows.append(row)
+            for part in slices(batch, 1000, TASK_TEXT):
+                columns = [part.column(name).to_pylist() for name in (
+                    "key", "low", "high", "node", "component", "sketch", "short")]
+                for key, low, high, *row in zip(*columns):
+                    if held != (key, low, high):
+                        if len(rows) > 1:
+                            yield pairs_of()
+                        held, rows = (key, low, high), []
+                    rows.append(row)
         if len(rows) > 1:
             yield pairs_of()
+        rows = []
+        give_back()
 
     group = ["key", "low", "high"]
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import give_back, text_of
 from gleaner.session import ship_package
 
 TOKENS = 2048
@@ -157,6 +157,7 @@ def pack(
                 out, held = [], 0
         if out:
             yield told()
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"),
                             first.alias("skip")).mapInArrow(run, PIECES)
