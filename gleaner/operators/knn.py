@@ -1,7 +1,7 @@
 """Exact nearest-neighbour search, for one query and for batches.
 
 Batches are answered without pairing rows: query vectors travel to the index (or, when they
-are too many, in blocks beside blocks of the index), every task multiplies two matrices and
+are too many, past blocks of the index), every task multiplies two matrices and
 emits at most k rows per query, and a window keeps the k best of those.
 
 Distances are compared at six decimals, ties going to the lower id, so that results do not
@@ -29,7 +29,7 @@ SLACK = 10.0**-DISTANCE_DECIMALS
 
 # Query vectors sent to every task: at most 64 MB at 1,024 dimensions.
 MAX_BROADCAST_QUERIES = 16_384
-# Block sizes of the shuffled search: 64 MB per side at 1,024 dimensions.
+# Rows of a block of the index, and of queries compared with it together: 64 and 16 MB at 1,024 dimensions.
 INDEX_BLOCK_ROWS = 16_384
 QUERY_BLOCK_ROWS = 4_096
 # Distances a task holds at a time (64 MB).
@@ -188,51 +188,53 @@ def _search_rows(index: DataFrame, queries: pa.Table, result: T.StructType, sche
 
 def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, schema: pa.Schema,
                    metric: str) -> DataFrame:
-    """Block against block, for query sets too large to travel.
+    """Queries to blocks of the index, for query sets too large to travel.
 
-    Both sides are cut into blocks of bounded size within each group, by hash, so a group
-    that holds a third of all rows becomes many blocks. Every pair of blocks meets in one
-    task, which emits at most k rows per query.
+    The index is cut into blocks of bounded size within each group, by hash, so a group that holds a third of all rows
+    becomes many blocks; each of its rows is shuffled once, however many queries there are. A query goes to the blocks of its
+    groups. In a task a block comes first and is held, its queries stream past it and leave at most k rows each.
     """
-
     queries = queries.withColumn("query_group", F.explode("query_groups")).drop("query_groups")
+    layout = small_side(index.groupBy(F.col("index_group").alias("block_group")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(float(INDEX_BLOCK_ROWS))).cast("int").alias("blocks")))
+    same = F.col("block_group") == F.col("index_group")
+    rows = index.join(layout, same).select(
+        F.col("index_group").alias("block_group"), F.pmod(F.xxhash64("index_id"), F.col("blocks")).cast("int").alias("block"),
+        F.lit(0).alias("side"), F.col("index_vector").alias("vector"), "index_id", *[
+            F.lit(None).cast(queries.schema[name].dataType).alias(name) for name in ("query_id", "k", "bound")])
+    asked = queries.join(layout, F.col("block_group") == F.col("query_group")).select(
+        "block_group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"),
+        F.col("query_vector").alias("vector"), F.lit(None).cast(index.schema["index_id"].dataType).alias("index_id"),
+        "query_id", "k", "bound")
 
-    def blocks(df: DataFrame, group: str, size: int, name: str) -> DataFrame:
-        return df.groupBy(F.col(group).alias("block_group")).agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(name)
-        )
-
-    layout = small_side(
-        blocks(index, "index_group", INDEX_BLOCK_ROWS, "index_blocks").join(
-            blocks(queries, "query_group", QUERY_BLOCK_ROWS, "query_blocks"), "block_group"
-        )
-    )
-
-    def place(df: DataFrame, side: str, other: str) -> DataFrame:
-        joined = df.join(layout, df[f"{side}_group"] == layout["block_group"])
-        return joined.select(
-            *df.columns,
-            F.pmod(F.xxhash64(f"{side}_id"), F.col(f"{side}_blocks")).cast("int").alias(f"{side}_block"),
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"),
-        )
-
-    rows = place(index, "index", "query")
-    asked = place(queries, "query", "index")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _Best(right)
-        if left.num_rows and right.num_rows:
-            ids = left.column("index_id").to_numpy()
-            best.offer(np.arange(right.num_rows), matrix(right.column("query_vector")),
-                       ids, matrix(left.column("index_vector")), metric)
-        query_ids = right.column("query_id").combine_chunks()
-        return pa.Table.from_batches([best.table(query_ids, schema)], schema=schema)
-
-    return (
-        rows.groupBy("index_group", "index_block", "query_block")
-        .cogroup(asked.groupBy("query_group", "index_block", "query_block"))
-        .applyInArrow(search, result)
-    )
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        parts: list[pa.RecordBatch] = []
+        block: tuple | None = None
+        for batch in batches:
+            keys = list(zip(batch.column("block_group").to_pylist(), batch.column("block").to_pylist(), batch.column("side").to_pylist()))
+            edges = [0, *[at for at in range(1, len(keys)) if keys[at] != keys[at - 1]], len(keys)]
+            for start, end in pairwise(edges):
+                key, part = keys[start], batch.slice(start, end - start)
+                if held is None or key[:2] != held[:2]:
+                    parts, block = [], None
+                held = key
+                if key[2] == 0:
+                    parts.append(part)
+                elif parts:
+                    if block is None:
+                        whole = pa.Table.from_batches(parts)
+                        block = whole.column("index_id").to_numpy(), matrix(whole.column("vector"))
+                    for at in range(0, part.num_rows, QUERY_BLOCK_ROWS):
+                        some = pa.Table.from_batches([part.slice(at, QUERY_BLOCK_ROWS)])
+                        best = _Best(some)
+                        best.offer(np.arange(some.num_rows), matrix(some.column("vector")), *block, metric)
+                        out = best.table(some.column("query_id").combine_chunks(), schema)
+                        if out.num_rows:
+                            yield out
+
+    place = ["block_group", "block"]
+    return rows.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "side").mapInArrow(search, result)
 
 
 def top_k(

@@ -14,6 +14,7 @@ import math
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from gleaner.operators.cells import Cells
 from gleaner.operators.knn import (
-    DISTANCE_DECIMALS, INDEX_BLOCK_ROWS, SLACK, _groups, _members, distance_bounds, matrix, top_k,
+    DISTANCE_DECIMALS, INDEX_BLOCK_ROWS, MAX_BROADCAST_QUERIES, SLACK, _groups, _members, distance_bounds, matrix, top_k,
 )
 from gleaner.session import stored
 from gleaner.sources import index
@@ -32,7 +33,7 @@ ROWS_PER_CELL = 16_384  # 64 MB of vectors at 1,024 dimensions
 TRAIN_PER_CELL = 64  # rows that place a cell's centre, about
 TRAIN_PER_GROUP = 16_384  # rows that place the centres of one group, about
 FIRST_LEVEL_ROWS = 32_768  # rows that place the centres of groups, about
-MAX_PAIRS = 4_000_000  # cells told to queries one by one; beyond, queries are shown all cells
+MAX_PAIRS = 4_000_000  # cells of all queries that travel with them: about 100 MB
 NEAR_CELLS = 2  # cells that give a query its first bound
 ROUNDS = 8
 _CENTRES = ("collection string, level int, group string, cell int, cell_key string, centre array<float>, radius double, n_rows long")
@@ -240,6 +241,47 @@ def within_reach(centres: DataFrame, queries: DataFrame, by: str) -> DataFrame:
     return centres.select(F.col(by).cast("string"), "cell_key", "centre", "radius").mapInArrow(reach, out)
 
 
+def within_reach_of_many(centres: DataFrame, queries: DataFrame, by: str) -> DataFrame:
+    """What ``within_reach`` finds, for queries too many to travel: they stream past the balls of their groups.
+
+    A group's queries are dealt over as many tasks as they are blocks, each with the group's balls.
+    """
+    groups = F.col(by).cast("array<string>") if isinstance(queries.schema[by].dataType, T.ArrayType) else F.array(F.col(by))
+    asked = stored(queries.select("query_id", "embedding", F.coalesce("bound", F.lit(float("inf"))).alias("number"), F.explode(groups).alias("at")), "asked")
+    sizes = stored(asked.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(INDEX_BLOCK_ROWS))).cast("int").alias("parts")), "sizes")
+    none = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
+    balls = centres.withColumn("at", F.col(by).cast("string")).join(sizes, "at").select(
+        "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("centre").alias("vector"),
+        F.col("radius").alias("number"), "cell_key", none)
+    passing = asked.join(sizes, "at").select(
+        "at", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"),
+        F.col("embedding").alias("vector"), "number", F.lit(None).cast("string").alias("cell_key"), "query_id")
+    out = T.StructType([queries.schema["query_id"], T.StructField("cell_key", T.StringType())])
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, balls = None, []
+        for batch in batches:
+            keys = list(zip(batch.column("at").to_pylist(), batch.column("part").to_pylist(), batch.column("side").to_pylist()))
+            edges = [0, *[at for at in range(1, len(keys)) if keys[at] != keys[at - 1]], len(keys)]
+            for start, end in pairwise(edges):
+                if held != keys[start][:2]:
+                    held, balls = keys[start][:2], []
+                part = batch.slice(start, end - start)
+                if keys[start][2] == 0:
+                    balls.append((Cells(matrix(part.column("vector"))), part.column("number").to_numpy(), part.column("cell_key")))
+                    continue
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
+                    vectors, bounds = matrix(some.column("vector")), np.sqrt(some.column("number").to_numpy() + SLACK) + REACH_SLACK
+                    for cells, radii, names in balls:
+                        queries_in, near = np.nonzero(cells.gaps(vectors) - radii[None, :] <= bounds[:, None])
+                        if len(near):
+                            yield pa.RecordBatch.from_arrays(
+                                [some.column("query_id").take(pa.array(queries_in)), names.take(pa.array(near))], names=["query_id", "cell_key"])
+
+    return balls.unionByName(passing).repartition("at", "part").sortWithinPartitions("at", "part", "side").mapInArrow(reach, out)
+
+
 def _with_keys(queries: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     keys = pairs.groupBy("query_id").agg(F.collect_list("cell_key").alias(name))
     return queries.drop(name).join(keys, "query_id")
@@ -254,38 +296,43 @@ def in_cells(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(wanted, (F.col("collection") == F.col("in_collection")) & (F.col("cell") == F.col("in_cell")), "left_semi")
 
 
-def cell_pairs(spark: SparkSession, root: str, laid_out: Sequence[index.Version], queries: DataFrame, near: int = NEAR_CELLS) -> tuple[DataFrame, DataFrame]:
-    """Queries with a bound, and the pairs (query_id, cell_key) of the cells that can hold one of their k nearest rows."""
+def cell_pairs(
+    spark: SparkSession, root: str, laid_out: Sequence[index.Version], queries: DataFrame, near: int = NEAR_CELLS,
+    max_broadcast: int = MAX_BROADCAST_QUERIES,
+) -> tuple[DataFrame, DataFrame]:
+    """Queries with a bound, and the pairs (query_id, cell_key) of the cells that can hold one of their k nearest rows.
+
+    A round at the nearest cells of a query gives its bound; it rules out groups of cells first, then cells of the others.
+    """
     centres = spark.read.schema(_CENTRES).parquet(*[centres_path(root, version.layout) for version in laid_out])
     groups, cells = centres.where("level = 0"), centres.where("level = 1").drop("collection")
     base = queries.drop("bound").where(F.col("embedding").isNotNull() & (F.col("k") > 0))
-    nearest_group = top_k(groups, base.withColumn("k", F.lit(1)), "group", "centre", by="collection").select("query_id", "group")
-    asked = stored(base.join(nearest_group, "query_id"), "asked")
-    nearest = top_k(cells, asked.withColumn("k", F.lit(near)), "cell_key", "centre", by="group").select("query_id", "cell_key")
-    nearest = stored(nearest, "nearest")
+    within = within_reach if base.limit(max_broadcast + 1).count() <= max_broadcast else within_reach_of_many
+    nearest_group = top_k(groups, base.withColumn("k", F.lit(1)), "group", "centre", by="collection", max_broadcast=max_broadcast)
+    asked = stored(base.join(nearest_group.select("query_id", "group"), "query_id"), "asked")
+    nearest = stored(top_k(cells, asked.withColumn("k", F.lit(near)), "cell_key", "centre", by="group", max_broadcast=max_broadcast).select(
+        "query_id", "cell_key"), "nearest")
     rows = _cells(spark, root, laid_out)
-    bounded = distance_bounds(
+    bounded = stored(distance_bounds(
         _with_keys(base, nearest, "cell_key"), in_cells(rows, nearest).withColumn("cell_key", cell_key(F.col("collection"), F.col("cell"))),
-        id_col="place", by="cell_key").drop("cell_key")
-    bounded = stored(bounded, "bounded")
-    groups_near = stored(within_reach(groups, bounded, "collection"), "groups")
-    told = _with_keys(bounded, groups_near, "group")
+        id_col="place", by="cell_key", max_broadcast=max_broadcast).drop("cell_key"), "bounded")
+    groups_near = stored(within(groups, bounded, "collection"), "groups")
     few = cells.join(groups_near.select(F.col("cell_key").alias("group")).distinct(), "group", "left_semi")
-    return bounded, stored(within_reach(few, told, "group"), "pairs")
+    return bounded, stored(within(few, _with_keys(bounded, groups_near, "group"), "group"), "pairs")
 
 
-def cell_search(spark: SparkSession, root: str, laid_out: Sequence[index.Version], queries: DataFrame) -> DataFrame:
+def cell_search(
+    spark: SparkSession, root: str, laid_out: Sequence[index.Version], queries: DataFrame, max_broadcast: int = MAX_BROADCAST_QUERIES,
+) -> DataFrame:
     """The k nearest laid-out rows of each query, as ``top_k`` finds them in a scan: query_id, place, distance, rank.
 
-    ``queries`` (query_id, collection, k, embedding): at most 16,384. Squared L2 only.
+    ``queries`` (query_id, collection, k, embedding) may be any number: few travel to the cells, many are routed to them. Squared L2 only.
     """
-    bounded, pairs = cell_pairs(spark, root, laid_out, queries)
-    rows = in_cells(_cells(spark, root, laid_out), pairs)
-    if pairs.limit(MAX_PAIRS + 1).count() > MAX_PAIRS:
-        # So little is ruled out that a list of cells per query would be larger than what it saves.
-        return top_k(rows, bounded, "place", by="collection")
-    keyed = rows.withColumn("cell_key", cell_key(F.col("collection"), F.col("cell")))
-    return top_k(keyed, _with_keys(bounded, pairs, "cell_key"), "place", by="cell_key")
+    bounded, pairs = cell_pairs(spark, root, laid_out, queries, max_broadcast=max_broadcast)
+    keyed = in_cells(_cells(spark, root, laid_out), pairs).withColumn("cell_key", cell_key(F.col("collection"), F.col("cell")))
+    # A list of cells per query that is too long to travel is dealt with the queries instead.
+    many = pairs.limit(MAX_PAIRS + 1).count() > MAX_PAIRS
+    return top_k(keyed, _with_keys(bounded, pairs, "cell_key"), "place", by="cell_key", max_broadcast=0 if many else max_broadcast)
 
 
 def merged(hits: list[DataFrame], queries: DataFrame) -> DataFrame:

@@ -283,6 +283,7 @@ ORACLES: dict[str, str] = {
         SELECT vec_id, label, round(d, 6) + 0.0 AS distance, round(1 - d, 3) + 0.0 AS score
         FROM d ORDER BY round(d, 6), vec_id LIMIT 20""",
     "knn_batch": _knn(),
+    "knn_routed": _knn(),
     "knn_cosine": _knn(_COSINE),
     "knn_by_collection": _knn(where="a.label = b.label"),
     "knn_blocks": _knn(where="a.label = b.label"),

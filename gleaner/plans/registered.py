@@ -27,7 +27,7 @@ from gleaner.operators.pages import distinct_targets, page_links, parse_pages
 from gleaner.plans import derived
 from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.jobs import crawled_documents
-from gleaner.plans.layout import lay_out
+from gleaner.plans.layout import cell_search, lay_out
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import search, search_text
 from gleaner.plans.status import collection_counts, coverage, health, query_status
@@ -108,6 +108,19 @@ def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(top_k(vectors, asked, "vec_id", by="label", max_broadcast=0))
 
 
+@register
+def knn_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for many queries over vectors laid out by cells, forced: each is routed to the cells that can hold a hit."""
+    vectors, asked = _vectors(spark, sf_dir)
+    root, name, key = scratch_path(spark, "vectors"), F.lit("vectors"), F.col("vec_id").cast("string")
+    chunks = vectors.select(
+        name.alias("collection"), key.alias("doc_key"), F.lit(0).alias("chunk_no"), F.lpad(key, 20, "0").alias("chunk_id"), "embedding")
+    store.write_index(chunks, root, ["vectors"], "given", "rebuild")
+    laid_out = lay_out(spark, root, "vectors", rows_per_cell=64)
+    hits = cell_search(spark, root, [laid_out], asked.select("query_id", name.alias("collection"), "k", "embedding"), max_broadcast=0)
+    return _scored(hits.withColumn("vec_id", F.split("place", r"\|")[0].cast("long")))
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Cells]:
     vectors, asked = _vectors(spark, sf_dir)
     cells = fit_cells(vectors, 32)

@@ -11,11 +11,11 @@ from gleaner.operators.documents import union_documents
 from gleaner.operators.embed import fit_hashed_tfidf
 from gleaner.operators.knn import top_k
 from gleaner.plans import layout
-from gleaner.plans import search as search_plan
 from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.layout import cell_pairs, cell_search, in_cells, lay_out
 from gleaner.plans.refresh import RefreshCounts, refresh
 from gleaner.plans.search import search
+from gleaner.session import stored
 from gleaner.sources import index
 
 WORDS = "adjoint solver mesh reader writer case loop guide install tool field flux matrix vector sparse".split()
@@ -315,14 +315,52 @@ def test_search_reads_cells_beside_what_came_later(spark, tmp_path, model):
     assert found(search(spark, root, queries(spark, []), model)) == []
 
 
-def test_more_queries_than_travel_are_answered_by_a_scan(spark, tmp_path, model, monkeypatch):
-    root = str(tmp_path)
-    build(spark, root, texts(60), model)
-    asked = queries(spark, list(texts(8).values()))
-    want = found(search(spark, root, asked, model))
-    lay_out(spark, root, "docs", 10)
-    monkeypatch.setattr(search_plan, "MAX_BROADCAST_QUERIES", 3)
-    assert found(search(spark, root, asked, model)) == want
+def test_many_queries_are_routed_to_cells(spark, laid_out, monkeypatch):
+    root, vectors = laid_out
+    version = index.versions(spark, root)["docs"]
+    questions = asked_of(spark, vectors, 4)
+    chunks = index.collection(spark, root, "docs")
+    monkeypatch.setattr(layout, "INDEX_BLOCK_ROWS", 50)  # groups of queries are dealt over several tasks
+    got = ranked(cell_search(spark, root, [version], questions, max_broadcast=0), "place")
+    assert got == ranked(top_k(chunks, questions, by="collection"), "chunk_id")
+    bounded, pairs = cell_pairs(spark, root, [version], questions, max_broadcast=0)
+    few = cell_pairs(spark, root, [version], questions)[1]
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, few.collect()))
+    n_cells = spark.read.parquet(layout.centres_path(root, version.layout)).where("level = 1").count()
+    assert pairs.count() < len(vectors) * n_cells / 4  # most cells are ruled out
+    assert bounded.where("bound is null").count() == 0
+
+
+def shuffled_rows(frame):
+    """Rows written to shuffles of a frame whose input is on disk."""
+    frame._jdf.collectToPython()
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for at in range(children.size()):
+            walk(children.apply(at))
+
+    walk(frame._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_an_index_row_is_shuffled_once_whatever_the_queries(spark, laid_out):
+    root, vectors = laid_out
+    chunks = index.collection(spark, root, "docs")
+    counts = []
+    for n in (10, 400):
+        questions = stored(asked_of(spark, vectors[:n], 2), "questions")
+        hits = top_k(chunks, questions, by="collection", max_broadcast=0)
+        counts.append(max(shuffled_rows(hits)) - n)
+    assert counts == [len(vectors)] * 2
 
 
 def test_texts_of_other_buckets_are_not_read(spark, tmp_path, model):
