@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gleaner.operators.embed import BatchFunction
 from gleaner.plans.refresh import refresh
 from gleaner.schema import DOCUMENTS
+from gleaner.session import ship_package
 from gleaner.sources import index
 
+VERSIONED = T.StructType([*DOCUMENTS.fields, T.StructField("version", T.LongType())])
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ACCEPTED = "doc_key string, version long, document string"
 
-def latest_versions(batch: DataFrame) -> DataFrame:
-    """One row per doc_key, the one that arrived last; merged before the one shuffle."""
-    row = F.struct(*[c for c in batch.columns if c != "arrived"])
-    latest = F.max_by(row, F.struct("arrived", "content_hash")).alias("latest")
-    return batch.groupBy("doc_key").agg(latest).select("latest.*")
+
+class NewerVersions(StatefulProcessor):
+    """Lets a document's version pass if it is newer than all that came before, and remembers it.
+
+    Versions are ordered by number, equal numbers by what the document says, so that the last one to pass
+    is the same in whatever order, and however often, they arrive. The state is a number and a digest per key.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "version long, digest string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, document = self.newest.get() if self.newest.exists() else None, None
+        for frame in rows:
+            for version, digest, told in zip(frame["version"], frame["digest"], frame["document"]):
+                if best is None or (version, digest) > tuple(best):
+                    best, document = (int(version), digest), told
+        if document is not None:
+            self.newest.update(best)
+            yield pd.DataFrame({"doc_key": [key[0]], "version": [best[0]], "document": [document]})
+
+    def close(self) -> None:
+        pass
+
+
+def newer_versions(documents: DataFrame) -> DataFrame:
+    """The rows of a stream of documents (with ``version``) that are newer than all before them: doc_key, version, document.
+
+    ``document`` is the row as JSON, missing values included. A row without a key is left out.
+    """
+    fields = [field.name for field in DOCUMENTS.fields]
+    document = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    rows = documents.where(F.col("doc_key").isNotNull()).select("doc_key", "version", F.md5(document).alias("digest"), document.alias("document"))
+    return rows.groupBy("doc_key").transformWithStateInPandas(NewerVersions(), _ACCEPTED, "Update", "None")
 
 
 def stream_refresh(
@@ -30,22 +66,35 @@ def stream_refresh(
     model_name: str,
     checkpoint: str,
     options: index.Options = index.Options(),
+    version: Column | None = None,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Take in every Parquet file of documents that appeared in ``folder`` since last time.
 
-    A batch that is repeated after a failure finds its chunks in place and changes nothing.
+    Of a document the newest version counts, by the column ``version`` of the files, or by when its file appeared where that is
+    missing. Versions may come late, repeatedly and in any order: those older than one taken in before are passed over, also by
+    a stream that starts again from its checkpoint. A document without a text, or a blank one, is taken out. A batch that is
+    repeated after a failure finds its chunks in place and changes nothing.
     """
-    documents = spark.readStream.schema(DOCUMENTS).parquet(folder).withColumn(
-        "arrived", F.col("_metadata.file_modification_time")
-    )
+    ship_package(spark)
+    reader = spark.readStream.schema(VERSIONED)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    arrived = F.unix_millis(F.col("_metadata.file_modification_time"))
+    documents = reader.parquet(folder).withColumn("version", F.coalesce(F.col("version") if version is None else version, arrived))
 
     def take_in(batch: DataFrame, _: int) -> None:
-        refresh(latest_versions(batch), root, name, factory, model_name,
-                full_snapshot=False, options=options)
-
-    return (
-        documents.writeStream.foreachBatch(take_in)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        rows = batch.select("doc_key", F.from_json("document", DOCUMENTS).alias("document")).select("document.*")
+        refresh(rows, root, name, factory, model_name, full_snapshot=False, options=options)
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return (
+            newer_versions(documents.where(F.col("collection") == name)).writeStream.outputMode("update").foreachBatch(take_in)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:  # a query keeps the settings it was started with
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
