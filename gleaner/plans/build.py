@@ -112,11 +112,14 @@ def fit_model(documents: DataFrame, root: str, options: index.Options = index.Op
 
 
 def save_model(spark: SparkSession, root: str, model: HashedTfIdf) -> None:
-    row = spark.createDataFrame([(model.name, list(model.weights))], "name string, weights array<double>")
-    row.write.mode("overwrite").parquet(f"{root.rstrip('/')}/model")
+    """Store a model under its fingerprint, and as the one that new collections take."""
+    row = spark.createDataFrame([(model.name, list(model.weights))], "name string, weights array<double>").coalesce(1)
+    for path in (f"models/{model.fingerprint}", "model"):
+        row.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{path}")
 
 
-def load_model(spark: SparkSession, root: str) -> HashedTfIdf:
-    """The stored embedder: queries must use the weights the chunks were built with."""
-    row = spark.read.parquet(f"{root.rstrip('/')}/model").first()
+def load_model(spark: SparkSession, root: str, fingerprint: str | None = None) -> HashedTfIdf:
+    """The stored embedder, or the one with this fingerprint: queries must use the weights the chunks were built with."""
+    path = "model" if fingerprint is None else f"models/{fingerprint}"
+    row = spark.read.parquet(f"{root.rstrip('/')}/{path}").first()
     return HashedTfIdf(tuple(row["weights"]))

@@ -30,10 +30,11 @@ from gleaner.sources.files import list_files, read_files
 from gleaner.sources.registry import scan_registry
 
 
-def stored_model(documents: DataFrame, root: str, options: index.Options = index.Options()) -> HashedTfIdf:
-    """The model of an index; fitted on the chunks of ``documents`` if there is none yet."""
+def stored_model(documents: DataFrame, root: str, name: str | None = None, options: index.Options = index.Options()) -> HashedTfIdf:
+    """The model of a collection, or the index's for one that is new; fitted on the chunks of ``documents`` if there is none yet."""
+    version = index.versions(documents.sparkSession, root).get(name) if name else None
     try:
-        return load_model(documents.sparkSession, root)
+        return load_model(documents.sparkSession, root, version.fingerprint if version else None)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -71,7 +72,7 @@ def index_documents(
     """
     if documents.isEmpty():
         raise ValueError(f"no documents for collection {name!r}")
-    model = stored_model(documents, root, options)
+    model = stored_model(documents, root, None if mode == "rebuild" else name, options)
     if mode == "refresh":
         return refresh(documents, root, name, model, model.name, options=options, sources=sources, unreadable=unreadable)
     counts = build_index(

@@ -89,7 +89,7 @@ def versions_path(root: str) -> str:
 # Versions.
 
 
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
+def glob(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match, on whatever filesystem holds them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
@@ -114,7 +114,7 @@ def _version(name: str, number: int, row) -> Version:
 
 def versions(spark: SparkSession, root: str) -> dict[str, Version]:
     """The current version of every collection; a version without its row was never finished."""
-    finished = _numbers(_glob(spark, f"{versions_path(root)}/collection=*/version=*/part-*"))
+    finished = _numbers(glob(spark, f"{versions_path(root)}/collection=*/version=*/part-*"))
     if not finished:
         return {}
     paths = [f"{versions_path(root)}/collection={name}/version={max(numbers)}" for name, numbers in finished.items()]
@@ -126,7 +126,7 @@ def versions(spark: SparkSession, root: str) -> dict[str, Version]:
 
 def next_number(spark: SparkSession, root: str, names: Sequence[str]) -> int:
     """A number above those of all versions of the named collections, finished or not."""
-    begun = _numbers(_glob(spark, f"{versions_path(root)}/collection=*/version=*"))
+    begun = _numbers(glob(spark, f"{versions_path(root)}/collection=*/version=*"))
     return 1 + max((number for name in names for number in begun.get(name, [])), default=0)
 
 
@@ -139,7 +139,7 @@ def commit(spark: SparkSession, root: str, old: Version | None, new: Version) ->
     """Make ``new`` the current version, if ``old`` still is: the last step of every change."""
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", new.name):
         raise ValueError(f"collection name {new.name!r} cannot be a folder name")
-    finished = _numbers(_glob(spark, f"{versions_path(root)}/collection={new.name}/version=*/part-*")).get(new.name, [])
+    finished = _numbers(glob(spark, f"{versions_path(root)}/collection={new.name}/version=*/part-*")).get(new.name, [])
     if max(finished, default=None) != (old.number if old else None):
         raise RuntimeError(f"collection {new.name!r} was changed by another job meanwhile")
     o = new.options
@@ -379,15 +379,16 @@ def vacuum(spark: SparkSession, root: str) -> list[str]:
     """
     current = versions(spark, root)
     kept = {f"collection={v.name}/version={v.number}" for v in current.values()}
-    gone = [path for path in _glob(spark, f"{versions_path(root)}/collection=*/version=*") if "/".join(path.split("/")[-2:]) not in kept]
+    gone = [path for path in glob(spark, f"{versions_path(root)}/collection=*/version=*") if "/".join(path.split("/")[-2:]) not in kept]
     folders = {"chunks": "segments", "removed": "removed"}
     for folder, part in folders.items():
         needed = {f"segment={segment}/collection={v.name}" for v in current.values() for segment in getattr(v, part)}
-        gone += [path for path in _glob(spark, f"{root.rstrip('/')}/{folder}/segment=*/collection=*")
+        gone += [path for path in glob(spark, f"{root.rstrip('/')}/{folder}/segment=*/collection=*")
                  if "/".join(path.split("/")[-2:]) not in needed]
     layouts = {f"layout={v.layout}" for v in current.values() if v.layout}
+    gone += glob(spark, f"{root.rstrip('/')}/reembedded/segment=*")
     for folder in ("cells", "centres"):
-        gone += [path for path in _glob(spark, f"{root.rstrip('/')}/{folder}/layout=*") if path.split("/")[-1] not in layouts]
+        gone += [path for path in glob(spark, f"{root.rstrip('/')}/{folder}/layout=*") if path.split("/")[-1] not in layouts]
     for path in gone:
         drop_path(spark, path)
     return gone
