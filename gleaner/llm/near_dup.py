@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, give_back, slices, text_of
+from gleaner.llm.common import components, give_back, slices, small_batches, text_of
 from gleaner.session import ship_package, stored
 
 SHINGLE = 5  # words
@@ -338,6 +338,7 @@ def linked_rows(documents: DataFrame, mark: Column | None = None) -> tuple[DataF
     Each pair that may be similar, of what is not yet connected, is checked on full sets.
     """
     ship_package(documents.sparkSession)
+    small_batches(documents.sparkSession)
     every = stored(sketches(documents, mark), "sketches")
     nodes = stored(every.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     first = every.filter("node IS NOT NULL").select("node", "doc_id", "bands", "sketch").join(

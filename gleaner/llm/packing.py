@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import give_back, text_of
+from gleaner.llm.common import give_back, small_batches, text_of
 from gleaner.session import ship_package
 
 TOKENS = 2048
@@ -117,6 +117,7 @@ def pack(
     packed each; missing ids are kept.
     """
     ship_package(documents.sparkSession)
+    small_batches(documents.sparkSession)
     content = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
     first = F.lit(0).cast("long") if loss_from is None else F.coalesce(F.col(loss_from).cast("long"), F.lit(0).cast("long"))
 
