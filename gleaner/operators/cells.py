@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.operators.knn import SLACK, distance_bounds, matrix, top_k
+from gleaner.session import stored
 
 # Cells are part of every task's closure: at most 32 MB of centres at 1,024 dimensions.
 MAX_CELLS = 4_096
@@ -41,6 +42,21 @@ class Cells:
         return np.sqrt(np.maximum(squared, 0.0))
 
 
+def lloyd(rows: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """At most ``k`` KMeans centres of a few rows."""
+    distinct = np.unique(rows, axis=0)
+    rng = np.random.default_rng(seed)
+    centres = distinct[rng.permutation(len(distinct))[:k]].astype(np.float64)
+    for _ in range(rounds if len(centres) < len(distinct) else 0):
+        own = Cells(centres)
+        nearest = np.concatenate([own.gaps(rows[at:at + 1024]).argmin(axis=1) for at in range(0, len(rows), 1024)])
+        filled, place = np.unique(nearest, return_inverse=True)
+        sums = np.zeros((len(filled), rows.shape[1]))
+        np.add.at(sums, place, rows)
+        centres = sums / np.bincount(place)[:, None]
+    return centres.astype(np.float32)
+
+
 def assign_cells(index: DataFrame, cells: Cells, vec_col: str = "embedding") -> DataFrame:
     """Add ``cell`` and ``cell_distance`` (to its centre); no shuffle."""
 
@@ -124,6 +140,31 @@ def approximate_top_k(
     return top_k(placed, near, id_col, vec_col, by="cell")
 
 
+def recall(found: DataFrame, exact: DataFrame, id_col: str) -> float:
+    """Share of the exact hits (query_id, id) that were found."""
+    pairs = ["query_id", id_col]
+    counted = exact.select(*pairs).join(found.select(*pairs).withColumn("_hit", F.lit(1)), pairs, "left").agg(
+        F.count("_hit").alias("hit"), F.count(F.lit(1)).alias("n")).first()
+    return counted["hit"] / counted["n"] if counted["n"] else 1.0
+
+
+def enough_probes(
+    placed: DataFrame, queries: DataFrame, cells: Cells, target: float = 0.9, id_col: str = "chunk_id", vec_col: str = "embedding",
+    sample: int = 256,
+) -> int:
+    """The least number of probes, by doubling, that finds ``target`` of the exact hits of a sample of the queries.
+
+    About ``sample`` queries by hash of their id are answered both ways. All filled cells find everything, so there is an answer.
+    """
+    share = sample / max(queries.count(), 1)
+    asked = stored(queries.where(F.pmod(F.xxhash64(F.lit("probes"), "query_id"), F.lit(10**6)) < int(min(1.0, share) * 10**6)), "sample")
+    exact = stored(top_k(placed, asked, id_col, vec_col), "exact")
+    n_cells, nprobe = len(_radii(placed)), 1
+    while nprobe < n_cells and recall(approximate_top_k(placed, asked, cells, nprobe, id_col, vec_col), exact, id_col) < target:
+        nprobe *= 2
+    return min(nprobe, max(n_cells, 1))
+
+
 def pruned_top_k(
     placed: DataFrame, queries: DataFrame, cells: Cells, nprobe: int = 1, id_col: str = "chunk_id",
     vec_col: str = "embedding",

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators.cells import Cells
+from gleaner.operators.cells import Cells, lloyd
 from gleaner.operators.knn import (
     DISTANCE_DECIMALS, INDEX_BLOCK_ROWS, MAX_BROADCAST_QUERIES, SLACK, _groups, _members, distance_bounds, matrix, top_k,
 )
@@ -35,7 +35,6 @@ TRAIN_PER_GROUP = 16_384  # rows that place the centres of one group, about
 FIRST_LEVEL_ROWS = 32_768  # rows that place the centres of groups, about
 MAX_PAIRS = 4_000_000  # cells of all queries that travel with them: about 100 MB
 NEAR_CELLS = 2  # cells that give a query its first bound
-ROUNDS = 8
 _CENTRES = ("collection string, level int, group string, cell int, cell_key string, centre array<float>, radius double, n_rows long")
 # Radii and distances are computed from single-precision vectors.
 REACH_SLACK = 1e-5
@@ -61,21 +60,6 @@ def place_of(chunk_id: Column, bucket: Column) -> Column:
 # Fitting.
 
 
-def _lloyd(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """At most ``k`` centres of a few rows."""
-    distinct = np.unique(rows, axis=0)
-    rng = np.random.default_rng(seed)
-    centres = distinct[rng.permutation(len(distinct))[:k]].astype(np.float64)
-    for _ in range(ROUNDS if len(centres) < len(distinct) else 0):
-        own = Cells(centres)
-        nearest = np.concatenate([own.gaps(rows[at:at + 1024]).argmin(axis=1) for at in range(0, len(rows), 1024)])
-        filled, place = np.unique(nearest, return_inverse=True)
-        sums = np.zeros((len(filled), rows.shape[1]))
-        np.add.at(sums, place, rows)
-        centres = sums / np.bincount(place)[:, None]
-    return centres.astype(np.float32)
-
-
 def _share(key: Column, share: float) -> Column:
     """True for about ``share`` of all keys, by hash."""
     return F.pmod(F.xxhash64(F.lit("cells"), key), F.lit(10**9)) < int(min(1.0, share) * 10**9)
@@ -93,7 +77,7 @@ def fit_centres(vectors: DataFrame, n_rows: int, rows_per_cell: int = ROWS_PER_C
     first = vectors.where(_share(F.col("chunk_id"), FIRST_LEVEL_ROWS / max(n_rows, 1))).select("embedding").toArrow()
     if not first.num_rows:  # a small draw may be empty
         first = vectors.limit(n_groups).select("embedding").toArrow()
-    groups = _lloyd(matrix(first.column(0)), n_groups, seed=7)
+    groups = lloyd(matrix(first.column(0)), n_groups, seed=7)
     sample = placed_in_groups(vectors.where(_share(F.col("chunk_id"), n_cells * TRAIN_PER_CELL / max(n_rows, 1))), groups)
     sizes = stored(sample.select("group"), "sample").groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per group
     total = sum(row["n"] for row in sizes)
@@ -105,7 +89,7 @@ def fit_centres(vectors: DataFrame, n_rows: int, rows_per_cell: int = ROWS_PER_C
 
     def place(group: pa.Table) -> pa.Table:
         number = group.column("group")[0].as_py()
-        centres = _lloyd(matrix(group.column("embedding")), cells_of[number], seed=number)
+        centres = lloyd(matrix(group.column("embedding")), cells_of[number], seed=number)
         ends = np.arange(len(centres) + 1, dtype=np.int32) * centres.shape[1]
         return pa.table({
             "group": pa.array([number] * len(centres), pa.int32()), "at": pa.array(range(len(centres)), pa.int32()),

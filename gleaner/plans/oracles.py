@@ -284,6 +284,8 @@ ORACLES: dict[str, str] = {
         FROM d ORDER BY round(d, 6), vec_id LIMIT 20""",
     "knn_batch": _knn(),
     "knn_routed": _knn(),
+    "knn_approx_recall": "SELECT count(*) AS n_queries, true AS enough FROM embeddings",
+    "knn_coded_recall": "SELECT count(*) AS n_queries, true AS enough FROM embeddings",
     "knn_cosine": _knn(_COSINE),
     "knn_by_collection": _knn(where="a.label = b.label"),
     "knn_blocks": _knn(where="a.label = b.label"),

@@ -11,9 +11,10 @@ from gleaner.functions.queries import format_query, hit_label, result_count, sco
 from gleaner.functions.text import content_hash, decode_utf8, is_blank, language_tag, strip, suffix
 from gleaner.functions.urls import canonical, site_base
 from gleaner.operators.cells import (
-    Cells, approximate_top_k, assign_cells, pruned_top_k, write_cells,
+    Cells, approximate_top_k, assign_cells, enough_probes, pruned_top_k, recall, write_cells,
 )
 from gleaner.operators.chunk import chunk_documents
+from gleaner.operators.codes import coded_top_k, encode, fit_codebooks
 from gleaner.operators.crawl import reachable
 from gleaner.operators.documents import (
     PROFILES, documents_from_files, documents_from_pages, file_outcomes, ingest_stats,
@@ -31,7 +32,7 @@ from gleaner.plans.layout import cell_search, lay_out
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import search, search_text
 from gleaner.plans.status import collection_counts, coverage, health, query_status
-from gleaner.session import scratch_path, ship_package
+from gleaner.session import scratch_path, ship_package, stored
 from gleaner.sources import index as store
 from gleaner.sources.files import scan_files
 from gleaner.sources.pages import scan_pages
@@ -135,11 +136,43 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(pruned_top_k(placed, asked, cells, id_col="vec_id"))
 
 
+# Share of the exact hits that the approximate searches are asked to find.
+RECALL = 0.95
+
+
 @register
 def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search of the nearest cells only."""
+    """Search of the nearest cells only, as many as a sample of the queries asks for."""
     placed, asked, cells = _cells(spark, sf_dir)
-    return _scored(approximate_top_k(placed, asked, cells, id_col="vec_id"))
+    nprobe = enough_probes(placed, asked, cells, RECALL, "vec_id")
+    return _scored(approximate_top_k(placed, asked, cells, nprobe, id_col="vec_id"))
+
+
+@register
+def knn_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search of codes, the best of which are ranked by their vectors."""
+    vectors, asked = _vectors(spark, sf_dir)
+    books = fit_codebooks(vectors, id_col="vec_id")
+    coded = stored(encode(vectors.select("vec_id", "embedding"), books), "codes")
+    return _scored(coded_top_k(coded, vectors, asked, books, id_col="vec_id"))
+
+
+def _recall(spark: SparkSession, sf_dir: str, found: Query) -> DataFrame:
+    """Whether an approximate search finds nine of ten exact hits."""
+    vectors, asked = _vectors(spark, sf_dir)
+    exact = top_k(vectors, asked, "vec_id")
+    share = recall(found(spark, sf_dir), stored(exact, "exact"), "vec_id")
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("enough", F.lit(share >= 0.9))
+
+
+@register
+def knn_approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recall(spark, sf_dir, knn_approx)
+
+
+@register
+def knn_coded_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recall(spark, sf_dir, knn_coded)
 
 
 # Chunks, text statistics and metadata.

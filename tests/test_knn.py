@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators.cells import (
-    approximate_top_k, assign_cells, cell_radii, pruned_top_k, write_cells,
+    approximate_top_k, assign_cells, cell_radii, enough_probes, pruned_top_k, write_cells,
 )
+from gleaner.operators.codes import coded_top_k, encode, fit_codebooks
 from gleaner.operators.knn import distance, distance_bounds, nearest, top_k
 from gleaner.operators.mllib import fit_cells
+from gleaner.session import stored
 
 DIM = 8
 
@@ -139,3 +141,51 @@ def test_cells(data, index, queries, tmp_path):
         hits = rows(approximate_top_k(placed, queries, cells, nprobe))
         recalls.append(len(pairs & {(q, hit[0]) for (q, _), hit in hits.items()}) / len(pairs))
     assert recalls == sorted(recalls) and recalls[0] > 0.2 and recalls[-1] == 1.0
+
+
+def test_enough_probes_reach_their_recall(data, index, queries, tmp_path):
+    cells = fit_cells(index, 12)
+    placed = write_cells(assign_cells(index, cells), str(tmp_path / "cells"))
+    pairs = {(q, hit[0]) for (q, _), hit in brute(data).items()}
+    nprobe = enough_probes(placed, queries, cells, 0.9)
+    hits = rows(approximate_top_k(placed, queries, cells, nprobe))
+    assert len(pairs & {(q, hit[0]) for (q, _), hit in hits.items()}) >= 0.9 * len(pairs)
+    assert enough_probes(placed, queries, cells, 1.01) == 12  # all cells, if nothing less will do
+
+
+def test_codes_find_most_hits_and_rank_them_exactly(spark):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(3000, 24)).astype(np.float32)  # more rows than a part has centres
+    frame = stored(spark.createDataFrame([(at, row.tolist()) for at, row in enumerate(vectors)] + [(9000, None)], "vec_id long, embedding array<float>"), "vectors")
+    books = fit_codebooks(frame, parts=7, id_col="vec_id", train_rows=1500)  # parts of unequal width
+    codes = books.encode(vectors)
+    assert codes.shape == (3000, 7) and codes.dtype == np.uint8
+    # A code names the nearest centre of each part, and decoding gives those centres.
+    cut = np.zeros((3000, 28))
+    cut[:, :24] = vectors
+    for part in range(7):
+        gaps = ((cut[:50, None, part * 4:part * 4 + 4] - books.centres[part][None]) ** 2).sum(axis=2)
+        assert np.allclose(gaps.min(axis=1), gaps[np.arange(50), codes[:50, part]])
+    assert np.allclose(books.decode(codes)[3], np.concatenate([books.centres[part][codes[3, part]] for part in range(7)])[:24])
+    coded = stored(encode(frame, books), "codes")
+    assert coded.count() == 3000 and "embedding" not in coded.columns
+    asked = spark.createDataFrame([(at, vectors[at].tolist(), 5) for at in range(0, 3000, 60)], "query_id long, embedding array<float>, k int")
+    hits = coded_top_k(coded, frame, asked, books, id_col="vec_id").collect()
+    found = {(row.query_id, row.vec_id) for row in hits}
+    squared = ((vectors[::60][:, None, :].astype(float) - vectors[None]) ** 2).sum(axis=2)
+    exact = {(60 * at, int(near)) for at, row in enumerate(squared) for near in np.argsort(row, kind="stable")[:5]}
+    assert len(hits) == 250 and len(found & exact) >= 0.9 * len(exact)
+    for row in hits:
+        assert row.distance == pytest.approx(squared[row.query_id // 60, row.vec_id], abs=1e-9)
+    assert {(row.query_id, row["rank"]) for row in hits} == {(at, rank) for at in range(0, 3000, 60) for rank in range(1, 6)}
+
+
+def test_codes_of_few_vectors_are_exact(spark):
+    rows = [(at, "a" if at % 2 else "b", [float(at), 1.0, 0.0]) for at in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, grp string, embedding array<double>")
+    books = fit_codebooks(frame, parts=16, id_col="vec_id")
+    asked = spark.createDataFrame([("q", "a", [7.2, 1.0, 0.0], 3)], "query_id string, grp string, embedding array<double>, k int")
+    hits = coded_top_k(encode(frame, books), frame, asked, books, id_col="vec_id", by="grp").orderBy("rank").collect()
+    assert [row.vec_id for row in hits] == [7, 9, 5]
+    with pytest.raises(ValueError, match="no vectors"):
+        fit_codebooks(frame.limit(0), id_col="vec_id")
