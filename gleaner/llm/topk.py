@@ -18,7 +18,7 @@ SLICE_ROWS = 16_384
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, weights): each component x becomes floor(scale * x).
+    """(vec_id, weights): each component x becomes floor(scale * x), a long number; one beyond these becomes the largest or smallest.
 
     Vectors that are missing or hold a missing or non-finite component, and rows without an id, are left out.
     """
@@ -26,7 +26,7 @@ def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     return embeddings.filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite)).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("weights"))
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("weights"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -44,7 +44,7 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
     The postings of a term are the rows with a weight other than 0. Each query that has the term scatters its weight
     times the postings into its score row. Sums stay exact: 32-bit floats while no sum can pass 2**24,
-    64-bit integers otherwise.
+    64-bit integers otherwise. A sum that no 64-bit integer holds is given modulo 2**64.
     """
     terms = min(queries.shape[1], rows.shape[1])
     if not terms or not len(rows) or not len(queries):
@@ -116,7 +116,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataF
 def _pass(candidates: DataFrame, queries: DataFrame, k: int, at: int) -> DataFrame:
     rows = queries.collect()  # one slice
     width = max((len(row["weights"]) for row in rows), default=0)
-    matrix = np.zeros((len(rows), width), np.int32)
+    matrix = np.zeros((len(rows), width), np.int64)
     for place, row in enumerate(rows):
         matrix[place, :len(row["weights"])] = row["weights"]
     sent = candidates.sparkSession.sparkContext.broadcast((np.array([row["vec_id"] for row in rows], np.int64), matrix))

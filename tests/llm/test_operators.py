@@ -360,3 +360,11 @@ def test_pipeline_run_keeps_one_document_of_each_near_copy_group(spark, tmp_path
     distinct = [row for row in dict.fromkeys(rows) if row != (None, "")]  # exact dedup leaves the empty text with the id
     got = [(row.doc_id, row.text) for row in reached["near_dedup"].collect()]
     assert sorted(got, key=repr) == near_survivors(distinct)
+
+
+def test_large_components_take_part_in_the_search(spark):
+    rows = [(20, [6e7, 1.0]), (21, [1.0, 2.0]), (40, [-3e7, 0.5]), (7, [2.0, 0.0])]
+    quantised = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(row.query_id, row.vec_id): row.score for row in topk.exact_top_k(quantised, quantised.filter("vec_id % 20 = 0")).collect()}
+    whole = {vec_id: [int(np.floor(64 * x)) for x in vector] for vec_id, vector in rows}
+    assert got == {(a, b): sum(x * y for x, y in zip(whole[a], whole[b])) for a in (20, 40) for b in whole if a != b}
