@@ -63,15 +63,22 @@ def nearest(
     vec_col: str = "embedding",
     metric: str = "l2sq",
 ) -> DataFrame:
-    """The k rows nearest to one vector, all in the JVM: a scan and a top-k, no sort."""
+    """The k rows nearest to one vector, all in the JVM: a scan and a top-k of ids and vectors, no sort.
+
+    The other columns of the k rows, if there are any, come from a second scan that the k ids are broadcast to; ids tell rows apart.
+    """
     literal = F.array(*[F.lit(float(value)) for value in vector])
-    return (
-        index.where(F.col(vec_col).isNotNull())
-        .withColumn("distance", distance(F.col(vec_col), literal, metric))
-        .drop(vec_col)
-        .orderBy(F.round("distance", DISTANCE_DECIMALS), id_col)
-        .limit(max(k, 0))
+    place = [F.round("distance", DISTANCE_DECIMALS), F.col(id_col)]
+    best = (
+        index.where(F.col(vec_col).isNotNull()).select(id_col, vec_col)
+        .withColumn("distance", distance(F.col(vec_col), literal, metric)).drop(vec_col)
+        .orderBy(*place).limit(max(k, 0))
     )
+    others = [name for name in index.columns if name not in (id_col, vec_col)]
+    if not others:
+        return best
+    # At most k rows are broadcast.
+    return index.select(id_col, *others).join(F.broadcast(best), id_col).orderBy(*place)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

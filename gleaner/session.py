@@ -46,6 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a folder, on whatever filesystem holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a table of very few files one partition per core.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.html import read_page, simple_hrefs, simple_main_text
+from gleaner.operators import crawl
 from gleaner.operators.crawl import reachable
 from gleaner.operators.documents import documents_from_pages
 from gleaner.operators.pages import distinct_targets, page_links, parse_pages
@@ -133,3 +134,20 @@ def test_crawl(spark):
     limited = reachable(parsed, seeds, max_depth=1)
     assert {r.url.removeprefix(site) for r in limited.collect()} == {"/", "/A", "/short"}
     assert distinct_targets(parsed).where(F.col("dst_url") == f"{site}/A").count() == 1
+
+
+def test_few_urls_read_their_buckets_only(spark, monkeypatch, tmp_path):
+    pages = spark.createDataFrame([(f"u{at}", True, [f"u{(at * 7 + 1) % 90}", f"u{at + 1}"]) for at in range(80)],
+                                  "url string, kept boolean, targets array<string>")
+    seeds = spark.createDataFrame([("u3",), ("u50",)], "url string")
+    whole = sorted(map(tuple, crawl.reachable(pages, seeds).collect()))
+    monkeypatch.setattr(crawl, "LARGE_TABLE", 0)
+    assert sorted(map(tuple, crawl.reachable(pages, seeds).collect())) == whole
+    monkeypatch.setattr(crawl, "FEW_URLS", 4)  # rounds of more URLs scan the table
+    assert sorted(map(tuple, crawl.reachable(pages, seeds).collect())) == whole
+    pages.write.bucketBy(8, "url").sortBy("url").option("path", str(tmp_path / "t")).saveAsTable("few_urls")
+    try:
+        plan = crawl.part_of(spark.table("few_urls"), seeds)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("DROP TABLE few_urls")
+    assert "PushedFilters: [In(url, [u3,u50])]" in plan
