@@ -12,5 +12,6 @@ from gleaner.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, "gleaner-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")  # the tables are small, and tasks cost more than rows
     yield session
     session.stop()
