@@ -483,4 +483,6 @@ ORACLES: dict[str, str] = {
 }
 
 # A repeated append changes nothing.
-ORACLES["search_after_append"] = ORACLES["search_cells"] = ORACLES["search_compacted"] = ORACLES["search_hits"]
+for _same in ("search_after_append", "search_cells", "search_compacted", "search_reembedded"):
+    ORACLES[_same] = ORACLES["search_hits"]
+ORACLES["recrawled_turns"] = ORACLES["reachable_turns"]

@@ -20,15 +20,17 @@ from gleaner.operators.documents import (
     PROFILES, documents_from_files, documents_from_pages, file_outcomes, ingest_stats,
     preferred_branch, registry_defaults, union_documents, with_registry,
 )
-from gleaner.operators.embed import embed_text, fit_hashed_tfidf
+from gleaner.operators.embed import HashedTfIdf, embed_text, fit_hashed_tfidf
 from gleaner.operators.filters import select_sources
 from gleaner.operators.knn import nearest, top_k
 from gleaner.operators.mllib import fit_cells, mllib_embed, mllib_tfidf
 from gleaner.operators.pages import distinct_targets, page_links, parse_pages
+from gleaner.operators.recrawl import Crawled, links_of, recrawl
 from gleaner.plans import derived
 from gleaner.plans.build import build_index, chunks_of
 from gleaner.plans.jobs import crawled_documents
 from gleaner.plans.layout import cell_search, lay_out
+from gleaner.plans.reembed import reembed
 from gleaner.plans.refresh import changes, refresh
 from gleaner.plans.search import search, search_text
 from gleaner.plans.status import collection_counts, coverage, health, query_status
@@ -297,9 +299,8 @@ def crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled_documents(pages, seeds).select("doc_key", "title", "source", "content_hash")
 
 
-@register
-def reachable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as linked pages: each turn links to the next two and to its opening.
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as linked pages: each turn links to the next two and to its opening; and the openings.
 
     Short turns are dropped pages: visited, but not followed.
     """
@@ -312,7 +313,25 @@ def reachable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length("text") >= 100).alias("kept"),
         F.array(place(F.col("turn") + 1), place(F.col("turn") + 2), place(F.lit(0))).alias("targets"),
     )
-    return reachable(pages, turns.select(place(F.lit(0)).alias("url")))
+    return pages, turns.select(place(F.lit(0)).alias("url"))
+
+
+@register
+def reachable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, openings = _turns(spark, sf_dir)
+    return reachable(pages, openings)
+
+
+@register
+def recrawled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a crawl of other pages: some turns were missing, some not followed, and some led elsewhere."""
+    pages, openings = _turns(spark, sf_dir)
+    pages = stored(pages, "pages")
+    kind = F.pmod(F.xxhash64("url"), F.lit(11))
+    before = stored(pages.where(kind != 0).withColumn("kept", F.when(kind == 1, ~F.col("kept")).otherwise(F.col("kept"))).withColumn(
+        "targets", F.when(kind == 2, F.array(F.concat("url", F.lit("/gone")))).otherwise(F.col("targets"))), "before")
+    done = Crawled(before, stored(links_of(before), "links"), openings, stored(reachable(before, openings), "visited"))
+    return recrawl(done, pages.where(kind <= 2))
 
 
 # Queries, registry and files.
@@ -472,6 +491,18 @@ def search_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search(spark, root, derived.queries(spark, sf_dir), model))
 
 
+@register
+def search_reembedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of collections that were built with another model and given this one afterwards."""
+    _, model = derived.index(spark, sf_dir)
+    root, names = scratch_path(spark, "reembedded"), ("code", "docs", "tests", "tutorials")
+    other = HashedTfIdf((1.0,) * len(model.weights))
+    build_index(derived.documents(spark, sf_dir), root, names, other, other.name)
+    for name in names:
+        reembed(spark, root, name, model, model.name, buckets_per_job=8)
+    return _hits(search(spark, root, derived.queries(spark, sf_dir), model))
+
+
 @register
 def search_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text for every query, with or without hits."""
