@@ -1,8 +1,14 @@
-"""PII: overlapping candidates, gradient-boosted trees and calibrated thresholds."""
+"""PII: overlapping candidates, gradient-boosted trees and calibrated thresholds.
+
+Base formats are always spans. The trees judge what the generators propose beyond them; they learn from base spans written anew in
+looser forms, against look-alikes.
+"""
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -17,6 +23,8 @@ from gleaner.llm.common import drawn, text_of
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean,chance:double>>"
 
+WRITINGS = 3  # times that each base span is written anew for training
+
 # The base formats. An address is found from its @; the others begin where no digit run goes on.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +44,9 @@ _TELLING = {
     "email": ("mail", "e-mail", "contact", "write"), "ip": ("ip", "host", "address", "from"),
     "card": ("card", "visa", "credit", "pay"), "phone": ("phone", "tel", "call", "mobile", "fax"),
 }
+_ENDINGS = ("com", "org", "net", "edu", "io", "de", "fr", "es")
+_AT, _DOT = re.compile(r"[(\[]at[)\]]", re.I), re.compile(r"[(\[]dot[)\]]", re.I)
+_LABEL = re.compile(r"[\w-]*$")
 _OTHER = ("version", "v", "no", "nr", "id", "order", "isbn", "section", "page", "token", "license")
 
 
@@ -79,11 +90,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Proposals of the generators; spans of different kinds may overlap."""
+    """Proposals of the generators; spans of different kinds may overlap.
+
+    They propose local parts of up to 64 characters, domains of up to five labels, numbers of 13 to 19 digits and phones
+    of up to six groups; longer writings are found by the base formats alone.
+    """
     digits = any(digit in text for digit in "0123456789")
+    small = text.lower()
+    mail = any(sign in small for sign in ("@", "at)", "at]"))
     found = []
     for kind, pattern in _LOOSE.items():
-        if (kind == "email" and ("@" in text or "at)" in text or "at]" in text)) or (kind != "email" and digits):
+        if mail if kind == "email" else digits:
             found += [(kind, match.start(), match.end()) for match in pattern.finditer(text)]
     return found
 
@@ -124,7 +141,7 @@ def span_features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(min(groups, default=0)), float(max(parts, default=0)), float(span.startswith("+")), float("(" in span),
         float(span.count(".")), float(span.count("-")), float(span.count(" ")), float("@" in span),
         float(luhn(digits) if digits else 0), float(len(set(digits))),
-        float(len(span.rpartition(".")[2])), float(any(word in _TELLING[kind] for word in words[-3:])),
+        float(len(_LABEL.search(span).group())), float(bool(_AT.search(span))), float(bool(_DOT.search(span))), float(any(word in _TELLING[kind] for word in words[-3:])),
         float(any(word in _OTHER for word in words[-2:])), float(before[-1:].isalnum()), float(after[:1].isalnum()),
         float(sum(c.isdigit() for c in before)), float(sum(c.isdigit() for c in after)),
     ]
@@ -151,39 +168,56 @@ def _predict(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, feature] <= edge, _predict(left, x), _predict(right, x))
 
 
-def _grow(x: np.ndarray, gradient: np.ndarray, curve: np.ndarray, depth: int):
-    """A tree of second-order boosting; edges are quantiles of each feature."""
-    leaf = float(-0.3 * gradient.sum() / (curve.sum() + 1.0))
+def _edges(x: np.ndarray, most: int = 32) -> list[np.ndarray]:
+    """Places where each feature may be cut: its values, or their quantiles if it has many."""
+    found = []
+    for feature in range(x.shape[1]):
+        values = np.unique(x[:, feature])
+        if len(values) > most:
+            values = np.unique(np.quantile(x[:, feature], np.linspace(0, 1, most), method="lower"))
+        found.append(values[:-1])
+    return found
+
+
+def _grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], gradient: np.ndarray, curve: np.ndarray, depth: int):
+    """A tree of second-order boosting; ``bins`` holds the number of edges below each value."""
+    g_all, h_all = gradient.sum(), curve.sum()
+    leaf = float(-0.3 * g_all / (h_all + 1.0))
     if not depth or len(x) < 8:
         return leaf
     best, choice = 1e-3, None
-    whole = gradient.sum() ** 2 / (curve.sum() + 1.0)
-    for feature in range(x.shape[1]):
-        edges = np.unique(np.quantile(x[:, feature], np.linspace(0, 1, 17)[:-1], method="lower"))
-        for edge in edges:
-            low = x[:, feature] <= edge
-            g, h = gradient[low].sum(), curve[low].sum()
-            gain = g * g / (h + 1.0) + (gradient.sum() - g) ** 2 / (curve.sum() - h + 1.0) - whole
-            if gain > best and 4 <= low.sum() <= len(x) - 4:
-                best, choice = gain, (feature, float(edge), low)
+    for feature, own in enumerate(edges):
+        if not len(own):
+            continue
+        size = len(own) + 1
+        g, h, n = (np.bincount(bins[:, feature], weights, size).cumsum()[:-1] for weights in (gradient, curve, None))
+        gain = g * g / (h + 1.0) + (g_all - g) ** 2 / (h_all - h + 1.0) - g_all ** 2 / (h_all + 1.0)
+        gain[(n < 4) | (n > len(x) - 4)] = 0.0
+        at = int(gain.argmax())
+        if gain[at] > best:
+            best, choice = gain[at], (feature, at)
     if choice is None:
         return leaf
-    feature, edge, low = choice
-    return (feature, edge, _grow(x[low], gradient[low], curve[low], depth - 1),
-            _grow(x[~low], gradient[~low], curve[~low], depth - 1))
+    feature, at = choice
+    low = bins[:, feature] <= at
+    return (feature, float(edges[feature][at]), _grow(x[low], bins[low], edges, gradient[low], curve[low], depth - 1),
+            _grow(x[~low], bins[~low], edges, gradient[~low], curve[~low], depth - 1))
 
 
-def boosted_fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, precision: float = 0.98) -> SpanModel:
-    """Boosting on three quarters of the rows; the rest calibrates chances (logistic) and the thresholds.
+def boosted_fit(
+    x: np.ndarray, y: np.ndarray, back: np.ndarray, rounds: int = 60, depth: int = 4, precision: float = 0.98,
+) -> SpanModel:
+    """Boosting on the rows that are not held ``back``; those calibrate chances (logistic) and the thresholds.
 
     The threshold of a kind is the lowest chance, one half at least, from which on ``precision`` of the held-back rows are right,
     of at least 20 rows; a kind without such a place adds nothing.
     """
-    back = np.arange(len(y)) % 4 == 3
     score, trees = np.zeros(len(y)), []
+    edges = _edges(x[~back])
+    bins = np.stack([np.searchsorted(own, x[~back][:, feature]) for feature, own in enumerate(edges)], 1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        tree = _grow(x[~back], (p - y)[~back], (p * (1 - p))[~back], depth)
+        tree = _grow(x[~back], bins, edges, (p - y)[~back], (p * (1 - p))[~back], depth)
         trees.append(tree)
         score = score + _predict(tree, x)
     slope, shift = 1.0, 0.0
@@ -204,33 +238,112 @@ def boosted_fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3,
     return SpanModel(model.trees, slope, shift, thresholds)
 
 
+def _check_digit(digits: str) -> str:
+    return next(d for d in "0123456789" if luhn(digits + d))
+
+
+def rewritings(kind: str, span: str, rng: random.Random, words: list[str]) -> list[tuple[str, str, bool]]:
+    """Loose writings of a base span, and look-alikes of the same shape: (words before, writing, right).
+
+    None of them is of a base format. What tells them apart is their validity (Luhn, parts of an address), their grouping or the
+    word before: a number of plain groups is a phone behind "call" and none behind "order".
+    """
+    told, other = rng.choice(_TELLING[kind]) + " ", rng.choice(_OTHER) + " "
+    plain = rng.choice(["", told])
+    digits = _digits(span)
+    if kind == "email":
+        names = [word.strip(".,") for word in words if word.strip(".,").isalpha()] or ["so"]
+        name, place, then = (rng.choice(names) for _ in range(3))
+        local, _, domain = span.partition("@")
+        local = rng.choice([local, name, f"{name}.{then}"])
+        domain = rng.choice([domain, f"{place}.{rng.choice(_ENDINGS)}", f"{then}.{place}.{rng.choice(_ENDINGS)}"])
+        dot = rng.choice([" (dot) ", " [dot] ", "(dot)", "."])
+        at = rng.choice([" (at) ", " [at] ", "(at)", "[at]"])
+        hidden = local + at + dot.join(domain.split("."))
+        return [(plain, rng.choice([hidden, hidden.upper()]), True), (told, " @ ".join([local, domain]), True),
+                ("", f"{name} @ {place}. {then}", False), (other, f"{name} @ {place}. {then}. {name}", False)]
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", span)
+        gap = rng.choice([" . ", ". ", " ."])
+        big = [*parts[:3], str(rng.randint(256, 9999))]
+        rng.shuffle(big)
+        return [(told, gap.join(parts), True), ("", gap.join(big), False), (told, gap.join(big), False),
+                (other, gap.join(str(rng.randint(0, 12)) for _ in range(4)), False)]
+    if kind == "card":
+        short = digits[:rng.choice([12, 13, 14])]
+        short += _check_digit(short)
+        wrong = short[:-1] + str((int(short[-1]) + rng.randint(1, 9)) % 10)
+        dotted = ".".join(digits[at:at + 4] for at in range(0, len(digits), 4))
+        last = str((int(dotted[-1]) + rng.randint(1, 9)) % 10)
+        return [(told, short, True), (plain, dotted, True), (told, wrong, False), ("", wrong, False), (other, short, False),
+                (plain, dotted[:-1] + last, False)]
+    own = digits[-10:]
+    sep = rng.choice(["-", ".", " "])
+    groups = [own[:3], own[3:6], own[6:]]
+    date = f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
+    amount = rng.choice([" ", "."]).join([str(rng.randint(1, 999)), *(f"{rng.randint(0, 999):03d}" for _ in range(rng.randint(1, 3)))])
+    return [(plain, f"({groups[0]}) {groups[1]}-{groups[2]}", True), (told, sep.join(groups), True), (other, sep.join(groups), False),
+            ("", date, False), ("", amount, False), (told, "/".join([own[:2], own[2:4]]), False)]
+
+
+def training_rows(text: str) -> Iterator[tuple[list[float], bool]]:
+    """Features and labels of candidates that no base span meets, as :func:`spans_of` will judge them.
+
+    Each base span is written anew in place (:func:`rewritings`); what the generators propose there carries the writing's label if
+    it covers it, and is wrong if it covers a part only. Candidates of the text as it is, outside base spans, are wrong unless a telling word stands
+    before them: then nothing is known, and they are left out. The draws depend on the text alone.
+    """
+    rng = random.Random(zlib.crc32(text.encode()))
+    base = base_spans(text)
+    covered = Covered((start, end) for _, start, end in base)
+    for kind, start, end in candidates(text):
+        if not covered.meets(start, end):
+            before = re.findall(r"\w+", text[max(0, start - 24):start].lower())[-3:]
+            if not any(word in _TELLING[kind] for word in before):
+                yield span_features(text, kind, start, end), False
+    for kind, start, end in base:
+        before, after = text[max(0, start - 200):start], text[end:end + 200]
+        words = before.split() + after.split()
+        for lead, writing, right in [row for _ in range(WRITINGS) for row in rewritings(kind, text[start:end], rng, words)]:
+            if before and not before[-1].isspace():
+                lead = " " + lead
+            whole = before + lead + writing + after
+            at, to = len(before + lead), len(before + lead + writing)
+            if any(s < to and at < e for _, s, e in base_spans(whole)):
+                continue
+            for name, s, e in candidates(whole):
+                if name == kind and s < to and at < e:
+                    yield span_features(whole, kind, s, e), right and s <= at and e >= to
+
+
 def fit_spans(documents: DataFrame, sample_rows: int = 8_000) -> SpanModel:
     """Fit on the candidates of a bounded sample of documents (``sample_rows`` expected, by hash of doc_id).
 
-    A candidate is right if it meets a base span of its kind. Rows without an id are not learned from.
+    Every row is outside the base formats (:func:`training_rows`), so that the trees and thresholds are told what they judge. A quarter
+    of the texts is held back for calibration. A sample without base spans teaches nothing, and
+    nothing is added then. Rows without an id are not learned from.
     """
     share = sample_rows / max(1, documents.count())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, right = [], []
             for text in batch.column("text").to_pylist():
-                base = base_spans(text)
-                covered = {kind: Covered((s, e) for k, s, e in base if k == kind) for kind in KINDS}
-                for kind, start, end in candidates(text):
-                    rows.append(span_features(text, kind, start, end))
-                    right.append(covered[kind].meets(start, end))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(right, pa.bool_())], names=["x", "y"])
+                told = list(training_rows(text))
+                if told:
+                    back = zlib.crc32(text.encode()) % 4 == 3
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x for x, _ in told], pa.list_(pa.float64())), pa.array([y for _, y in told], pa.bool_()),
+                         pa.array([back] * len(told), pa.bool_())], names=["x", "y", "back"])
 
     chosen = documents.filter(drawn(F.col("doc_id"), share))
     rows = sorted(tuple(row) for row in chosen.select(text_of(F.col("text")).alias("text")).mapInArrow(
-        encode, "x array<double>, y boolean").collect())
+        encode, "x array<double>, y boolean, back boolean").collect())
     x = np.array([row[0] for row in rows], float)
     y = np.array([row[1] for row in rows], float)
-    if len(y) < 40 or y.min() == y.max():
+    back = np.array([row[2] for row in rows], bool)
+    if len(y) < 40 or y.min() == y.max() or back.all() or not back.any():
         return SpanModel((), 1.0, -30.0, {})
-    order = np.random.default_rng(5).permutation(len(y))
-    return boosted_fit(x[order], y[order])
+    return boosted_fit(x, y, back)
 
 
 def spans_of(text: str, model: SpanModel) -> list[tuple[str, int, int, bool, float]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -252,6 +253,57 @@ def test_base_spans_match_the_plain_patterns(spark, odd):
     assert one.select(pii.redacted(F.col("text"), F.col("s"))).first()[0] == "mail [email] now"
 
 
+def planted_spans(rng):
+    """(text, kind, writing, right): loose writings and look-alikes, put between words that training has not seen."""
+    name, host = rng.choice(["jane.doe", "k_lund", "bob", "maria.paz"]), rng.choice(["example", "harbour", "north-lab"])
+    own = "".join(rng.choice("0123456789") for _ in range(10))
+    groups = [own[:3], own[3:6], own[6:]]
+    card = "37" + "".join(rng.choice("0123456789") for _ in range(12))
+    card += next(d for d in "0123456789" if pii.luhn(card + d))
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    address = [str(rng.randint(20, 255)) for _ in range(4)]
+    rows = [
+        ("write to", "email", f"{name} (at) {host} (dot) org", True), ("contact", "email", f"{name}[at]{host}[dot]net", True),
+        ("lunch", "email", "we @ noon. Then", False), ("call", "phone", f"({groups[0]}) {groups[1]}-{groups[2]}", True),
+        ("my phone", "phone", "-".join(groups), True), ("order", "phone", "-".join(groups), False),
+        ("since", "phone", f"{rng.randint(1950, 2030)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", False),
+        ("paid by card", "card", card, True), ("number", "card", wrong, False), ("host", "ip", " . ".join(address), True),
+        ("around", "ip", f"{address[0]} . 900 . {address[1]} . 7", False),
+    ]
+    return [(f"morning came {before} {writing} and all went on", kind, writing, right) for before, kind, writing, right in rows]
+
+
+def test_learned_spans_find_loose_writings_and_refuse_look_alikes(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.fit_spans(documents)
+    assert set(model.thresholds) == set(pii.KINDS)
+    rng = random.Random(11)
+    planted = [row for _ in range(40) for row in planted_spans(rng)]
+    told = collections.Counter()
+    for text, kind, writing, right in planted:
+        assert not pii.base_spans(text)
+        found = [span for span in pii.spans_of(text, model) if span[1] < text.index(writing) + len(writing) and span[2] > text.index(writing)]
+        told[right, any(span[0] == kind and writing in text[span[1]:span[2]] for span in found) if right else bool(found)] += 1
+    assert told[True, True] > 0.9 * (told[True, True] + told[True, False]), told
+    assert told[True, True] > 0.95 * (told[True, True] + told[False, True]), told
+    for text in ("call a@b.cd or +1 (325) 555-8094", "", "no. 12"):
+        spans = pii.spans_of(text, model)
+        assert [span[:3] for span in spans if span[3]] == pii.base_spans(text)
+
+
+def test_pii_learns_from_nothing_but_what_base_formats_miss():
+    rng = random.Random(2)
+    for kind, span in (("email", "a.b@c.de"), ("ip", "1.2.3.44"), ("card", "4111111111111111"), ("phone", "+1 (325) 555-8094")):
+        assert pii.base_spans(span) == [(kind, 0, len(span))]
+        labels = collections.Counter(right for _ in range(50) for _, _, right in pii.rewritings(kind, span, rng, ["some", "words"]))
+        assert labels[True] and labels[False]
+        rows = list(pii.training_rows(f"so {span} it is"))
+        assert {right for _, right in rows} == {True, False} and rows == list(pii.training_rows(f"so {span} it is"))
+    assert list(pii.training_rows("")) == [] == list(pii.training_rows("plain words"))
+    assert [right for _, right in pii.training_rows("the 5927243074273351 so")] == [False]
+    assert list(pii.training_rows("visa 5927243074273351 so")) == []
+
+
 def test_classifiers_on_held_out_and_odd_rows(spark, odd, empty):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
     model = quality.fit_quality(documents, labels)
