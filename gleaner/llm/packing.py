@@ -24,9 +24,6 @@ OUT_TOKENS = 1_000_000
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, "
           "sequence_id long, offset long")
 
-_TOKENIZERS: dict[int, object] = {}
-
-
 class Packer:
     """Open pieces of one task, put into sequences one after another.
 
@@ -124,11 +121,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gleaner.llm.tokens import CachedTokenizer
 
-        key = hash(content.value)
-        if key not in _TOKENIZERS:
-            _TOKENIZERS.clear()
-            _TOKENIZERS[key] = CachedTokenizer(content.value)
-        encoder = _TOKENIZERS[key]
+        encoder = CachedTokenizer(content.value)  # ends with the task: workers stay for other stages
         packer = Packer(TaskContext.get().partitionId() << 32, tokens, segments, loss)
         out, held = [], 0
 
@@ -158,6 +151,7 @@ def pack(
                 out, held = [], 0
         if out:
             yield told()
+        del encoder, out
         give_back()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text"),
