@@ -12,7 +12,7 @@ from gleaner.llm.common import SPACE, text_of
 from gleaner.session import scratch_path, stored
 
 # The state lives in RocksDB; its files are not preallocated (4 MB each), as there may be many small ones. The stores of an
-# executor share one bounded amount of memory outside the heap, whatever their number.
+# executor share one bounded amount of memory outside the heap, whatever their number, and are closed as a task commits its batch.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -20,6 +20,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 SMALL_HITS = 1_000_000  # digests of 64 characters: at most about 100 MB
 
