@@ -19,13 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python a thousand at a time, unless the session asks for another number than Spark's own.
+    """Hand rows to Python a thousand, and 4 MB, at a time, unless the session asks for other numbers than Spark's own.
 
     Rows here are whole texts: batches of ten thousand take tens of MB each in the executor, outside its heap, and again in its workers.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    for name, own, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == own:
+            spark.conf.set(name, small)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
