@@ -374,6 +374,10 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT * EXCLUDE (given), 'wide' FROM filled WHERE priority <= 3""",
     "registry_scan": f"""
         WITH {_REGISTRY} SELECT name, url, branch, category, priority FROM registry""",
+    "tree_pieces": """
+        SELECT source, lang, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes,
+               sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, 0::BIGINT AS n_unreadable
+        FROM documents GROUP BY ALL""",
     "tree_scan": """
         SELECT source, lang, sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes,
                sum(length(text) + 1)::BIGINT AS n_chars

@@ -36,7 +36,7 @@ from gleaner.plans.search import search, search_text
 from gleaner.plans.status import collection_counts, coverage, health, query_status
 from gleaner.session import scratch_path, ship_package, stored
 from gleaner.sources import index as store
-from gleaner.sources.files import scan_files
+from gleaner.sources.files import list_files, read_pieces, scan_files
 from gleaner.sources.pages import scan_pages
 from gleaner.sources.registry import scan_registry
 from gleaner.streaming.refresh import stream_refresh
@@ -365,15 +365,32 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_registry(spark, folder)
 
 
-@register
-def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts written as a tree of files per source and language, listed and read."""
+def _text_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts written as a tree of files per source and language; its roots."""
     tree = scratch_path(spark, "tree")
     texts = derived.text_table(spark, sf_dir, "documents").select("source", "lang", "text")
     texts.write.partitionBy("source", "lang").text(tree)
-    roots = texts.select("source").distinct().select(
+    return texts.select("source").distinct().select(
         "source", F.concat(F.lit(f"{tree}/source="), "source").alias("root")
     )
+
+
+@register
+def tree_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of texts read in pieces that may begin and end anywhere."""
+    manifest = list_files(_text_tree(spark, sf_dir))
+    pieces = read_pieces(manifest, suffix(F.col("file_path")) == ".txt", 10_007)
+    lines = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit("\n"))
+    return pieces.groupBy("source", F.regexp_extract("file_path", "^lang=([^/]*)/", 1).alias("lang")).agg(
+        F.sum(F.octet_length("content")).alias("n_bytes"), F.sum(lines).alias("n_lines"),
+        F.count("error").alias("n_unreadable"),
+    )
+
+
+@register
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of texts, listed and read."""
+    roots = _text_tree(spark, sf_dir)
     scanned = scan_files(roots, suffix(F.col("file_path")) == ".txt")
     text = decode_utf8(F.col("content"))
     return scanned.groupBy("source", F.regexp_extract("file_path", "^lang=([^/]*)/", 1).alias("lang")).agg(

@@ -121,6 +121,55 @@ def read_files(manifest: DataFrame, accepts: Column | None = None) -> DataFrame:
     return entries.repartition(tasks).mapInArrow(_read, "source string, file_path string, content binary")
 
 
+_PIECE_SCHEMA = pa.schema([
+    ("source", pa.string()), ("file_path", pa.string()), ("start", pa.int64()), ("content", pa.binary()), ("error", pa.string()),
+])
+
+
+def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    held = 0
+    for batch in batches:
+        for entry in batch.to_pylist():
+            filesystem, place = _open(entry["path"])
+            content, error = None, None
+            try:
+                with filesystem.open_input_file(place) as file:
+                    file.seek(entry["start"])
+                    content = file.read(entry["length"])
+                if len(content) < entry["length"]:
+                    content, error = None, "shorter than listed"
+            except OSError as reason:
+                error = str(reason) or type(reason).__name__
+            rows.append({"source": entry["source"], "file_path": entry["file_path"], "start": entry["start"],
+                         "content": content, "error": error})
+            held += len(content or b"")
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ENTRIES:
+                yield pa.RecordBatch.from_pylist(rows, schema=_PIECE_SCHEMA)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_PIECE_SCHEMA)
+
+
+def read_pieces(manifest: DataFrame, accepts: Column | None = None, piece_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Contents of the manifest's files in pieces: source, file_path, start, content, error.
+
+    A piece has ``piece_bytes`` at most, so that a file of any size is read by many tasks in bounded memory. Pieces cover a file
+    as it was listed; an empty file has one empty piece. A piece that cannot be read, or that the file no longer has, is a
+    row with its ``error`` and no content.
+    """
+    if piece_bytes < 1:
+        raise ValueError("a piece has at least one byte")
+    wanted = manifest if accepts is None else manifest.where(accepts)
+    n_bytes = wanted.agg(F.sum("size")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, n_bytes // TASK_BYTES)
+    size, step = F.coalesce("size", F.lit(0)).cast("long"), F.lit(piece_bytes).cast("long")
+    pieces = wanted.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(size - 1, F.lit(0)), step)))
+    entries = pieces.select("source", "path", "file_path", "start", F.least(step, size - F.col("start")).alias("length"))
+    return entries.repartition(tasks).mapInArrow(
+        _read_pieces, "source string, file_path string, start long, content binary, error string")
+
+
 def scan_files(roots: DataFrame, accepts: Column | None = None) -> DataFrame:
     """List and read the trees of ``roots`` (source, root)."""
     return read_files(list_files(roots), accepts)

@@ -10,7 +10,7 @@ from gleaner.operators.documents import (
     documents_from_files, file_outcomes, ingest_stats, preferred_branch, registry_defaults, with_registry,
 )
 from gleaner.operators.filters import is_code_file, select_sources
-from gleaner.sources.files import list_files, read_files, scan_files
+from gleaner.sources.files import list_files, read_files, read_pieces, scan_files
 from gleaner.sources.registry import scan_registry
 
 # path: the collections that take it (c code, d docs, t tests, u tutorials)
@@ -154,3 +154,33 @@ def test_a_missing_root_is_an_error(spark, tmp_path):
     roots = spark.createDataFrame([("one", str(tmp_path / "absent"))], "source string, root string")
     with pytest.raises(Exception, match="absent"):
         scan_files(roots).collect()
+
+
+def test_pieces_cover_every_file_and_errors_are_rows(spark, tmp_path):
+    contents = {"a.bin": bytes(range(256)) * 41, "empty.txt": b"", "one.txt": b"x", "deep/b.txt": b"0123456789" * 3}
+    (tmp_path / "deep").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    for name in ("gone.txt", "cut.txt"):
+        (tmp_path / name).write_bytes(b"0123456789abc")
+    listed = list_files(spark.createDataFrame([("s", str(tmp_path))], "source string, root string"))
+    listed.collect()
+    os.unlink(tmp_path / "gone.txt")
+    (tmp_path / "cut.txt").write_bytes(b"0123456")
+    for size in (1, 10, 64, 1 << 20):
+        found = {}
+        for row in read_pieces(listed, F.col("size") < 100 if size == 1 else None, size).collect():
+            assert (row.content is None) == (row.error is not None)
+            assert len(row.content or b"") <= size
+            assert (row.file_path, row.start) not in found
+            found[row.file_path, row.start] = row.content
+        for name, content in contents.items():
+            if size > 1 or len(content) < 100:
+                pieces = sorted((start, piece) for (path, start), piece in found.items() if path == name)
+                assert b"".join(piece for _, piece in pieces) == content
+                assert [start for start, _ in pieces] == list(range(0, max(1, len(content)), size))
+        assert {piece for (path, _), piece in found.items() if path == "gone.txt"} == {None}
+        assert None in {piece for (path, _), piece in found.items() if path == "cut.txt"}
+    assert read_pieces(listed.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        read_pieces(listed, piece_bytes=0)
