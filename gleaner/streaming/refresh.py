@@ -2,59 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.embed import BatchFunction
 from gleaner.plans.refresh import refresh
 from gleaner.schema import DOCUMENTS
-from gleaner.session import ship_package
+from gleaner.session import ship_package, stored
 from gleaner.sources import index
 
 VERSIONED = T.StructType([*DOCUMENTS.fields, T.StructField("version", T.LongType())])
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ACCEPTED = "doc_key string, version long, document string"
+# Files of a batch that are named in the plan of its second read.
+MAX_FILES = 1_000
 
 
-class NewerVersions(StatefulProcessor):
-    """Lets a document's version pass if it is newer than all that came before, and remembers it.
-
-    Versions are ordered by number, equal numbers by what the document says, so that the last one to pass
-    is the same in whatever order, and however often, they arrive. The state is a number and a digest per key.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "version long, digest string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, document = self.newest.get() if self.newest.exists() else None, None
-        for frame in rows:
-            for version, digest, told in zip(frame["version"], frame["digest"], frame["document"]):
-                if best is None or (version, digest) > tuple(best):
-                    best, document = (int(version), digest), told
-        if document is not None:
-            self.newest.update(best)
-            yield pd.DataFrame({"doc_key": [key[0]], "version": [best[0]], "document": [document]})
-
-    def close(self) -> None:
-        pass
+def _told() -> tuple[Column, Column]:
+    """What a document says as JSON, missing values included, and when its batch began, in microseconds."""
+    document = F.to_json(F.struct(*[field.name for field in DOCUMENTS.fields]), {"ignoreNullFields": "false"})
+    return document, F.unix_micros(F.current_timestamp())
 
 
 def newer_versions(documents: DataFrame) -> DataFrame:
-    """The rows of a stream of documents (with ``version``) that are newer than all before them: doc_key, version, document.
+    """What a stream of documents (with ``version`` and ``path``, its file) tells that is newer than all before: doc_key, version, digest, path.
 
-    ``document`` is the row as JSON, missing values included. A row without a key is left out.
+    Versions are ordered by number, equal numbers by what the document says, so that the last one to pass is the same in
+    whatever order, and however often, they arrive. The state is one such row per key; of equal ones the first to arrive stays, and
+    only what arrived with the batch passes. A row without a key is left out.
     """
-    fields = [field.name for field in DOCUMENTS.fields]
-    document = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    rows = documents.where(F.col("doc_key").isNotNull()).select("doc_key", "version", F.md5(document).alias("digest"), document.alias("document"))
-    return rows.groupBy("doc_key").transformWithStateInPandas(NewerVersions(), _ACCEPTED, "Update", "None")
+    document, now = _told()
+    told = F.struct("version", F.md5(document).alias("digest"), (-now).alias("before"), "path")
+    newest = documents.where(F.col("doc_key").isNotNull()).select("doc_key", told.alias("told")).groupBy("doc_key").agg(F.max("told").alias("told"))
+    return newest.where(F.col("told.before") == -now).select("doc_key", "told.version", "told.digest", "told.path")
+
+
+def rows_of(accepted: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` (with ``version`` and ``path``) that ``accepted`` names; files without any are not read, if it names few."""
+    files = [row["path"] for row in accepted.select("path").distinct().limit(MAX_FILES + 1).collect()]
+    if len(files) <= MAX_FILES:
+        documents = documents.where(F.col("path").isin(files))
+    place = ["doc_key", "path", "version", "digest"]
+    return documents.withColumn("digest", F.md5(_told()[0])).join(accepted, place, "left_semi").select(*DOCUMENTS.names)
 
 
 def stream_refresh(
@@ -81,17 +74,23 @@ def stream_refresh(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arrived = F.unix_millis(F.col("_metadata.file_modification_time"))
-    documents = reader.parquet(folder).withColumn("version", F.coalesce(F.col("version") if version is None else version, arrived))
+    number = F.coalesce(F.col("version") if version is None else version, arrived)
+
+    def own(files: DataFrame) -> DataFrame:
+        return files.withColumns({"version": number, "path": F.col("_metadata.file_path")}).where(F.col("collection") == name)
 
     def take_in(batch: DataFrame, _: int) -> None:
-        rows = batch.select("doc_key", F.from_json("document", DOCUMENTS).alias("document")).select("document.*")
+        # Written out: the state is read once, and each further step would read it again.
+        accepted = stored(batch, "accepted")
+        files = accepted.sparkSession.read.schema(VERSIONED).parquet(folder)
+        rows = stored(rows_of(accepted, own(files)), "documents")
         refresh(rows, root, name, factory, model_name, full_snapshot=False, options=options)
 
     before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, ROCKSDB)
     try:
         return (
-            newer_versions(documents.where(F.col("collection") == name)).writeStream.outputMode("update").foreachBatch(take_in)
+            newer_versions(own(reader.parquet(folder))).writeStream.outputMode("update").foreachBatch(take_in)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

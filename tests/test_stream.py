@@ -78,3 +78,15 @@ def test_without_versions_the_later_file_counts(spark, tmp_path, model):
     assert inbox.run() == {"a": "two", "b": "b"}
     assert inbox.run(progress="2") == {"a": "two", "b": "b"}  # a new stream over all files ends alike
     assert chunks_of(index.collection(spark, inbox.root, "code").select("collection", "doc_key", "text", "file_path", "url", "repo", "source")).count() == 2
+
+
+def test_versions_are_told_apart_by_keyed_state_without_python(spark, tmp_path, model):
+    inbox = Inbox(spark, tmp_path, model)
+    inbox.arrive([(f"k{at}", f"text {at}", 1) for at in range(50)], files=3)
+    query = stream_refresh(spark, inbox.folder, inbox.root, "code", model, model.name, inbox.progress)
+    query.awaitTermination()
+    state = query.lastProgress["stateOperators"]
+    assert [(part["operatorName"], part["numRowsTotal"]) for part in state] == [("stateStoreSave", 50)]
+    inbox.arrive([("k1", "text 1", 1), ("k2", "older", 0), ("k3", "newer", 2)])
+    assert inbox.run() == {f"k{at}": "newer" if at == 3 else f"text {at}" for at in range(50)}
+    assert index.versions(spark, inbox.root)["code"].n_documents == 50
