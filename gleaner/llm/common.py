@@ -11,24 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import ship_package, stored
+from gleaner.session import ship_package, small_batches, stored
 
 # White space and words of all operators here (regular expression, code points).
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python a thousand, and 4 MB, at a time, unless the session asks for other numbers than Spark's own.
-
-    Rows here are whole texts: batches of ten thousand take tens of MB each in the executor, outside its heap, and again in its workers.
-    """
-    for name, own, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
-        name = f"spark.sql.execution.arrow.{name}"
-        if spark.conf.get(name) == own:
-            spark.conf.set(name, small)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; workers get this package with it."""
     ship_package(spark)

@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,65 @@ _VECTOR = T.ArrayType(T.FloatType())
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
-@lru_cache(maxsize=1 << 19)
-def _hash(word: str) -> int:
-    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:7], 16)
+# Bytes of words in lower-case text; others than ASCII are blanks by then, or belong to letters and digits.
+_IN_WORD = np.array([byte >= 128 or chr(byte).isalnum() or byte == ord("_") for byte in range(256)])
+
+
+# MD5: the constants and shifts of its rounds, and the bytes that fit into its first block.
+_SINES = [np.uint32(int(abs(np.sin(at + 1)) * 2**32)) for at in range(64)]
+_SHIFTS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_BLOCK = 55
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """The first 28 bits of the MD5 of each of some large binaries, all words of one block at a time."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends)
+    kept = np.minimum(sizes, _BLOCK)
+    block = np.zeros((n, 64), np.uint8)
+    within = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+    block.ravel()[within + np.repeat(np.arange(n) * 64, kept)] = data[within + np.repeat(ends[:-1], kept)]
+    block[np.arange(n), kept] = 0x80
+    block.view("<u4")[:, 14] = kept * 8
+    parts = np.ascontiguousarray(block.view("<u4").T)
+    start = [np.full(n, value, np.uint32) for value in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for at in range(64):
+        turn = at // 16
+        mixed = d ^ (b & (c ^ d)) if turn == 0 else c ^ (d & (b ^ c)) if turn == 1 else b ^ c ^ d if turn == 2 else c ^ (b | ~d)
+        place = (at, 5 * at + 1, 3 * at + 5, 7 * at)[turn] % 16
+        total = a + mixed + _SINES[at] + parts[place]
+        shift = np.uint32(_SHIFTS[turn][at % 4])
+        a, d, c, b = d, c, b, b + ((total << shift) | (total >> (np.uint32(32) - shift)))
+    found = ((a + start[0]).byteswap() >> np.uint32(4)).astype(np.int64)
+    for at in np.flatnonzero(sizes > _BLOCK):
+        long = data[ends[at]:ends[at + 1]].tobytes()
+        found[at] = int.from_bytes(hashlib.md5(long, usedforsecurity=False).digest()[:4], "big") >> 4
+    return found
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The lower-case words of texts in their order, as bytes, and the text each is from."""
+    lowered = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    if not pc.all(pc.string_is_ascii(lowered)).as_py():
+        lowered = pc.replace_substring_regex(lowered, r"[^\x00-\x7F\p{L}\p{N}]+", " ")
+    _, ends, data = lowered.buffers()
+    ends = np.frombuffer(ends, np.int64)[lowered.offset:lowered.offset + len(lowered) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    inside = _IN_WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = ends[:-1] < ends[1:]  # no word goes on in the next text
+    first[ends[:-1][filled]] = inside[ends[:-1][filled]]
+    last[ends[1:][filled] - 1] = inside[ends[1:][filled] - 1]
+    starts = np.flatnonzero(first)
+    borders = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - starts)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(data[inside])])
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends))), words
 
 
 def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
@@ -38,17 +93,10 @@ def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
 
     Each distinct word of a batch is looked up once.
     """
-    words = pc.split_pattern_regex(pc.utf8_lower(texts), WORD_BREAK)
-    owner = pc.list_parent_indices(words).to_numpy()
-    coded = pc.list_flatten(words).dictionary_encode()
-    bucket_of = np.array(
-        [_hash(word) % dim if word else -1 for word in coded.dictionary.to_numpy(zero_copy_only=False)],
-        dtype=np.int64,
-    )
-    buckets = bucket_of[coded.indices.to_numpy()] if len(bucket_of) else bucket_of
-    kept = buckets >= 0
-    counts = np.bincount(owner[kept] * dim + buckets[kept], minlength=len(texts) * dim)
-    return counts.reshape(len(texts), dim)
+    owner, words = _words(texts)
+    coded = words.dictionary_encode()
+    buckets = (_hashes(coded.dictionary) % dim)[coded.indices.to_numpy()]
+    return np.bincount(owner * dim + buckets, minlength=len(texts) * dim).reshape(len(texts), dim)
 
 
 @dataclass(frozen=True)

@@ -32,8 +32,8 @@ MAX_BROADCAST_QUERIES = 16_384
 # Rows of a block of the index, and of queries compared with it together: 64 and 16 MB at 1,024 dimensions.
 INDEX_BLOCK_ROWS = 16_384
 QUERY_BLOCK_ROWS = 4_096
-# Distances a task holds at a time (64 MB).
-MAX_DISTANCES = 8_388_608
+# Distances a task holds at a time (8 MB).
+MAX_DISTANCES = 1_048_576
 
 
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:

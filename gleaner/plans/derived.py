@@ -12,7 +12,7 @@ from gleaner.functions.text import content_hash
 from gleaner.operators.documents import union_documents
 from gleaner.operators.embed import HashedTfIdf
 from gleaner.plans.build import build_index, fit_model
-from gleaner.session import scratch_path, ship_package, spread
+from gleaner.session import scratch_path, ship_package, small_batches, spread
 
 # One path form per source number; {} is the document id.
 PATH_FORMS = (
@@ -36,6 +36,7 @@ ASKED = (*KNOWN, "nowhere")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -94,3 +94,14 @@ def ship_package(spark: SparkSession) -> None:
                 bundle.write(module, module.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(archive))
         spark.conf.set("gleaner.shipped", "true")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python a thousand, and 4 MB, at a time, unless the session asks for other numbers than Spark's own.
+
+    Rows here are whole texts and wide vectors: batches of ten thousand take tens of MB each in the executor, outside its heap, and again in its workers.
+    """
+    for name, own, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == own:
+            spark.conf.set(name, small)
