@@ -66,6 +66,6 @@ def reembed(
 
 def _write(rows: DataFrame, root: str, segment: str, factory: Callable[[], BatchFunction], model_name: str, with_metadata: bool) -> None:
     """Write buckets of a segment, over what an interrupted job left of them."""
-    embedded = embed_chunks(rows.drop("embedding", "embed_model"), factory, model_name, with_metadata)
-    embedded.select(*CHUNKS.names).hint("rebalance", "collection", "bucket").write.partitionBy("collection", "bucket").mode(
+    gathered = rows.drop("embedding", "embed_model").hint("rebalance", "collection", "bucket")  # texts move, vectors stay where they are made
+    embed_chunks(gathered, factory, model_name, with_metadata).select(*CHUNKS.names).write.partitionBy("collection", "bucket").mode(
         "overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{index.chunks_path(root)}/segment={segment}")
