@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import pairwise
 
@@ -18,32 +19,36 @@ from gleaner.schema import CHUNK_OVERLAP, CHUNK_TOKENS
 # tokens of a text joined again give the text, line breaks included. The class is spelled
 # out because \s differs between regex engines.
 TOKEN_PATTERN = "[^ \\t\\n\\r]+[ \\t\\n\\r]*"
+# The same without a way back, so that Java's regex counts repeated tokens in a loop, not on its stack.
+_WHOLE_TOKEN = "[^ \\t\\n\\r]++[ \\t\\n\\r]*+"
 
 
 def window_chunks(text: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of (chunk_no, text): windows of ``size`` tokens, ``overlap`` shared.
 
-    The token array is bound by the outer ``transform``: a lambda body that held the
-    pattern itself would split the text again for every window.
+    The text is split into runs of as many tokens as divide both ``size`` and ``overlap``: windows begin and end
+    between runs, and no row is made of every token. The array of runs is bound by the outer ``transform``: a lambda
+    body that held the pattern itself would split the text again for every window.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be non-negative and smaller than size")
-    stride = size - overlap
+    unit = math.gcd(size, overlap)
+    stride = (size - overlap) // unit
 
-    def windows(tokens: Column) -> Column:
+    def windows(runs: Column) -> Column:
         count = F.greatest(
-            F.ceil((F.size(tokens) - overlap) / F.lit(float(stride))).cast("int"), F.lit(1)
+            F.ceil((F.size(runs) - overlap // unit) / F.lit(float(stride))).cast("int"), F.lit(1)
         )
         return F.transform(
             F.sequence(F.lit(0), count - 1),
             lambda i: F.struct(
                 i.alias("chunk_no"),
-                F.array_join(F.slice(tokens, i * stride + 1, F.lit(size)), "").alias("text"),
+                F.array_join(F.slice(runs, i * stride + 1, F.lit(size // unit)), "").alias("text"),
             ),
         )
 
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.transform(F.array(tokens), windows)[0]
+    runs = F.regexp_extract_all(text, F.lit(f"(?:{_WHOLE_TOKEN}){{1,{unit}}}+"), F.lit(0))
+    return F.transform(F.array(runs), windows)[0]
 
 
 _CHUNK_ARRAY = T.ArrayType(T.StructType([

@@ -91,9 +91,14 @@ def build_index(
         known = next((current[name] for name in names if name in current), None)
         if known is not None:
             n_buckets, options = known.n_buckets, known.options
-    own = index.gather(single_documents(documents.where(F.col("collection").isin(*names))), n_buckets)
-    embedded = embedded_chunks(own.drop("bucket"), factory, model_name, options)
-    return index.write_index(embedded, root, names, model_name, mode, n_buckets, model_fingerprint(factory), options)
+    own = single_documents(documents.where(F.col("collection").isin(*names)))
+
+    def made(rows: DataFrame) -> DataFrame:
+        return embedded_chunks(index.gather(rows, n_buckets).drop("bucket"), factory, model_name, options)
+
+    if mode == "append":
+        return index.append(own, root, names, model_name, n_buckets, model_fingerprint(factory), options, made)
+    return index.write_index(made(own), root, names, model_name, mode, n_buckets, model_fingerprint(factory), options)
 
 
 def embedded_chunks(

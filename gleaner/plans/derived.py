@@ -128,7 +128,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-_BUILT: dict[tuple[str, str], tuple[str, HashedTfIdf]] = {}
+_FITTED: dict[tuple[str, str], tuple[str, HashedTfIdf]] = {}
+_BUILT: set[str] = set()
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> tuple[str, HashedTfIdf]:
+    """The model of all documents and the root it is stored below, fitted once per application: for queries that build an index of their own."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        root = scratch_path(spark, "index")
+        _FITTED[key] = root, fit_model(documents(spark, sf_dir), root)
+    return _FITTED[key]
 
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[str, HashedTfIdf]:
@@ -136,14 +146,11 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[str, HashedTfIdf]:
 
     ``tutorials`` is built from no documents; ``archive`` is never built.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        root = scratch_path(spark, "index")
-        all_documents = documents(spark, sf_dir)
-        model = fit_model(all_documents, root)
-        build_index(all_documents, root, ("code", "docs", "tests", "tutorials"), model, model.name)
-        _BUILT[key] = (root, model)
-    return _BUILT[key]
+    root, model = fitted(spark, sf_dir)
+    if root not in _BUILT:
+        build_index(documents(spark, sf_dir), root, ("code", "docs", "tests", "tutorials"), model, model.name)
+        _BUILT.add(root)
+    return root, model
 
 
 def known_names(spark: SparkSession) -> DataFrame:

@@ -467,7 +467,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def search_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits after the same documents were appended twice."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root = scratch_path(spark, "appended")
     documents = derived.documents(spark, sf_dir)
     for _ in range(2):
@@ -478,7 +478,7 @@ def search_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits over collections that were laid out by cells, then changed: part appended later, part removed and brought back."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root = scratch_path(spark, "laid_out")
     documents = derived.documents(spark, sf_dir)
     late = F.pmod(F.xxhash64("doc_key"), F.lit(5)) == 0
@@ -495,7 +495,7 @@ def search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def search_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits after a refresh to an edited snapshot and back, compacted and laid out anew."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root = scratch_path(spark, "compacted")
     documents = derived.documents(spark, sf_dir)
     names = ("code", "docs", "tests", "tutorials")
@@ -511,7 +511,7 @@ def search_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def search_reembedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of collections that were built with another model and given this one afterwards."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root, names = scratch_path(spark, "reembedded"), ("code", "docs", "tests", "tutorials")
     other = HashedTfIdf((1.0,) * len(model.weights))
     build_index(derived.documents(spark, sf_dir), root, names, other, other.name)
@@ -578,16 +578,15 @@ def _one_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, root: str) -> DataFrame:
-    return store.ensure_index(spark, root).select(
-        "collection", "doc_key", "chunk_no", content_hash(F.col("text")).alias("text_hash"),
-        F.size("embedding").alias("dims"),
-    )
+    # Texts and vectors are told by hash and width before the rows meet the keys that are gone.
+    told = [content_hash(F.col("text")).alias("text_hash"), F.size("embedding").alias("dims")]
+    return store.ensure_index(spark, root, told).select("collection", "doc_key", "chunk_no", "text_hash", "dims")
 
 
 @register
 def refresh_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after a build and a refresh to the edited snapshot."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root = scratch_path(spark, "refreshed")
     documents = _one_collection(spark, sf_dir)
     build_index(documents, root, ["docs"], model, model.name)
@@ -598,7 +597,7 @@ def refresh_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def refresh_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after two rounds of the stream: all documents, then the edited ones."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root, folder, progress = (scratch_path(spark, name) for name in ("streamed", "inbox", "progress"))
     documents = _one_collection(spark, sf_dir)
     for snapshot in (documents, _edited(documents)):
@@ -610,7 +609,7 @@ def refresh_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def rebuild_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append to three collections, rebuild one from edited documents, empty another."""
-    _, model = derived.index(spark, sf_dir)
+    _, model = derived.fitted(spark, sf_dir)
     root = scratch_path(spark, "rebuilt")
     documents = derived.documents(spark, sf_dir)
     chunks = chunks_of(documents)

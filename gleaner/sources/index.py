@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from py4j.java_gateway import JavaObject
@@ -29,6 +29,8 @@ from gleaner.schema import CHUNK_OVERLAP, CHUNK_TOKENS, CHUNKS
 from gleaner.session import stored
 
 DEFAULT_BUCKETS = 16
+# Removed keys of about 130 bytes each that are broadcast: at most about 64 MB.
+BROADCAST_KEYS = 500_000
 SEGMENT = T.StructField("segment", T.StringType())
 INDEXED = T.StructType([*CHUNKS.fields, SEGMENT])
 _REMOVED = T.StructType([T.StructField(name, T.StringType()) for name in ("doc_key", "segment", "collection")])
@@ -165,28 +167,38 @@ def _removed(spark: SparkSession, root: str, current: Iterable[Version]) -> Data
 def without_removed(spark: SparkSession, root: str, current: Iterable[Version], rows: DataFrame) -> DataFrame:
     """Rows (collection, doc_key, segment, ...) whose key no later commit removed.
 
-    The keys are files of known size: few of them are broadcast, and rows are not shuffled.
+    Up to ``BROADCAST_KEYS`` keys are broadcast, whatever size Spark guesses for them, and rows with their vectors are not shuffled.
     """
     gone = _removed(spark, root, current)
     if gone is None:
         return rows
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     later = (F.col("collection") == F.col("gone_from")) & (F.col("doc_key") == F.col("gone_key")) & (F.col("segment") < F.col("gone_at"))
     return rows.join(gone, later, "left_anti")
 
 
-def live(spark: SparkSession, root: str, current: Sequence[Version], beside_layout: bool = False) -> DataFrame:
-    """Live chunks of the given versions; only their files are listed. ``beside_layout`` leaves out what a layout holds."""
+def live(
+    spark: SparkSession, root: str, current: Sequence[Version], beside_layout: bool = False, told: Sequence[Column] = (),
+) -> DataFrame:
+    """Live chunks of the given versions; only their files are listed. ``beside_layout`` leaves out what a layout holds.
+
+    With ``told`` these columns take the place of texts and vectors, before rows are compared with removed keys.
+    """
     paths = [f"{chunks_path(root)}/segment={segment}/collection={version.name}"
              for version in current for segment in version.segments if not (beside_layout and segment in version.covered)]
     if not paths:
-        return spark.createDataFrame([], INDEXED)
+        none = spark.createDataFrame([], INDEXED)
+        return none.select("*", *told).drop("text", "embedding") if told else none
     chunks = spark.read.schema(INDEXED).option("basePath", chunks_path(root)).parquet(*paths)
+    if told:
+        chunks = chunks.select("*", *told).drop("text", "embedding")
     return without_removed(spark, root, current, chunks)
 
 
-def ensure_index(spark: SparkSession, root: str) -> DataFrame:
+def ensure_index(spark: SparkSession, root: str, told: Sequence[Column] = ()) -> DataFrame:
     """All live chunks of the index; an empty table when nothing was ever written."""
-    return live(spark, root, list(versions(spark, root).values()))
+    return live(spark, root, list(versions(spark, root).values()), told=told)
 
 
 def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -281,18 +293,22 @@ def _old(version: Version) -> Version | None:
 
 def append(
     chunks: DataFrame, root: str, names: Sequence[str], embed_model: str, n_buckets: int = DEFAULT_BUCKETS,
-    fingerprint: str | None = None, options: Options = Options(),
+    fingerprint: str | None = None, options: Options = Options(), made: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> dict[str, tuple[int, int]]:
     """Add the chunks of documents that the named collections lack, creating these on first use; chunks and documents added.
 
     A document that is present stays as it is, so that an append may be repeated; a changed one
-    takes a refresh. Keys are written out first: few of them are broadcast, and Spark drops
-    known documents before it chunks and embeds.
+    takes a refresh. ``chunks`` may be documents, of which ``made`` makes chunks: known documents are dropped before, so that
+    none is chunked and embedded in vain, and no vectors meet the keys, however many these are.
     """
     spark = chunks.sparkSession
     opened, n_buckets = _opened(spark, root, names, embed_model, fingerprint, n_buckets, options)
-    present = live(spark, root, [v for v in opened.values() if v.number]).where("chunk_no = 0").select("collection", "doc_key")
-    lacking = chunks.join(stored(present, "present"), ["collection", "doc_key"], "left_anti")
+    built = [v for v in opened.values() if v.number]
+    lacking = chunks
+    if built:
+        present = live(spark, root, built).where("chunk_no = 0").select("collection", "doc_key")
+        lacking = chunks.join(stored(present, "present"), ["collection", "doc_key"], "left_anti")
+    lacking = made(lacking)
     number = next_number(spark, root, names)
     segment = new_segment(number)
     counts = write_segment(lacking, root, names, segment, n_buckets)
