@@ -129,7 +129,9 @@ def _probes(queries: DataFrame, cells: Cells, radii: dict[int, float]) -> DataFr
         ends = np.arange(len(vectors) + 1, dtype=np.int32) * len(filled)
         return pa.ListArray.from_arrays(pa.array(ends), rows)
 
-    return queries.where(F.col("embedding").isNotNull()).withColumn("probes", rank_cells("embedding"))
+    # Told to be not deterministic: a filter on the probes, also one that Spark infers, else ranks the cells again in a worker of its own.
+    ranked = rank_cells.asNondeterministic()("embedding")
+    return queries.where(F.col("embedding").isNotNull()).withColumn("probes", ranked)
 
 
 def _cells_where(keep: Callable[[Column], Column]) -> Column:
