@@ -150,7 +150,8 @@ def _alike(left: str, right: str) -> Column:
             a, b = (np.frombuffer(b"".join(side.to_pylist()), "<u2").reshape(-1, HASHES) for side in (one, two))
             yield pa.array((a == b).mean(axis=1) if len(a) else np.zeros(0), pa.float64())
 
-    return share(left, right)
+    # Told to be not deterministic: a filter on the share else compares the sketches again in a worker of its own.
+    return share.asNondeterministic()(left, right)
 
 
 def _sets_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:

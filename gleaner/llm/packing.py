@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,24 @@ SEGMENTS = 128
 END = 1  # id behind each document
 POOL = 512  # open pieces a task chooses from
 LEAST_CUT = 16  # room that is worth a cut
-TEXTS = 256  # texts encoded together
-OUT_TOKENS = 1_000_000
+TEXTS = 256  # texts taken together
+TEXT_BYTES = 1 << 18  # of these, what is encoded at once, one text at least
+OUT_TOKENS = 262_144  # ids of pieces told together
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, "
           "sequence_id long, offset long")
 
+
+def runs(texts: pa.Array, n_bytes: int) -> Iterator[list[str]]:
+    """The texts in order, in runs of at most ``n_bytes`` bytes, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + n_bytes, side="right")))
+        yield texts.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
 class Packer:
     """Open pieces of one task, put into sequences one after another.
 
@@ -122,6 +136,7 @@ def pack(
         from gleaner.llm.tokens import CachedTokenizer
 
         encoder = CachedTokenizer(content.value)  # ends with the task: workers stay for other stages
+        give_back()  # what reading the tokenizer left
         packer = Packer(TaskContext.get().partitionId() << 32, tokens, segments, loss)
         out, held = [], 0
 
@@ -136,7 +151,7 @@ def pack(
             for batch in batches:
                 for begin in range(0, batch.num_rows, TEXTS):
                     part = batch.slice(begin, TEXTS)
-                    found = encoder.encode(part.column("text").to_pylist())
+                    found = [ids for some in runs(part.column("text"), TEXT_BYTES) for ids in encoder.encode(some)]
                     for doc_id, ids, skip in zip(part.column("doc_id").to_pylist(), found, part.column("skip").to_pylist()):
                         yield from packer.add((doc_id, np.append(ids, np.int32(end)), skip))
                     if len(packer.free) >= POOL:

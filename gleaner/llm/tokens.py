@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
@@ -53,7 +52,7 @@ class CachedTokenizer:
         vocabulary = self.tokenizer.get_vocab() if self.by_piece else {}
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[number for piece, number in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.added = [token["content"].lower() for token in json.loads(content)["added_tokens"]]
+        self.added = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:

@@ -1,8 +1,12 @@
-"""What Python workers hold: one evaluation per stage."""
+"""What Python workers hold: one evaluation per stage, and bounded runs of text."""
+
+import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gleaner.llm import near_dup, packing
 from gleaner.operators.cells import Cells, _cells_where, _probes
 
 
@@ -23,3 +27,23 @@ def test_cells_of_queries_are_ranked_once(spark):
     for row in routed.collect():
         got.setdefault(row["query_id"], set()).add(row["cell"])
     assert got == {at: {0, 1} if at < 5 else {1, 2} for at in range(20)}
+
+
+def test_sketches_are_compared_once(spark):
+    def sketch(name):
+        return b"".join(hashlib.blake2b(f"{name}{at}".encode(), digest_size=2).digest() for at in range(near_dup.HASHES))
+
+    rows = [("same", sketch("a"), sketch("a")), ("apart", sketch("a"), sketch("b"))]
+    pairs = spark.createDataFrame(rows, "name string, left binary, right binary").withColumn(
+        "alike", near_dup._alike("left", "right")).filter(F.col("alike") >= near_dup.LIKELY).select("name", "alike")
+    assert evaluations(pairs) == 1
+    assert [tuple(row) for row in pairs.collect()] == [("same", 1.0)]
+
+
+def test_texts_are_encoded_in_runs_of_bounded_size():
+    texts = ["a" * 50, "é" * 30, "", "b" * 500, "c", "d" * 99, ""]
+    found = list(packing.runs(pa.array(["x" * 999, *texts]).slice(1), 100))
+    assert [text for some in found for text in some] == texts
+    assert all(len(some) == 1 or sum(len(text.encode()) for text in some) <= 100 for some in found)
+    assert list(packing.runs(pa.array([], pa.string()), 100)) == []
+    assert list(packing.runs(pa.array(["", ""]), 100)) == [["", ""]]
