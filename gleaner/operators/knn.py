@@ -32,8 +32,9 @@ MAX_BROADCAST_QUERIES = 16_384
 # Rows of a block of the index, and of queries compared with it together: 64 and 16 MB at 1,024 dimensions.
 INDEX_BLOCK_ROWS = 16_384
 QUERY_BLOCK_ROWS = 4_096
-# Distances a task holds at a time (8 MB).
-MAX_DISTANCES = 1_048_576
+# Index rows turned into a matrix at a time (16 MB at 1,024 dimensions), and distances a task holds at a time (2 MB).
+INDEX_PIECE_ROWS = 2_048
+MAX_DISTANCES = 262_144
 
 
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
@@ -89,9 +90,9 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+def _distances(queries: np.ndarray, rows: np.ndarray, row_norms: np.ndarray, metric: str) -> np.ndarray:
     products = queries @ rows.T
-    query_norms, row_norms = (queries**2).sum(1), (rows**2).sum(1)
+    query_norms = (queries**2).sum(1)
     if metric == "cosine":
         lengths = np.sqrt(query_norms)[:, None] * np.sqrt(row_norms)[None, :]
         return 1.0 - products / np.where(lengths == 0, 1.0, lengths)
@@ -109,19 +110,21 @@ class _Best:
         self.bounds = queries.column("bound").to_numpy().copy()
         self.hits: list[list[tuple]] = [[] for _ in self.counts]
 
-    def offer(self, which: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray,
+    def offer(self, which: np.ndarray, vectors: np.ndarray, ids: np.ndarray, column: pa.Array | pa.ChunkedArray,
               metric: str) -> None:
-        """Show ``rows`` to the query rows ``which``; ``queries`` are their vectors."""
-        step = max(1, MAX_DISTANCES // max(1, len(rows)))
-        for at in range(0, len(which), step):
-            self._offer(which[at:at + step], queries[at:at + step], ids, rows, metric)
-
-    def _offer(self, which: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray,
-               metric: str) -> None:
-        exact = _distances(queries, rows, metric)
+        """Show the index rows of ``column`` to the query rows ``which`` of ``vectors``, a piece at a time."""
+        for start in range(0, len(ids), INDEX_PIECE_ROWS):
+            rows = matrix(column.slice(start, INDEX_PIECE_ROWS))
+            norms, own = (rows**2).sum(1), ids[start:start + len(rows)]
+            step = max(1, MAX_DISTANCES // len(rows))
+            for at in range(0, len(which), step):
+                some = which[at:at + step]
+                self._offer(some, _distances(vectors[some], rows, norms, metric), own)
+
+    def _offer(self, which: np.ndarray, exact: np.ndarray, ids: np.ndarray) -> None:
         for at in np.flatnonzero(np.isinf(self.bounds[which])):
             k = self.counts[which[at]]
-            if len(rows) > k:
+            if len(ids) > k:
                 self.bounds[which[at]] = np.partition(exact[at], k - 1)[k - 1]
         near = exact <= (self.bounds[which] + SLACK)[:, None]
         for at in np.flatnonzero(near.any(axis=1)):
@@ -184,8 +187,7 @@ def _search_rows(index: DataFrame, queries: pa.Table, result: T.StructType, sche
             for key, places in _groups(batch.column(2)):
                 if key in asked:
                     part = batch if len(places) == len(ids) else batch.take(pa.array(places))
-                    best.offer(asked[key], vectors[asked[key]], ids[places],
-                               matrix(part.column(1)), metric)
+                    best.offer(asked[key], vectors, ids[places], part.column(1), metric)
         out = best.table(query_ids, schema)
         if out.num_rows:
             yield out
@@ -231,7 +233,7 @@ def _search_blocks(index: DataFrame, queries: DataFrame, result: T.StructType, s
                 elif parts:
                     if block is None:
                         whole = pa.Table.from_batches(parts)
-                        block = whole.column("index_id").to_numpy(), matrix(whole.column("vector"))
+                        block = whole.column("index_id").to_numpy(), whole.column("vector")
                     for at in range(0, part.num_rows, QUERY_BLOCK_ROWS):
                         some = pa.Table.from_batches([part.slice(at, QUERY_BLOCK_ROWS)])
                         best = _Best(some)

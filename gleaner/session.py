@@ -66,9 +66,13 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast ``df`` if it is seen to have at most ``max_rows`` rows, else leave it as it is."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    """Broadcast ``df`` if it is seen to have at most ``max_rows`` rows, else leave it as it is.
+
+    The rows come and go as Arrow: a frame of Python rows is read through Python on the executors, by workers of their own kind
+    that stay there beside those of the search.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
