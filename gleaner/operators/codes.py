@@ -119,7 +119,8 @@ def coded_top_k(
     def gap(one: pa.Array, two: pa.Array) -> pa.Array:
         return pa.array(((matrix(one) - matrix(two)) ** 2).sum(axis=1) if len(one) else [], pa.float64())
 
-    approximate = coded.withColumn("_vector", decoded("code"))
+    # Told to be not deterministic: the search's filter of missing vectors else decodes again in a worker of its own.
+    approximate = coded.withColumn("_vector", decoded.asNondeterministic()("code"))
     candidates = stored(top_k(approximate, queries.withColumn("k", F.col("k") * rerank), id_col, "_vector", by=by).select(
         "query_id", id_col), "candidates")
     asked = small_side(queries.select("query_id", F.col("embedding").alias("_query"), "k"), 4096)
