@@ -15,7 +15,9 @@ from gleaner.functions.text import (
 from gleaner.operators import filters
 from gleaner.operators.filters import long_enough
 from gleaner.schema import DEFAULT_PRIORITY, DOCUMENTS
-from gleaner.session import small_side
+
+# Registry entries, of some names and numbers each, that are broadcast.
+MAX_BROADCAST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,8 @@ def with_registry(files: DataFrame, selected: DataFrame, keep_others: bool = Fal
     entries = registry_defaults(selected).select(
         F.col("name").alias("source"), "category", "priority"
     )
-    return files.join(small_side(entries), "source", "left" if keep_others else "inner")
+    few = entries.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+    return files.join(F.broadcast(entries) if few else entries, "source", "left" if keep_others else "inner")
 
 
 def _outcome(accepted: Column) -> Column:
